@@ -24,6 +24,11 @@ CJK_POLISH = (r"[\u2e80-\u2eff\u3000-\u9fff\uac00-\ud7af\uf900-\ufaff\ufe30-\ufe
 CJK_PACK = r"[\u3000-\u303f\u3040-\u309f\u30a0-\u30ff\u4e00-\u9fff\uff00-\uffef]+"
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once per row, also where lambdas use it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
@@ -132,8 +137,8 @@ def keywords(c: Column) -> Column:
 
 def missing_terms(literal: Column, final: Column) -> Column:
     """Key terms of the literal text that the final text lacks; repeats and order kept."""
-    have = F.transform(tokens(final), lambda w: F.lower(w))
-    return F.filter(keywords(literal), lambda k: ~F.array_contains(have, k))
+    have = F.array_distinct(F.transform(tokens(final), lambda w: F.lower(w)))
+    return let(have, lambda h: F.filter(keywords(literal), lambda k: ~F.array_contains(h, k)))
 
 
 def normalize_tags(tags: Column) -> Column:

@@ -24,24 +24,34 @@ def _first_of_interval(right: DataFrame, keys) -> DataFrame:
     return right.groupBy(*keys, "start_ms", "end_ms").agg(F.min("idx").alias("idx"))
 
 
-def best_overlap(left: DataFrame, right: DataFrame, keys, bin_ms: int = BIN_MS) -> DataFrame:
-    """Arg-max overlap per left cue: keys, idx, right_idx, overlap. Ties: lowest right idx."""
-    lk = left.select(*keys, F.col("idx").alias("l_idx"), F.col("start_ms").alias("ls"),
-                     F.col("end_ms").alias("le")).filter("le > ls")
+def _overlaps(left: DataFrame, right: DataFrame, keys, bin_ms: int) -> DataFrame:
+    """Every left cue with its times and ``b`` = (overlap, -right idx) of its best partner."""
+    lk = left.select(*keys, "idx", F.col("start_ms").alias("ls"), F.col("end_ms").alias("le"))
     rk = (_first_of_interval(right, keys)
           .select(*keys, F.col("idx").alias("r_idx"), F.col("start_ms").alias("rs"),
                   F.col("end_ms").alias("re")).filter("re > rs"))
-    lb = lk.withColumn("_bin", F.explode(F.sequence(_bin(F.col("ls"), bin_ms), _bin(F.col("le") - 1, bin_ms))))
-    rb = rk.withColumn("_bin", F.explode(F.sequence(_bin(F.col("rs"), bin_ms), _bin(F.col("re") - 1, bin_ms))))
-    # a pair that shares several bins is kept in the first one only
-    pairs = lb.join(rb, [*keys, "_bin"]).filter(
-        (F.col("ls") < F.col("re")) & (F.col("rs") < F.col("le"))
-        & (F.col("_bin") == F.greatest(_bin(F.col("ls"), bin_ms), _bin(F.col("rs"), bin_ms))))
-    ov = overlap_ms(F.col("ls"), F.col("le"), F.col("rs"), F.col("re"))
-    best = pairs.groupBy(*keys, "l_idx").agg(
-        F.max(F.struct(ov.alias("ov"), (-F.col("r_idx")).alias("neg"))).alias("b"))
-    return best.select(*keys, F.col("l_idx").alias("idx"), (-F.col("b.neg")).alias("right_idx"),
-                       F.col("b.ov").alias("overlap"))
+    ls, le, rs, re = F.col("ls"), F.col("le"), F.col("rs"), F.col("re")
+    lb = lk.withColumn("_bin", F.explode_outer(F.when(le > ls, F.sequence(_bin(ls, bin_ms), _bin(le - 1, bin_ms)))))
+    rb = rk.withColumn("_bin", F.explode(F.sequence(_bin(rs, bin_ms), _bin(re - 1, bin_ms))))
+    j = lb.join(rb, [*keys, "_bin"], "left")
+    ov = overlap_ms(ls, le, rs, re)
+    # a pair seen in several bins gives the same value each time, so max needs no de-duplication
+    best = F.max(F.when(rs.isNotNull() & (ov > 0), F.struct(ov.alias("ov"), (-F.col("r_idx")).alias("neg"))))
+    return j.groupBy(*keys, "idx", "ls", "le").agg(best.alias("b"))
+
+
+def _found(rows: DataFrame, keys) -> DataFrame:
+    return rows.filter("b IS NOT NULL").select(*keys, "idx", (-F.col("b.neg")).alias("right_idx"),
+                                               F.col("b.ov").alias("overlap"))
+
+
+def _unmatched(rows: DataFrame, keys) -> DataFrame:
+    return rows.filter("b IS NULL").select(*keys, "idx", F.col("ls").alias("start_ms"), F.col("le").alias("end_ms"))
+
+
+def best_overlap(left: DataFrame, right: DataFrame, keys, bin_ms: int = BIN_MS) -> DataFrame:
+    """Arg-max overlap per left cue: keys, idx, right_idx, overlap. Ties: lowest right idx."""
+    return _found(_overlaps(left, right, list(keys), bin_ms), keys)
 
 
 def nearest(left: DataFrame, right: DataFrame, keys, point: Column, name: str = "right_idx",
@@ -96,9 +106,10 @@ def align(ref: DataFrame, cand: DataFrame, keys, bin_ms: int = BIN_MS,
     nearest midpoint. Tracks without a partner track give no pairs.
     """
     keys = list(keys)
-    over = best_overlap(ref, cand, keys, bin_ms).withColumn("method", F.lit("overlap")).withColumn(
+    rows = _overlaps(ref, cand, keys, bin_ms)
+    over = _found(rows, keys).withColumn("method", F.lit("overlap")).withColumn(
         "distance", F.lit(None).cast("bigint"))
-    rest = ref.join(over.select(*keys, "idx"), [*keys, "idx"], "left_anti")
+    rest = _unmatched(rows, keys)
     mid = F.col("start_ms") + F.col("end_ms")
     near = (nearest(rest, cand, keys, mid).filter("right_idx IS NOT NULL")
             .withColumn("method", F.lit("midpoint")).withColumn("overlap", F.lit(0).cast("bigint")))
@@ -114,8 +125,9 @@ def align_with_tolerance(gen: DataFrame, ref: DataFrame, keys, tolerance_ms: int
     All generated cues are kept; ``right_idx`` is NULL for the unmatched ones.
     """
     keys = list(keys)
-    over = best_overlap(gen, ref, keys, bin_ms).select(*keys, "idx", "right_idx")
-    rest = gen.join(over, [*keys, "idx"], "left_anti")
+    rows = _overlaps(gen, ref, keys, bin_ms)
+    over = _found(rows, keys).select(*keys, "idx", "right_idx")
+    rest = _unmatched(rows, keys)
     near = (nearest(rest, ref, keys, F.col("start_ms"))
             .select(*keys, "idx", F.when(F.col("distance") <= tolerance_ms, F.col("right_idx")).alias("right_idx")))
     return over.unionByName(near)
