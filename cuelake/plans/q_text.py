@@ -266,7 +266,7 @@ def merge_external_findings(spark, d):
 _W = lambda c: f"len(list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> ''))"
 Q_GUARD = v.Q_TRANS + f""",
 d_n AS (SELECT media, cand, idx, line_raw AS r, text AS n, list_distinct(list_concat(
-    list_filter(regexp_extract_all(line_raw, '\\b[A-Z][a-zA-Z]*\\b'), lambda w: w NOT IN ('A', 'I')),
+    list_filter(regexp_extract_all(line_raw, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[A-Z][a-zA-Z]*$') AND w NOT IN ('A', 'I')),
     regexp_extract_all(line_raw, '["'']([^"'']+)["'']', 1))) AS nouns
   FROM (SELECT *, CASE WHEN literal_text = '' THEN source_text ELSE literal_text END AS line_raw FROM v_trans)),
 d_l AS (SELECT *, list_min(list_filter(nouns, lambda x: NOT contains(lower(n), lower(x)))) AS lost,

@@ -69,10 +69,6 @@ def cand_cues(spark: SparkSession, d: str) -> DataFrame:
             .unionByName(track("mt", 4, 5000, F.when(F.col("idx") % 3 == 0, F.col("line")).otherwise(fewer))))
 
 
-def reindexed_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return cand_cues(spark, d)
-
-
 def translation_cues(spark: SparkSession, d: str) -> DataFrame:
     """Source, literal and final text per cue."""
     c = cues(spark, d)
@@ -146,7 +142,7 @@ def corrections(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 2 == 0, F.lit("anime")).otherwise(F.lit("")).alias("domain"),
         F.when(k % 13 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("text"))).alias("source_text"),
         F.when(k % 4 == 0, F.lit("")).otherwise(F.lower("text")).alias("bad_translation"),
-        F.when(k % 17 == 0, F.lit(None)).otherwise(F.upper("text")).alias("approved_translation"),
+        F.when(k % 17 == 0, F.lit(None)).otherwise(F.concat(F.lit("fine: "), "text")).alias("approved_translation"),
         F.lit("").alias("previous_context"), F.col("role").alias("next_context"),
         F.lit(None).cast("string").alias("speaker"),
         F.array(F.lit("b"), F.concat(F.lit(" "), F.col("role")), F.lit(""), F.lit("b")).alias("tags"),
@@ -154,6 +150,31 @@ def corrections(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("string").alias("created_at"))
 
 
+LANGS = ["jpn", "eng", "EN-AU", "fre", "und", "ja-JP", None, "spa"]
+
+
+def media_json(spark: SparkSession, d: str) -> DataFrame:
+    """Probe output as JSON text, one per order."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    langs = F.array(*[F.lit(x) for x in LANGS])
+
+    def stream(i):
+        kind = (k * 7 + i * 3) % 5
+        codecs = F.array(*[F.lit(x) for x in ("subrip", "pgssub", "ass", "dvd_subtitle")])
+        tags = F.struct(F.get(langs, ((k * 3 + i * 5) % 8).cast("int")).alias("language"),
+                        F.when((k + i) % 6 == 0, "Japanese Audio").alias("title"))
+        return F.struct(i.alias("index"), F.when(kind < 2, "audio").when(kind < 4, "subtitle").otherwise("video").alias("codec_type"),
+                        F.get(codecs, ((k + i) % 4).cast("int")).alias("codec_name"), (1 + (k + i) % 3).alias("channels"),
+                        F.lit("48000").alias("sample_rate"), tags.alias("tags"))
+
+    n = (k % 7).cast("int")
+    streams = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), stream))
+    fmt = F.struct(F.lit("matroska").alias("format_name"), F.when(k % 9 == 0, "N/A").otherwise(
+        (k % 5000).cast("string")).alias("duration"))
+    return o.select(k.alias("media"), F.to_json(F.struct(F.coalesce(streams, F.array()).alias("streams"), fmt.alias("format"))).alias("value"))
+
+
 # --- the same views as SQL -------------------------------------------------------------
 
 Q_LINES = """
@@ -230,11 +251,24 @@ v_corr AS (
     CASE WHEN (conv_id + turn) % 2 = 0 THEN 'anime' ELSE '' END AS domain,
     CASE WHEN (conv_id + turn) % 13 = 0 THEN '  ' ELSE ' ' || text END AS source_text,
     CASE WHEN (conv_id + turn) % 4 = 0 THEN '' ELSE lower(text) END AS bad_translation,
-    CASE WHEN (conv_id + turn) % 17 = 0 THEN NULL ELSE upper(text) END AS approved_translation,
+    CASE WHEN (conv_id + turn) % 17 = 0 THEN NULL ELSE 'fine: ' || text END AS approved_translation,
     '' AS previous_context, role AS next_context, ['b', ' ' || role, '', 'b'] AS tags,
     '' AS notes, 'ja_en' AS language_pack
   FROM conversations)"""
 
 
+Q_MEDIA = """
+v_streams AS (
+  SELECT media, i AS idx, CASE WHEN (media * 7 + i * 3) % 5 < 2 THEN 'audio' WHEN (media * 7 + i * 3) % 5 < 4 THEN 'subtitle' ELSE 'video' END AS kind,
+    (['subrip', 'pgssub', 'ass', 'dvd_subtitle'])[(media + i) % 4 + 1] AS codec, 1 + (media + i) % 3 AS channels,
+    (['jpn', 'eng', 'EN-AU', 'fre', 'und', 'ja-JP', NULL, 'spa'])[(media * 3 + i * 5) % 8 + 1] AS raw_language,
+    CASE WHEN (media + i) % 6 = 0 THEN 'Japanese Audio' END AS title
+  FROM (SELECT o_orderkey AS media, unnest(range(o_orderkey % 7)) AS i FROM orders)),
+v_str AS (
+  SELECT *, CASE lower(raw_language) WHEN 'jpn' THEN 'ja' WHEN 'eng' THEN 'en' WHEN 'fre' THEN 'fr' ELSE lower(raw_language) END AS language,
+    codec IN ('dvd_subtitle', 'pgssub', 'xsub') AS is_bitmap,
+    row_number() OVER (PARTITION BY media, kind ORDER BY idx) - 1 AS ord FROM v_streams)"""
+
+
 def sql_strip(c: str) -> str:
     return f"trim({c}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
