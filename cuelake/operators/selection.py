@@ -35,9 +35,12 @@ def detect_sources(media: DataFrame, sidecars: DataFrame | None = None, source:
         at = _first(F.col("_subs"), lambda s: (s["is_bitmap"] == bitmap) & lang_matches(lang(s), target_lang))
         return F.get(F.col("_subs"), at.cast("int"))["index"]
 
+    def spoken(code):
+        return _first(F.col("_audio"), lambda s: lang_matches(lang(s), code))
+
     for who, code in (("en", target), ("ja", source)):
         m = (m.withColumn(f"{who}_sub", sub(code, False)).withColumn(f"{who}_bitmap", sub(code, True))
-             .withColumn(f"{who}_audio", _first(F.col("_audio"), lambda s, code=code: lang_matches(lang(s), code))))
+             .withColumn(f"{who}_audio", spoken(code)))
     title = lambda s: F.lower(F.trim(F.coalesce(s["title"], F.lit(""))))
     word = lambda s: F.exists(F.array(*[F.lit(w) for w in JAPANESE_TITLE]), lambda w: title(s).contains(w))
     by_title, stereo = _first(F.col("_audio"), word), _first(F.col("_audio"), lambda s: s["channels"] == 2)
