@@ -77,8 +77,8 @@ REDACTED_REPORT = ("video", "planned_output_srt", "output_srt", "qc_json", "revi
 def redact(js: Column, report: bool = False) -> Column:
     """Hide string, number and literal values of sensitive keys in JSON text at any depth (F8)."""
     keys = "|".join(sorted({*REDACTED, *(REDACTED_REPORT if report else ())}))
-    scalar = r'(?:"(?:[^"\\]|\\.)*"|-?\d[\d.eE+-]*|true|false|null)'
+    scalar = r'(?:"(?:[^"\\]++|\\.)*+"|-?\d[\d.eE+-]*|true|false|null)'
     out = F.regexp_replace(js, rf'"({keys})"\s*:\s*{scalar}', '"$1":"<redacted>"')
     if report:
-        out = F.regexp_replace(out, r'"stream"\s*:\s*"sidecar:(?:[^"\\]|\\.)*"', '"stream":"sidecar:<redacted>"')
+        out = F.regexp_replace(out, r'"stream"\s*:\s*"sidecar:(?:[^"\\]++|\\.)*+"', '"stream":"sidecar:<redacted>"')
     return out

@@ -9,11 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelake.session import spread
+
 TRACK = ["media", "cand"]
 
 
+SPREAD = {"documents": "doc_id", "orders": "o_orderkey"}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df, SPREAD[name]) if name in SPREAD else df
 
 
 def _expr(s: str) -> Column:

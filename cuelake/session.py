@@ -70,6 +70,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash the rows over all cores when the input has fewer splits than there are cores.
+
+    A few large files with one row group each would leave most cores idle in front of
+    row-local text work. Inputs with enough splits, as on a cluster, are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def fits_broadcast(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> bool:
     """True when the table has at most ``bound`` rows; reads no more than it must."""
     return df.limit(bound + 1).count() <= bound
