@@ -61,7 +61,7 @@ def parse_catalog(probes: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_media_catalog(spark: SparkSession, paths) -> DataFrame:
-    probes = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    probes = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return parse_catalog(probes)
 
 
