@@ -217,15 +217,13 @@ def bleu_detail(spark, d):
 
 _N6 = ["m", "h", "r"]
 Q_CHRF = Q_TEXTS + r""",
-c_chr AS (SELECT media, cand, idx, string_split(regexp_replace(ref_text, '\s', '', 'g'), '') AS r0,
-  string_split(regexp_replace(cand_text, '\s', '', 'g'), '') AS h0 FROM o_texts),
-c_ch AS (SELECT media, cand, idx, list_filter(r0, lambda x: x <> '') AS r, list_filter(h0, lambda x: x <> '') AS h FROM c_chr),
+c_ch AS (SELECT media, cand, idx, regexp_replace(ref_text, '\s', '', 'g') AS r, regexp_replace(cand_text, '\s', '', 'g') AS h FROM o_texts),
 c_gram AS (
-  SELECT media, cand, idx, n, 0 AS side, array_to_string(r[i:i+n-1], '') AS g
-  FROM (SELECT *, unnest(range(1, len(r) - n + 2)) AS i FROM c_ch, (SELECT unnest([1,2,3,4,5,6]) AS n))
+  SELECT media, cand, idx, n, 0 AS side, hash(substr(r, i, n)) AS g
+  FROM (SELECT *, unnest(range(1, length(r) - n + 2)) AS i FROM c_ch, (SELECT unnest([1,2,3,4,5,6]) AS n))
   UNION ALL
-  SELECT media, cand, idx, n, 1, array_to_string(h[i:i+n-1], '')
-  FROM (SELECT *, unnest(range(1, len(h) - n + 2)) AS i FROM c_ch, (SELECT unnest([1,2,3,4,5,6]) AS n) WHERE len(r) >= n)),
+  SELECT media, cand, idx, n, 1, hash(substr(h, i, n))
+  FROM (SELECT *, unnest(range(1, length(h) - n + 2)) AS i FROM c_ch, (SELECT unnest([1,2,3,4,5,6]) AS n) WHERE length(r) >= n)),
 c_cnt AS (SELECT media, cand, idx, n, g, count(*) FILTER (side = 0) AS r, count(*) FILTER (side = 1) AS h
   FROM c_gram GROUP BY ALL),
 c_sum AS (SELECT media, cand, n, sum(least(r, h)) AS m, sum(h) AS h, sum(r) AS r FROM c_cnt GROUP BY ALL),
