@@ -13,7 +13,7 @@ FAMILIES = (
     ("heyzo", r"(?<![A-Z0-9])(HEYZO)[-_ ]?(\d{4})(?!\d)", (1, 2)),
     ("studio_serial", r"(?<![A-Z0-9])([A-Z]{2,10})[-_ ]?0*(\d{2,5})(?!\d)", (1, 2)),
 )
-GENERIC_WORDS = ("WEBDL", "X264", "X265")
+GENERIC_WORDS = ("AAC", "AVC", "BD", "BDRIP", "FHD", "H264", "H265", "HEVC", "UHD", "WEB", "WEBDL", "X264", "X265")
 FOLLOW_UP = {"mistral": "llama3", "llama3": "qwen2.5:7b", "qwen2.5:7b": "llama3.1"}
 
 
