@@ -24,6 +24,13 @@ def cuts_at_spaces(spec: dict) -> bool:
             and not pre.get("add_prefix_space") and model.get("type") == "BPE" and not model.get("dropout") and plain)
 
 
+def byte_letters() -> dict[int, str]:
+    """The published byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for 256 onwards."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """``ids(text)``: little-endian unsigned 32-bit token ids of a whole text, as bytes."""
 
@@ -36,12 +43,21 @@ class WordEncoder:
         self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
             self.by_word = cuts_at_spaces(json.load(f))
+        self.model, self.alphabet = self.tok.model, byte_letters()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def library(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def letters(self, s: str) -> bytes:
+        """Ids of letters, one space in front or none: a single word to the pre-tokenizer, so its model is asked at once."""
+        if not s.isascii():
+            s = s.encode().decode("latin-1").translate(self.alphabet)
+        elif s[0] == " ":
+            s = "\u0120" + s[1:]
+        return array("I", [t.id for t in self.model.tokenize(s)]).tobytes()
+
     def part(self, s: str) -> bytes:
         """Ids of a part that begins a text or follows a non-space."""
         spaced = len(s) > 1 and s[0] == " " and s[1] != " "
@@ -55,7 +71,8 @@ class WordEncoder:
         if len(s) > 2 and s[-1] in ".," and s[-2] < "\u0250" and s[-2].isalpha():
             v = self.part(s[:-1]) + self.part(s[-1])  # letters end where punctuation begins
         else:
-            v = self.library(s)
+            word = key if spaced else s
+            v = self.letters(s) if word.isalpha() and max(word) < "\u0250" else self.library(s)
         if len(s) < 48:
             if len(kept) >= WORDS_KEPT:
                 kept.clear()

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.llm.byte_bpe import WordEncoder
@@ -174,9 +174,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     dealt.mapInArrow(encode, SEGMENTS).write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, **columns: Column) -> DataFrame:
     """One row per document: doc_id, start, n_tokens, ids (binary, unsigned 32-bit little-endian).
 
+    ``columns`` made from ``ids`` may take its place; they are made before any shuffle.
     ``start`` counts the ids of all documents before it: sums of partitions, then of segments,
     then of documents inside a segment, so no task sees more than one partition's segments.
     """
@@ -205,7 +206,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     docs = segs.select("part", "segment", "data").mapInArrow(
         decode, "part int, segment int, doc_id long, at long, n_tokens long, ids binary")
-    return docs.join(starts, ["part", "segment"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    values = columns or {"ids": F.col("ids")}
+    docs = docs.select("part", "segment", "doc_id", "at", "n_tokens", *(c.alias(n) for n, c in values.items()))
+    return docs.join(starts, ["part", "segment"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", *values)
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
@@ -213,4 +216,4 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     spark = docs.sparkSession
     path = scratch(spark, "token-blocks")
     write_tokens(docs, path, tokenizer, end_id)
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, path, ids_crc32=F.crc32("ids"))
