@@ -83,7 +83,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, unit_words: int
     table = unit_table(docs, unit_words, id_col, text_col)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "unit")
     # Partial minima come before the shuffle: a unit that stands everywhere is one row per task.
-    first = (table.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first"))
+    # Written, so that the join below has plain exchanges on both sides and a hot digest can be split.
+    first = written(table.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first"),
+                    "repeated-units")
     again = table.join(first, ["h1", "h2"]).filter(~(rank.eqNullSafe(F.col("first")))).select(
         "doc_id", "th", "unit", "start", "end", "words", F.col("first.doc_id").alias("kept")).distinct()
     # Units next to each other make one span. A document's own units only, so one row's text bounds a group.
