@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm.byte_bpe import WordEncoder
-from cuelake.llm.common import bounded_batches, nonnull_text, scratch, worker_state
+from cuelake.llm.common import bounded_batches, nonnull_text, scratch, worker_state, written
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
 
@@ -36,12 +36,14 @@ class _Pieces:
 
 
 def count_batches(path: str):
-    """digest, text -> digest, n_tokens, by the library that the file name asks for."""
+    """digest, text, known count (or null) -> digest, n_tokens, fresh; only rows without a count are encoded."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_state(("count", path), lambda: (_Pieces if path.endswith(".model") else WordEncoder)(path))
         for b in batches:
-            n = [len(enc.ids(t.as_py())) // 4 for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
+            known = b.column(2).to_pylist()
+            n = [len(enc.ids(t.as_py())) // 4 if k is None else k for t, k in zip(b.column(1), known)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([k is None for k in known], pa.bool_())],
+                                             names=["digest", "n_tokens", "fresh"])
     return run
 
 
@@ -72,12 +74,13 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, limit: int = 1024,
     # Copies meet first in their own partition (partial aggregate), so a hot text is shuffled
     # once per partition; the cache joins the distinct texts on the same key.
     distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(read_cache(spark, cache, version), "digest", "left_anti").select("digest", "text")
-    (misses.mapInArrow(count_batches(tokenizer), "digest binary, n_tokens long")
-     .select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache))
-    known = read_cache(spark, cache, version)
+    looked = distinct.join(read_cache(spark, cache, version), "digest", "left").select(
+        "digest", F.when(F.col("n_tokens").isNull(), F.col("text")).alias("text"), "n_tokens")
+    # Written once: misses are encoded once, and the join below can split a hot digest.
+    known = written(looked.mapInArrow(count_batches(tokenizer), "digest binary, n_tokens long, fresh boolean"), "token-counts-found")
+    (known.filter("fresh").select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache))
     return (keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-            .join(known, "digest", "left")
+            .join(known.drop("fresh"), "digest")
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
 
 
