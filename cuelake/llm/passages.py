@@ -102,7 +102,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     per = spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("span_list")).select(
         F.col("doc_id").alias("span_id"), F.col("th").alias("span_hash"), "span_list")
     j = docs.join(per, docs["doc_id"].eqNullSafe(per["span_id"]) & (F.xxhash64(text) == per["span_hash"]), "left")
-    cut = F.aggregate("span_list", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+    cut = F.aggregate(per["span_list"], F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
                       lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["out"], F.substr(docs["text"], s["at"] + 1, x["start"] - s["at"])).alias("out")))
     clean = F.when(per["span_list"].isNull(), docs["text"]).otherwise(F.concat(cut["out"], F.substr(docs["text"], cut["at"] + 1)))
     return j.select(*[docs[c] for c in docs.columns], clean.alias("clean_text"), per["span_list"].alias("removed"))

@@ -24,7 +24,7 @@ from cuelake.llm.common import bounded_batches, nonnull_text, worker_state
 
 SPACE = "▁"
 NO = np.iinfo(np.int64).max
-WORDS_KEPT = 400_000
+WORDS_KEPT = 800_000
 # Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -286,12 +286,12 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         m = load(model)
         end = np.array([m.end], np.int32)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                ids = [np.append(x, end) for x in m.encode(texts[i:i + 256])]
+            ids = [np.append(x, end) for x in m.encode(b.column(1).to_pylist())]
+            for i in range(0, len(ids), 128):
+                part = ids[i:i + 128]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, 256), pa.array(ids, pa.list_(pa.int32())),
-                     pa.array(list(map(m.decode, ids)), pa.string())], names=["doc_id", "ids", "decoded"])
+                    [b.column(0).slice(i, 128), pa.array(part, pa.list_(pa.int32())),
+                     pa.array(list(map(m.decode, part)), pa.string())], names=["doc_id", "ids", "decoded"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), nonnull_text(text_col).alias("t"))
             .mapInArrow(run, "doc_id long, ids array<int>, decoded string"))
@@ -302,9 +302,10 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decimal = [str(i) for i in range(load(model).n)]
         for b in batches:
             ids, at = b.column(1), b.column(1).offsets.to_pylist()
-            text = list(map(str, ids.values.to_pylist()))
+            text = list(map(decimal.__getitem__, ids.values.to_numpy().tolist()))
             rows = [" ".join(text[i:j]) for i, j in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.diff(at), pa.int64()),

@@ -167,7 +167,7 @@ def bench(spark):
 
 def test_decontamination(docs_of, bench):
     other = ITEM.replace("Boris", "Clara").replace("12", "31").replace("7", "9").replace("4", "6")
-    mixed = ITEM.replace("Boris sells", "Clara sells").replace("12", "31").replace("does Boris", "does Derek")
+    mixed = other.replace("does Clara", "does Derek")
     rows = [(1, f"before words here {ITEM} and after"), (2, f"Intro text. {other} End."), (3, f"Intro text. {mixed} End."), (4, ITEM.upper()),
             (5, "Some say the river runs through the old town in spring"), (6, "x which river runs through the old town y"), (7, None), (8, ""),
             (9, "nothing of the kind " * 500), (10, ITEM), (10, ITEM), (None, ITEM), (11, " ".join(ITEM.split()[:9]))]
