@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.text import strip
 from cuelake.ordered import top_k
-from cuelake.session import fits_broadcast
 
-INLINE_TERMS = 2_000
 ANCHOR = 3
 
 
@@ -17,7 +15,7 @@ def glossary_entries(raw: DataFrame) -> DataFrame:
     """Clean layered entries and keep the last layer per (kind, source).
 
     ``raw``: layer, kind, scope, source, target, required (text or NULL). Later layers win;
-    within a layer the later row (``ord``).
+    within a layer the later row (``ord``). ``first`` is where an entry was first seen.
     """
     req = F.lower(F.trim(F.col("required").cast("string")))
     e = (raw.withColumn("source", strip(F.col("source"))).withColumn("target", strip(F.col("target")))
@@ -26,8 +24,9 @@ def glossary_entries(raw: DataFrame) -> DataFrame:
                      .when(req.isin("0", "false", "no", "off"), False).otherwise(F.col("kind") != "term"))
          .withColumn("source_norm", F.lower("source")))
     key = F.struct("layer", "ord")
-    best = e.groupBy("kind", "source_norm").agg(F.max_by(F.struct("scope", "source", "target", "required"), key).alias("e"))
-    return best.select("kind", "source_norm", "e.*").withColumn("target_norm", F.lower("target"))
+    best = e.groupBy("kind", "source_norm").agg(F.max_by(F.struct("scope", "source", "target", "required"), key).alias("e"),
+                                                   F.min(key).alias("first"))
+    return best.select("kind", "source_norm", "e.*", "first").withColumn("target_norm", F.lower("target"))
 
 
 def _rank_kind() -> Column:
@@ -37,32 +36,22 @@ def _rank_kind() -> Column:
 def glossary_match(cues: DataFrame, glossary: DataFrame, keys, text: str = "text", max_terms: int | None = 6) -> DataFrame:
     """Terms whose source occurs in the cue, best first, at most ``max_terms`` per cue.
 
-    A glossary of checked size is tested inside the row, without a join. A larger one is
-    matched by the first letters of its terms against the letters at each place of the text
-    (an equi-join) and then verified.
+    Terms are matched by their first letters against the letters at each place of the text (an
+    equi-join), then verified. Equal ranks go by the place where an entry was first seen.
     """
     keys = list(keys)
-    g = glossary.select("kind", "scope", "source", "target", "required")
+    seen = F.col("first") if "first" in glossary.columns else F.struct(F.lit(0).alias("layer"), F.lit(0).alias("ord"))
+    g = glossary.select("kind", "scope", "source", "target", "required", seen.alias("_first"), F.left("source", F.lit(ANCHOR)).alias("_a"))
     base = cues.select(*keys, "idx", F.col(text).alias("_t"))
-    if fits_broadcast(g, INLINE_TERMS):
-        rows = g.collect()  # at most INLINE_TERMS dimension rows
-        entry = lambda r: F.struct(*[F.lit(r[c]).alias(c) for c in g.columns])
-        if not rows:
-            hits = base.join(g).limit(0)
-        else:
-            hits = base.select(*keys, "idx", F.inline(F.array_compact(F.array(
-                *[F.when(F.col("_t").contains(r["source"]), entry(r)) for r in rows]))))
-    else:
-        a = g.withColumn("_a", F.left("source", F.lit(ANCHOR)))
-        places = F.array_distinct(F.flatten(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1))),
-            lambda i: F.transform(F.sequence(F.lit(1), F.lit(ANCHOR)), lambda n: F.substr(F.col("_t"), i, n)))))
-        grams = base.select(*keys, "idx", "_t", F.explode(places).alias("_a"))
-        hits = grams.join(a, "_a").filter(F.col("_t").contains(F.col("source"))).drop("_a", "_t")
+    places = F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1))),
+        lambda i: F.transform(F.sequence(F.lit(1), F.lit(ANCHOR)), lambda n: F.substr(F.col("_t"), i, n)))))
+    grams = base.select(*keys, "idx", "_t", F.explode(places).alias("_a"))
+    hits = grams.join(g, "_a").filter(F.col("_t").contains(F.col("source"))).drop("_a", "_t")
     if max_terms is None:
-        return hits
-    order = [F.col("required").desc(), _rank_kind(), F.length("source").desc(), F.col("source")]
-    return top_k(hits, [*keys, "idx"], order, max_terms)
+        return hits.drop("_first")
+    order = [F.col("required").desc(), _rank_kind(), F.length("source").desc(), F.col("_first"), F.col("source")]
+    return top_k(hits, [*keys, "idx"], order, max_terms).drop("_first")
 
 
 def term_in_text(target: Column, text: Column) -> Column:
@@ -76,7 +65,7 @@ def term_in_text(target: Column, text: Column) -> Column:
 def term_drift(cues: DataFrame, glossary: DataFrame, keys, source: str = "source_text", final: str = "text") -> DataFrame:
     """Required terms of the source that the final text lacks."""
     keys = list(keys)
-    hits = glossary_match(cues, glossary, keys, source, max_terms=50).filter("required")
+    hits = glossary_match(cues, glossary, keys, source, max_terms=None).filter("required")
     j = hits.join(cues.select(*keys, "idx", F.col(final).alias("_f")), [*keys, "idx"])
     j = j.filter((F.col("_f") != "") & ~term_in_text(F.col("target"), F.col("_f")))
     code = F.when(F.col("kind") == "name", "bad_name").when(F.col("kind") == "honorific", "bad_honorific").otherwise("wrong_meaning")

@@ -136,14 +136,19 @@ GLOSSARY = [
     (1, 2, "name", "language", "太郎", "Taro", "true"), (1, 3, "honorific", "language", "先輩", "senpai", "true"),
     (2, 0, "term", "domain", "先輩", "senpai", "true"), (2, 1, "term", "domain", "tion", "TION", "yes"),
     (2, 2, "term", "domain", "and", "et", None), (2, 3, "name", "domain", "The", "the", "true"),
-    (2, 4, "term", "domain", "ing", "-ing", "on")]
+    (2, 4, "term", "domain", "ing", "-ing", "on"),
+    # Ties of kind, need and length, first seen against their spelling, more than a cue may show.
+    (2, 5, "term", "domain", "th", "TH", "on"), (2, 6, "term", "domain", "re", "RE", "on"), (2, 7, "term", "domain", "ti", "TI", "on"),
+    (2, 8, "term", "domain", "on", "ON", "on"), (2, 9, "term", "domain", "ha", "HA", "on"), (2, 10, "term", "domain", "en", "EN", "on"),
+    (3, 0, "term", "domain", "th", "Th", "on")]
 _GROWS = ", ".join("(" + ", ".join("NULL" if x is None else (str(x) if isinstance(x, int) else f"'{x}'") for x in r) + ")" for r in GLOSSARY)
 Q_GLOSS = f"""
 g_raw(layer, ord, kind, scope, source, target, required) AS (VALUES {_GROWS}),
 g_all AS (SELECT *, CASE lower(required) WHEN 'true' THEN true WHEN 'yes' THEN true WHEN 'on' THEN true
   WHEN 'false' THEN false ELSE kind <> 'term' END AS req FROM g_raw),
-g_terms AS (SELECT kind, scope, source, target, req AS required FROM (SELECT *, row_number() OVER (
-  PARTITION BY kind, lower(source) ORDER BY layer DESC, ord DESC) AS rn FROM g_all) WHERE rn = 1)"""
+g_terms AS (SELECT kind, scope, source, target, req AS required, pos FROM (SELECT *, row_number() OVER (
+  PARTITION BY kind, lower(source) ORDER BY layer DESC, ord DESC) AS rn, min(layer * 1000 + ord) OVER (PARTITION BY kind, lower(source)) AS pos
+  FROM g_all) WHERE rn = 1)"""
 
 
 def glossary(spark):
@@ -153,12 +158,12 @@ def glossary(spark):
 
 Q_MATCH = v.Q_TRANS + "," + Q_GLOSS + """,
 g_hit AS (SELECT t.media, t.cand, t.idx, g.*, row_number() OVER (PARTITION BY t.media, t.idx ORDER BY required DESC,
-    CASE kind WHEN 'name' THEN 0 WHEN 'honorific' THEN 1 ELSE 2 END, length(source) DESC, source) AS rank
+    CASE kind WHEN 'name' THEN 0 WHEN 'honorific' THEN 1 ELSE 2 END, length(source) DESC, pos) AS rank
   FROM v_trans t JOIN g_terms g ON contains(t.source_text, g.source)),
 g_drift AS (SELECT h.media, h.cand, h.idx, CASE h.kind WHEN 'name' THEN 'bad_name' WHEN 'honorific' THEN 'bad_honorific'
     ELSE 'wrong_meaning' END AS code, 'Required ' || h.kind || ' missing/changed: expected ''' || h.target ||
     ''' for source ''' || h.source || '''' AS message
-  FROM g_hit h JOIN v_trans t USING (media, idx) WHERE h.rank <= 50 AND h.required AND t.text <> '' AND NOT
+  FROM g_hit h JOIN v_trans t USING (media, idx) WHERE h.required AND t.text <> '' AND NOT
     CASE WHEN regexp_matches(lower(h.target), '^[a-z0-9][a-z0-9 ''\\-]*$')
       THEN regexp_matches(lower(t.text), '(^|[^\\p{L}\\p{N}_])' || lower(h.target) || '($|[^\\p{L}\\p{N}_])')
       ELSE contains(lower(t.text), lower(h.target)) END)"""

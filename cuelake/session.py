@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings that matter for plan shape. They are runtime SQL settings, so a cluster
 # session can take them over without a restart.
 PLAN_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Cue rows are few bytes and much work (alignment, metrics): keep small partitions apart.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join partition even where that costs one more shuffle later on.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
@@ -21,11 +19,9 @@ PLAN_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Arrow batches hold whole cue texts: bound them by bytes as well as by rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
 
-# Largest table, in rows, that may be shipped to every executor.
-BROADCAST_ROW_BOUND = 100_000
-
 
 def build_session(master: str = "local[8]", app: str = "cuelake", **conf: str) -> SparkSession:
     """A local session with the plan settings; clusters bring their own."""
@@ -53,12 +49,21 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints, as named by the cluster; a new local one only if unset."""
+    """Shared folder for checkpoints, as named by the cluster; a new local one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="cuelake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return root.rstrip("/")
+
+
+def made_once(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows to the shared folder and read them back, so that several readers see the same rows."""
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -71,21 +76,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash the rows over all cores when the input has fewer splits than there are cores.
+    """Hash the rows by a key once, whatever the number of splits.
 
-    A few large files with one row group each would leave most cores idle in front of
-    row-local text work. Inputs with enough splits, as on a cluster, are not shuffled.
+    A few large files would leave most cores idle in front of row-local text work, and several
+    branches over the same texts share this exchange instead of reading the table again.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-def fits_broadcast(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> bool:
-    """True when the table has at most ``bound`` rows; reads no more than it must."""
-    return df.limit(bound + 1).count() <= bound
-
-
-def join_small(left: DataFrame, small: DataFrame, on, how: str = "left",
-               bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """Join a dimension: broadcast when its size is checked, shuffle join otherwise."""
-    return left.join(F.broadcast(small) if fits_broadcast(small, bound) else small, on, how)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key)
