@@ -85,10 +85,11 @@ def batch_number(spark, d):
     return prompts.batch_number(v.lines(spark, d), 20).select("media", "idx", "batch_no", "pos")
 
 
-@REG.query(f"""WITH {v.Q_DIALOGUE},{Q_GLOSS}, b AS (SELECT d.media, d.idx, string_agg('- ' || g.source || ' -> ' || g.target || ' (' || g.kind || ', ' ||
-    CASE WHEN g.required THEN 'required' ELSE 'preferred' END || ')', chr(10) ORDER BY g.required DESC,
-    CASE g.kind WHEN 'name' THEN 0 WHEN 'honorific' THEN 1 ELSE 2 END, length(g.source) DESC, g.source) AS body
-  FROM v_dialogue d JOIN g_terms g ON contains(d.text, g.source) GROUP BY ALL)
+@REG.query(f"""WITH {v.Q_DIALOGUE},{Q_GLOSS}, h AS (SELECT d.media, d.idx, g.*, row_number() OVER (PARTITION BY d.media, d.idx ORDER BY g.required DESC,
+    CASE g.kind WHEN 'name' THEN 0 WHEN 'honorific' THEN 1 ELSE 2 END, length(g.source) DESC, g.pos) AS rank
+  FROM v_dialogue d JOIN g_terms g ON contains(d.text, g.source)),
+  b AS (SELECT media, idx, string_agg('- ' || source || ' -> ' || target || ' (' || kind || ', ' ||
+    CASE WHEN required THEN 'required' ELSE 'preferred' END || ')', chr(10) ORDER BY rank) AS body FROM h WHERE rank <= 6 GROUP BY ALL)
   SELECT d.media, d.idx, coalesce('Glossary enforcement (must follow for this cue):' || chr(10) || b.body, '') AS glossary_block,
     coalesce(lag(trim(d.text)) OVER (PARTITION BY d.media ORDER BY d.idx), '') AS previous_output, d.text AS source_text
   FROM v_dialogue d LEFT JOIN b USING (media, idx)""")
