@@ -86,6 +86,11 @@ def strip_cjk(c: Column) -> Column:
     return F.when(cleaned == "", c).otherwise(cleaned)
 
 
+def strip_cjk_all(texts: Column) -> Column:
+    """:func:`strip_cjk` for each text of an array that holds CJK characters."""
+    return F.transform(texts, lambda t: F.when(has_cjk(t, "pack"), strip_cjk(t)).otherwise(t))
+
+
 def recover_prefix(c: Column) -> Column:
     """Latin text before a trailing CJK run, when it looks like a whole sentence."""
     head = F.regexp_extract(c, r"(?s)^(.*?)" + CJK_POLISH, 1)

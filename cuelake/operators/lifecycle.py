@@ -6,7 +6,9 @@ and "first" picks are min_by / max_by aggregates, combined map-side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import strip
@@ -177,3 +179,53 @@ def dataset_summary(pairs: DataFrame, title: str = "source_video") -> DataFrame:
     n, t = F.sum("n"), F.count(F.lit(1))
     return per.agg(F.coalesce(n, F.lit(0)).alias("total_pairs"), t.alias("total_videos"),
                    F.when(t > 0, n / t).otherwise(0.0).alias("avg_pairs_per_video"))
+
+
+# --- filtered reads and records ---------------------------------------------------------
+
+def read_registry(spark: SparkSession, path: str, order: Sequence[Column] = (), limit: int | None = None, **filters) -> DataFrame:
+    """Rows of a registry table with the given equality filters, in the given order.
+
+    A filter that is None is not applied; the others reach the scan. ``limit`` keeps the first
+    rows of the order, as a listing of recent rows asks for.
+    """
+    rows = spark.read.parquet(path)
+    for name, value in filters.items():
+        if value is not None:
+            rows = rows.filter(F.col(name) == F.lit(value))
+    rows = rows.orderBy(*order) if order else rows
+    return rows.limit(limit) if limit is not None else rows
+
+
+def with_metric_defaults(runs: DataFrame, metrics: str = "metrics", names: Sequence[str] = ("wer", "bleu", "chrf")) -> DataFrame:
+    """Metrics that a run leaves out are read from its metrics document (L3)."""
+    doc = F.try_parse_json(F.col(metrics))
+    return runs.withColumns({n: F.coalesce(F.col(n), F.try_variant_get(doc, f"$.{n}", "double")) for n in names})
+
+
+def record_runs(existing: DataFrame, incoming: DataFrame, key: str = "run_id", order: str = "ord",
+                metrics: str = "metrics") -> tuple[DataFrame, DataFrame]:
+    """(new runs with metric defaults, rejects with a reason) (L3)."""
+    new, old = unique_append(existing, incoming, key, order)
+    return with_metric_defaults(new, metrics), old.withColumn("reason", F.concat(F.lit("run exists: "), F.col(key).cast("string")))
+
+
+def skip_existing(inputs: DataFrame, outputs: DataFrame, key) -> DataFrame:
+    """Inputs with ``status``: ``skipped`` where an output of their key exists, else ``todo``."""
+    keys = [key] if isinstance(key, str) else list(key)
+    known = outputs.select(*keys).distinct().withColumn("_there", F.lit(True))
+    return inputs.join(known, keys, "left").withColumn("status", F.when(F.col("_there"), "skipped").otherwise("todo")).drop("_there")
+
+
+def union_tracks(*tables: DataFrame) -> DataFrame:
+    """Rows of all tables by column name; what a table lacks is null."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def with_output(inputs: DataFrame, outputs: DataFrame, key) -> DataFrame:
+    """Inputs that have an output of their key."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return inputs.join(outputs.select(*keys), keys, "left_semi")

@@ -35,12 +35,11 @@ def _ts(c: str) -> str:
             f"lpad(CAST({c} // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST({c} % 1000 AS VARCHAR), 3, '0')")
 
 
-@REG.query(f"""WITH {v.Q_CUES}, n AS (SELECT *, row_number() OVER (PARTITION BY media, cand ORDER BY idx) AS number FROM v_cues WHERE (media + idx) % 5 <> 0)
+@REG.query(f"""WITH {v.Q_CUES}, n AS (SELECT *, row_number() OVER (PARTITION BY media, cand ORDER BY idx) AS number FROM v_cues)
   SELECT media, cand, (number - 1) // 10000 AS part, string_agg(number || chr(10) || {_ts('start_ms')} || ' --> ' || {_ts('end_ms')} || chr(10) ||
     {v.sql_strip('text')} || chr(10), chr(10) ORDER BY number) AS srt FROM n GROUP BY ALL""")
 def render_srt(spark, d):
-    c = timed(spark, d).filter((F.col("media") + F.col("idx")) % 5 != 0)
-    return timing.render_srt(timing.srt_blocks(c, K, order="idx", simple=True), K)
+    return timing.render_srt(timing.srt_blocks(timed(spark, d), K, order="idx", simple=True), K)
 
 
 @REG.query(f"WITH {v.Q_CUES} SELECT media, cand, idx, row_number() OVER (PARTITION BY media, cand ORDER BY start_ms, end_ms, idx) - 1 AS pos FROM v_cues")
@@ -49,12 +48,12 @@ def sort_cues(spark, d):
     return dense_index(timed(spark, d), K, "start_ms", ["end_ms", "idx"], name="pos").select(*K, "idx", "pos")
 
 
-@REG.query(f"""WITH {v.Q_CUES} SELECT 'ref' AS cand, 'embedded' AS source, count(*) AS cues FROM v_cues UNION ALL
-  SELECT cand, CASE cand WHEN 'asr' THEN 'asr' ELSE 'mt' END, count(*) FROM v_cand GROUP BY ALL""".replace(v.Q_CUES, v.Q_CAND))
+@REG.query(f"""WITH {v.Q_CAND} SELECT media, cand, idx, start_ms, end_ms, text, 'embedded' AS source, CAST(NULL AS VARCHAR) AS translation_engine FROM v_cues UNION ALL
+  SELECT media, cand, idx, start_ms, end_ms, text, cand, CASE cand WHEN 'mt' THEN 'baseline' END FROM v_cand""")
 def union_candidates(spark, d):
     ref = timed(spark, d).withColumn("source", F.lit("embedded"))
     cand = v.cand_cues(spark, d).withColumn("source", F.col("cand")).withColumn("translation_engine", F.when(F.col("cand") == "mt", "baseline"))
-    return ref.unionByName(cand, allowMissingColumns=True).groupBy("cand", "source").agg(F.count(F.lit(1)).alias("cues"))
+    return lc.union_tracks(ref, cand)
 
 
 # --- training pairs --------------------------------------------------------------------
@@ -110,13 +109,20 @@ def redact_metadata(spark, d):
     return p.select("page_id", training.redact(js, report=True).alias("js"))
 
 
-@REG.query("""WITH n AS (SELECT doc_id, upper(source || '-' || lpad(CAST(doc_id AS VARCHAR), 3, '0') || '.mkv') AS f FROM documents)
-  SELECT doc_id, regexp_extract(f, '^([A-Z]+)', 1) || '-' || regexp_extract(f, '^[A-Z]+(\\d+)-0*(\\d+)', 1) AS canonical_id FROM n""")
+@REG.query("""WITH n AS (SELECT doc_id, doc_id % 5 AS k, lpad(CAST(doc_id % 100000 AS VARCHAR), 6, '1') AS six, lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') AS four FROM documents)
+  SELECT doc_id, CASE k WHEN 0 THEN 'FC2-PPV-' || six WHEN 1 THEN 'CARIBBEANCOM-' || six || '-123' WHEN 2 THEN 'HEYZO-' || four
+      WHEN 3 THEN 'ABC-' || CASE WHEN doc_id % 10000 < 10 THEN lpad(CAST(doc_id % 10000 AS VARCHAR), 2, '0') ELSE CAST(doc_id % 10000 AS VARCHAR) END END AS canonical_id,
+    CASE k WHEN 0 THEN 'fc2_ppv' WHEN 1 THEN 'caribbean' WHEN 2 THEN 'heyzo' WHEN 3 THEN 'studio_serial' END AS id_family FROM n""")
 def catalog_id(spark, d):
+    """The four shipped pattern families, and names that hold only a generic word."""
     from cuelake.functions.names import catalog_id as cid
-    name = F.concat("source", F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 3, "0"), F.lit(".mkv"))
-    pats = (("source_serial", r"(?<![A-Z0-9])([A-Z]{2,10})[-_ ]?0*(\d{1,5})(?!\d)", (1, 2)),)
-    return v.table(spark, d, "documents").select("doc_id", cid(name, pats)["canonical_id"].alias("canonical_id"))
+    i = F.col("doc_id")
+    six, four = F.lpad((i % 100000).cast("string"), 6, "1"), F.lpad((i % 10000).cast("string"), 4, "0")
+    name = (F.when(i % 5 == 0, F.concat(F.lit("in/fc2 ppv_"), six, F.lit(".mkv"))).when(i % 5 == 1, F.concat(F.lit("[Caribbeancom] "), six, F.lit("-123.mp4")))
+            .when(i % 5 == 2, F.concat(F.lit("a/b/heyzo-"), four, F.lit(".avi"))).when(i % 5 == 3, F.concat(F.lit("(x) abc-"), four, F.lit(".mkv")))
+            .otherwise(F.lit("movie.x264-720.mkv")))
+    got = cid(name)
+    return v.table(spark, d, "documents").select("doc_id", got["canonical_id"].alias("canonical_id"), got["id_family"].alias("id_family"))
 
 
 @REG.query("SELECT event_id, CASE event_type WHEN 'click' THEN 'llama3' WHEN 'view' THEN 'qwen2.5:7b' WHEN 'error' THEN 'llama3.1' ELSE 'llama3' END AS retry_with FROM events")

@@ -96,7 +96,7 @@ def skip_processed(spark, d):
 @REG.query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def processed_titles(spark, d):
     o = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
-    return o.join(v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id")), "id", "left_semi")
+    return lc.with_output(o, v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id")), "id")
 
 
 @REG.query("""WITH s AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'ok' WHEN 'view' THEN 'skipped' WHEN 'error' THEN CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'ok' END ELSE 'no_change' END AS status FROM events)
@@ -227,4 +227,4 @@ def propagate_meta(spark, d):
 def additive_schema(spark, d):
     old = v.table(spark, d, "conversations").select(F.col("conv_id").alias("id"), "role")
     new = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("role"), F.col("lang").alias("source_language"))
-    return old.unionByName(new, allowMissingColumns=True)
+    return lc.union_tracks(old, new)

@@ -10,6 +10,7 @@ from cuelake.operators import prompts
 from cuelake.plans import views as v
 from cuelake.plans.q_text import Q_GLOSS, glossary
 from cuelake.plans.registry import REG
+from cuelake.sources import corrections as co_module
 
 K = v.TRACK
 
@@ -159,12 +160,15 @@ def export_reference_rows(spark, d):
 
 
 @REG.query(f"""WITH {Q_VALID} SELECT ord, 'Context before: ' || previous_context || chr(10) || 'Source: ' || source_text || chr(10) ||
-  'Context after: ' || next_context AS user_content, approved_translation AS assistant_content, language_pack FROM n_ok""")
+  'Context after: ' || next_context AS user_content, approved_translation AS assistant_content, language_pack, '{co_module.SFT_SYSTEM}' AS system_content,
+  'system,user,assistant' AS roles, source_lang, target_lang, domain, array_to_string(tags, ',') AS tags FROM n_ok""")
 def export_sft_messages(spark, d):
     co, n = _corr(spark, d)
     m = co.sft_messages(co.split_valid(n)[0])
     return m.select("ord", F.col("messages")[1]["content"].alias("user_content"),
-                    F.col("messages")[2]["content"].alias("assistant_content"), F.col("metadata.language_pack").alias("language_pack"))
+                    F.col("messages")[2]["content"].alias("assistant_content"), F.col("metadata.language_pack").alias("language_pack"),
+                    F.col("messages")[0]["content"].alias("system_content"), F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"),
+                    "metadata.source_lang", "metadata.target_lang", "metadata.domain", F.array_join("metadata.tags", ",").alias("tags"))
 
 
 @REG.query(f"""WITH {Q_VALID} SELECT ord, source_text, bad_translation AS rejected_translation, approved_translation AS chosen_translation,
@@ -175,6 +179,12 @@ def export_preference_pairs(spark, d):
     return co.preference_pairs(co.split_valid(n)[0])[0].withColumn("tags", F.array_join("tags", ","))
 
 
+@REG.query(f"""WITH {Q_VALID} SELECT ord, 'missing_required_fields:bad_translation' AS reason FROM n_ok WHERE bad_translation = ''""")
+def preference_rejects(spark, d):
+    co, n = _corr(spark, d)
+    return co.preference_pairs(co.split_valid(n)[0])[1]
+
+
 @REG.query(f"""WITH {Q_VALID}, t AS (SELECT count(*) FILTER (missing = '') AS ok, count(*) FILTER (missing <> '') AS bad,
     count(*) FILTER (missing = '' AND bad_translation <> '') AS pref FROM n_bad WHERE source_lang = 'ja')
   SELECT 'approved_corrections' AS dataset, ok AS written, bad AS skipped FROM t UNION ALL SELECT 'benchmark', ok, bad FROM t
@@ -184,10 +194,12 @@ def export_summary(spark, d):
     return co.export_summary(v.corrections(spark, d), source_lang="ja")
 
 
-@REG.query("""SELECT source_lang, count(*) AS records FROM (SELECT lower(trim(role)) AS source_lang, trim(text) AS t FROM conversations) WHERE t <> '' GROUP BY ALL""")
+@REG.query(f"""SELECT lower(trim(role)) AS source_lang, 'en' AS target_lang, {v.sql_strip('text')} AS source_text, 'conv ' || conv_id AS notes FROM conversations""")
 def read_corrections(spark, d):
+    """Records as JSON lines, each beside a broken line that is left out."""
     from cuelake.sources import corrections as co
     c = v.table(spark, d, "conversations")
-    js = c.select(F.explode(F.array(F.to_json(F.struct(F.concat(F.lit(" "), F.upper("role")).alias("source_lang"), F.col("text").alias("source_text"))),
-                                    F.lit("{broken"))).alias("value"))
-    return co.parse_corrections(js).filter("source_text <> ''").groupBy("source_lang").agg(F.count(F.lit(1)).alias("records"))
+    rec = F.struct(F.concat(F.lit(" "), F.upper("role")).alias("source_lang"), F.col("text").alias("source_text"),
+                   F.concat(F.lit("conv "), F.col("conv_id").cast("string"), F.lit(" ")).alias("notes"))
+    js = c.select(F.explode(F.array(F.to_json(rec), F.lit("{broken"))).alias("value"))
+    return co.parse_corrections(js).select("source_lang", "target_lang", "source_text", "notes")

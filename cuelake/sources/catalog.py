@@ -81,3 +81,27 @@ def filter_tracks(streams: DataFrame, kind: str, languages, subtitle_filter: str
     if kind == "subtitle" and subtitle_filter in ("text", "bitmap"):
         out = out.filter(F.col("is_bitmap") == (subtitle_filter == "bitmap"))
     return out.withColumn("detected_language", lang)
+
+
+def choose_audio(streams: DataFrame, title: str = "media", preferred=("ja", "jpn")) -> DataFrame:
+    """Per title the number of its audio track in the first preferred language, else 0.
+
+    ``streams``: kind, ord and language of every stream (:func:`explode_streams`). A title
+    without audio has 0 too.
+    """
+    prio = F.lit(len(preferred))
+    for i in range(len(preferred) - 1, -1, -1):
+        prio = F.when(F.col("language") == container_language(F.lit(preferred[i])), i).otherwise(prio)
+    hit = F.when((F.col("kind") == "audio") & (prio < len(preferred)), F.struct(prio.alias("p"), F.col("ord").alias("o")))
+    return streams.groupBy(title).agg(F.coalesce(F.min(hit)["o"], F.lit(0)).cast("bigint").alias("audio_ord"))
+
+
+# File endings of media files.
+MEDIA_ENDINGS = ("mkv", "mp4", "avi", "mov", "m4v", "webm")
+
+
+def list_media(spark: SparkSession, folder: str, recursive: bool = False, endings=MEDIA_ENDINGS) -> DataFrame:
+    """path, length, modified of the media files of a folder (S8). Contents are never read."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(endings) + "}")
+             .option("recursiveFileLookup", str(recursive).lower()).load(folder))
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))

@@ -108,3 +108,15 @@ def export_all(raw: DataFrame, out: str, **filters) -> DataFrame:
                      ("preference_pairs", pairs), ("skipped_records", bad.unionByName(no_bad))):
         df.drop("ord").write.mode("overwrite").json(f"{out}/{name}")
     return export_summary(raw, **filters)
+
+
+def add_corrections(raw: DataFrame, path: str) -> DataFrame:
+    """Append the valid ones of new records to the store at ``path`` as JSON lines; return the rejects.
+
+    Records are normalised first, as on reading. ``ord`` names a record in the rejects and is
+    not stored; other columns are not stored either.
+    """
+    valid, bad = split_valid(normalize(raw))
+    fields = [f.split(" ")[0] for f in SCHEMA.split(", ")]
+    valid.select(*[c for c in fields if c in valid.columns]).write.mode("append").json(path)
+    return bad
