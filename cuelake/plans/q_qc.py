@@ -107,12 +107,16 @@ def violation_counts(spark, d):
     return qc.violation_counts(qc_tables(spark, d)[2], K)
 
 
-@REG.query(f"""WITH {Q_QC} SELECT media, cand, CAST(0 AS BIGINT) AS part,
-  CASE WHEN error_count > 0 THEN 'fail' WHEN warning_count > 0 THEN 'warn' ELSE 'pass' END AS overall_qc_status
-  FROM q_summary""")
+@REG.query(f"""WITH {Q_QC}, w_v AS (SELECT media, cand, list(struct_pack(cue_index := cue_index, type := type, severity := severity, detail := detail)
+    ORDER BY cue_index, type, severity, detail) AS l FROM q_viol GROUP BY ALL),
+  w_s AS (SELECT *, CASE WHEN error_count > 0 THEN 'fail' WHEN warning_count > 0 THEN 'warn' ELSE 'pass' END AS overall_qc_status FROM q_summary)
+  SELECT media, cand, CAST(0 AS BIGINT) AS part, overall_qc_status, CAST(to_json(struct_pack(schema_version := 2, subtitle_qc := struct_pack(parsed_ok := true,
+    cue_count := cue_count, error_count := error_count, warning_count := warning_count, pass_qc := error_count = 0, violations := coalesce(l, []))))
+    AS VARCHAR)[:-2] || ',"overall_qc_status":"' || overall_qc_status || '"}}' AS doc
+  FROM w_s LEFT JOIN w_v USING (media, cand)""")
 def write_qc_sidecar(spark, d):
     t, c, viol = qc_tables(spark, d)
-    return qc.qc_sidecar(qc.qc_summary(t, c, viol, K), viol, K).drop("doc")
+    return qc.qc_sidecar(qc.qc_summary(t, c, viol, K), viol, K)
 
 
 _S, _O = v.sql_strip("source_text"), v.sql_strip("text")
@@ -137,10 +141,20 @@ h_all AS (
   WHERE s <> '' AND o <> '' AND {_LIKE("lower(s || chr(10) || o)", qc.HIGH_RISK_MARKERS)})"""
 
 
-@REG.query(f"WITH {Q_HEUR} SELECT * FROM h_all")
+_RATIO = _fixed("no", "greatest(ns, 1)", 2)
+
+
+@REG.query(f"""WITH {Q_HEUR} SELECT media, cand, cue_index, type, 'warning' AS severity, CASE type
+    WHEN 'translation_possible_untranslated' THEN 'Output still contains CJK characters; translation may have failed'
+    WHEN 'translation_possible_omission' THEN 'Translated cue is much shorter than source (ratio=' || {_RATIO} || '); possible omission'
+    WHEN 'translation_possible_added_meaning' THEN 'Translated cue is much longer than source (ratio=' || {_RATIO} || '); possible added meaning'
+    WHEN 'translation_possible_softened_adult_dialogue' THEN 'Live-action/adult profile source appears explicit, but translation may be softened or euphemized'
+    WHEN 'translation_low_confidence_flagged' THEN 'Translation line is flagged as uncertain and should be reviewed'
+    ELSE 'Potential minor/coercion/illegal-content indicator detected; manual safety review required' END AS detail
+  FROM h_all JOIN h USING (media, cand, cue_index)""")
 def translation_heuristics(spark, d):
     t = v.translation_cues(spark, d)
-    return qc.translation_heuristics(t, K, profile="live_action_adult").select(*K, "cue_index", "type")
+    return qc.translation_heuristics(t, K, profile="live_action_adult").select(*K, "cue_index", "type", "severity", "detail")
 
 
 # --- metrics ---------------------------------------------------------------------------

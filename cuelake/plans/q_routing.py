@@ -106,13 +106,50 @@ def select_strategy(spark, d):
 _TIER = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in scoring.STRATEGY_TIER.items())
 Q_REP = Q_SRC + ", s_rep AS (" + " UNION ALL ".join(
     f"SELECT media, strategy AS selected_source, '{n}' AS source, {c} IS NOT NULL AS detected, CASE WHEN {c} IS NULL THEN 'not_available' "
-    f"WHEN strategy = '{n}' THEN 'selected' ELSE 'skipped' END AS status FROM s_strat WHERE strategy IS NOT NULL"
-    + (f" AND strategy = '{n}'" if n.startswith("untagged") else "") for n, c, _ in selection.SOURCE_COLUMNS) + ")"
+    f"WHEN strategy = '{n}' THEN 'selected' ELSE 'skipped' END AS status, '{label}:' || {c} AS stream, CASE WHEN {c} IS NULL THEN 'not detected' "
+    f"WHEN strategy = '{n}' THEN 'selected' ELSE 'Lower priority than selected source (' || strategy || ')' END AS reason FROM s_strat WHERE strategy IS NOT NULL"
+    + (f" AND strategy = '{n}'" if n.startswith("untagged") else "") for n, c, label in selection.SOURCE_COLUMNS) + ")"
+
 
+_REVIEW = ", ".join(f"'{x}'" for x in scoring.REVIEW_STRATEGIES)
 
-@REG.query(f"WITH {Q_REP} SELECT *, CASE selected_source {_TIER} END AS confidence_tier FROM s_rep")
+
+@REG.query(f"""WITH {Q_REP} SELECT *, CASE selected_source {_TIER} END AS confidence_tier, selected_source IN ({_REVIEW}) AS review_recommended,
+  CASE WHEN selected_source IN ({_REVIEW}) THEN '{selection.REVIEW_REASON}' END AS review_reason FROM s_rep""")
 def selection_report(spark, d):
-    return selection.selection_report(chosen(spark, d)).select("media", "selected_source", "source", "detected", "status", "confidence_tier")
+    return selection.selection_report(chosen(spark, d)).select("media", "selected_source", "source", "detected", "status", "stream", "reason", "confidence_tier",
+                                                               "review_recommended", "review_reason")
+
+
+def _override(spark, d, **settings):
+    s = selection.select_strategy(sources(spark, d), **settings)
+    return selection.selection_report(s, **settings).select("media", "selected_source", "source", "status", "reason")
+
+
+_PICK = ("CASE WHEN en_audio IS NOT NULL THEN 'en_audio_asr' WHEN ja_sidecar IS NOT NULL THEN 'sidecar_jp_mt' WHEN ja_sub IS NOT NULL THEN 'embedded_jp_mt' "
+         "WHEN n_audio > 0 THEN 'untagged_audio_asr_mt' END")
+
+
+def _why(n: str) -> str:
+    if n in ("sidecar_en", "embedded_en"):
+        return "'prefer_subtitles=False in config'"
+    if n.startswith("bitmap"):
+        return "'OCR backend not configured'"
+    other = "'prefer_audio_language=''en'' in config'" if n == "ja_audio_asr_mt" else "'Lower priority than selected source (' || strategy || ')'"
+    return f"CASE WHEN strategy = '{n}' THEN 'selected' ELSE {other} END"
+
+
+Q_OVER = Q_SRC + f""",
+o_pick AS (SELECT *, {_PICK} AS strategy FROM s_all), o_rep AS (""" + " UNION ALL ".join(
+    f"SELECT media, strategy AS selected_source, '{n}' AS source, CASE WHEN {c} IS NULL THEN 'not_available' WHEN strategy = '{n}' THEN 'selected' ELSE 'skipped' END AS status, "
+    f"CASE WHEN {c} IS NULL THEN 'not detected' ELSE {_why(n)} END AS reason FROM o_pick WHERE strategy IS NOT NULL"
+    + (f" AND strategy = '{n}'" if n.startswith("untagged") else "") for n, c, _ in selection.SOURCE_COLUMNS) + ")"
+
+
+@REG.query(f"WITH {Q_OVER} SELECT * FROM o_rep")
+def selection_overrides(spark, d):
+    """The report where settings turn subtitles and OCR off and ask for English speech."""
+    return _override(spark, d, prefer_subtitles=False, prefer_audio="en", ocr=False)
 
 
 # --- candidate tables made of orders: title = customer ----------------------------------
@@ -263,6 +300,12 @@ def score_candidate(spark, d):
     return scored(spark, d)[1].select(*K, "total_score", "grade", "asr_warning_density", "ocr_warning_density")
 
 
+@REG.query(f"""WITH {Q_SCORE} SELECT * FROM (SELECT media, cand, unnest(['strategy_base', 'qc_pass_rate', 'segment_yield', 'asr_warning_density', 'ocr_warning_density', 'translation_qc_status']) AS name,
+  unnest([CAST(base AS DOUBLE), qp, yp, CASE WHEN ap <> 0 THEN ap END, CASE WHEN op <> 0 THEN op END, CASE WHEN tp <> 0 THEN tp END]) AS contribution FROM r_score) WHERE contribution IS NOT NULL""")
+def score_factors(spark, d):
+    return scored(spark, d)[1].select(*K, F.inline("factors"))
+
+
 @REG.query(f"""WITH {Q_SCORE} SELECT media, cand, CASE WHEN rej THEN 'reject' WHEN rvw THEN 'review' ELSE 'pass' END AS decision,
   concat_ws(',', CASE WHEN total_score < 20 THEN 'score_below_reject_threshold' END, CASE WHEN qc_status = 'fail' THEN 'translation_qc_fail' END,
     CASE WHEN NOT rej AND total_score < 60 THEN 'score_below_review_threshold' END, CASE WHEN NOT rej AND ad >= 0.1 THEN 'asr_warning_density' END,

@@ -189,21 +189,25 @@ def glossary_precedence(spark, d):
 _LIKE = lambda col, ms: "(" + " OR ".join(f"contains({col}, '{m}')" for m in ms) + ")"
 Q_FIND = Q_MATCH + f""",
 f_b AS (SELECT *, CASE WHEN trim(literal_text) <> '' THEN trim(literal_text) ELSE trim(source_text) END AS base FROM v_trans),
-f_c AS (SELECT *, trim(text) AS o, length(trim(text)) AS no, length(base) AS nb, len(list_filter({_KEY},
-    lambda k: NOT list_contains(list_transform(regexp_extract_all(text, '{_TOK}'), lambda w: lower(w)), k))) AS miss,
+f_c AS (SELECT *, trim(text) AS o, length(trim(text)) AS no, length(base) AS nb, list_filter({_KEY},
+    lambda k: NOT list_contains(list_transform(regexp_extract_all(text, '{_TOK}'), lambda w: lower(w)), k)) AS lost, len(lost) AS miss,
+    (no * 200 + greatest(nb, 1)) // (greatest(nb, 1) * 2) AS pct, '(ratio=' || (pct // 100) || '.' || lpad(CAST(pct % 100 AS VARCHAR), 2, '0') || ')' AS ratio,
     lower(source_text || chr(10) || literal_text) AS reg FROM f_b),
 f_all AS (
-  SELECT media, cand, idx, 'possible_omission' AS code, 'fail' AS severity FROM f_c WHERE no = 0
-  UNION ALL SELECT media, cand, idx, 'cjk_leakage', 'warning' FROM f_c WHERE regexp_matches(o, '{_CJKX}')
+  SELECT media, cand, idx, 'possible_omission' AS code, 'fail' AS severity, 'Final subtitle line is empty' AS message FROM f_c WHERE no = 0
+  UNION ALL SELECT media, cand, idx, 'cjk_leakage', 'warning', 'Final subtitle contains CJK characters' FROM f_c WHERE regexp_matches(o, '{_CJKX}')
   UNION ALL SELECT media, cand, idx, CASE WHEN no <= nb * 0.45 THEN 'possible_omission' ELSE 'added_meaning' END,
-    CASE WHEN no * 100 <= nb * 25 OR no * 100 >= nb * 280 THEN 'fail' ELSE 'warning' END
+    CASE WHEN no * 100 <= nb * 25 OR no * 100 >= nb * 280 THEN 'fail' ELSE 'warning' END,
+    CASE WHEN no * 100 <= nb * 25 THEN 'Final subtitle is much shorter than baseline ' WHEN no * 100 <= nb * 45 THEN 'Final subtitle may omit baseline meaning '
+      WHEN no * 100 >= nb * 280 THEN 'Final subtitle is much longer than baseline ' ELSE 'Final subtitle may add unsupported meaning ' END || ratio
   FROM f_c WHERE no > 0 AND nb > 0 AND (no * 100 <= nb * 45 OR no * 100 >= nb * 180)
-  UNION ALL SELECT media, cand, idx, 'wrong_meaning', CASE WHEN miss >= 2 THEN 'fail' ELSE 'warning' END
+  UNION ALL SELECT media, cand, idx, 'wrong_meaning', CASE WHEN miss >= 2 THEN 'fail' ELSE 'warning' END,
+    CASE WHEN miss >= 2 THEN 'Final subtitle dropped key terms: ' ELSE 'Final subtitle may drift from literal terms: ' END || array_to_string(lost[1:3], ', ')
   FROM f_c WHERE no > 0 AND literal_text <> '' AND miss >= 1
-  UNION ALL SELECT media, cand, idx, 'register_softened', 'warning' FROM f_c
+  UNION ALL SELECT media, cand, idx, 'register_softened', 'warning', 'Final subtitle appears softer than source/literal register' FROM f_c
   WHERE no > 0 AND ({_LIKE('reg', transqc.STRONG_SOURCE)} OR {_LIKE('reg', transqc.STRONG_TARGET)})
     AND NOT {_LIKE('lower(o)', transqc.STRONG_TARGET)} AND {_LIKE('lower(o)', transqc.SOFT_TARGET)}
-  UNION ALL SELECT media, cand, idx, code, 'warning' FROM g_drift),
+  UNION ALL SELECT media, cand, idx, code, 'warning', message FROM g_drift),
 f_sum AS (SELECT t.media, t.cand, count(f.code) FILTER (f.severity = 'warning') AS warning_count,
     count(f.code) FILTER (f.severity = 'fail') AS fail_count
   FROM (SELECT DISTINCT media, cand FROM v_trans) t LEFT JOIN f_all f USING (media, cand) GROUP BY ALL)"""
@@ -216,7 +220,7 @@ def findings(spark, d):
 
 @REG.query(f"WITH {Q_FIND} SELECT * FROM f_all")
 def translation_findings(spark, d):
-    return findings(spark, d)[1].select(*K, "idx", "code", "severity")
+    return findings(spark, d)[1].select(*K, "idx", "code", "severity", "message")
 
 
 @REG.query(f"""WITH {Q_FIND} SELECT t.media, t.cand, t.idx, count(f.code) AS finding_count,
@@ -254,7 +258,7 @@ def normalize_failure_code(spark, d):
                                               normalize_severity(code, sev).alias("severity"))
 
 
-@REG.query(f"""WITH {Q_FIND}, x AS (SELECT * FROM f_all UNION ALL SELECT media, cand, idx, 'needs_human_review', 'warning'
+@REG.query(f"""WITH {Q_FIND}, x AS (SELECT * EXCLUDE (message) FROM f_all UNION ALL SELECT media, cand, idx, 'needs_human_review', 'warning'
     FROM v_trans WHERE (media + idx) % 8 = 0)
   SELECT t.media, t.cand, t.idx, count(f.code) AS finding_count, CASE WHEN count(f.code) FILTER (f.severity = 'fail') > 0 THEN 'fail'
     WHEN count(f.code) > 0 THEN 'warn' ELSE 'pass' END AS status FROM v_trans t LEFT JOIN x f USING (media, cand, idx) GROUP BY ALL""")

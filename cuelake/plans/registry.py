@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cuelake.session import tune
 
 MODULES = ("q_sources", "q_align", "q_qc", "q_text", "q_memory", "q_routing", "q_lifecycle", "q_export",
-           "q_infer", "q_records")
+           "q_infer", "q_records", "q_streams")
 
 
 class Registry:
