@@ -229,3 +229,21 @@ def with_output(inputs: DataFrame, outputs: DataFrame, key) -> DataFrame:
     """Inputs that have an output of their key."""
     keys = [key] if isinstance(key, str) else list(key)
     return inputs.join(outputs.select(*keys), keys, "left_semi")
+
+
+def approved_children(tasks: DataFrame, cues: DataFrame, edits: DataFrame, keys=("media", "cand")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cues of the child candidates, history events, edits out of range) of approved tasks.
+
+    ``tasks``: task_id, source_id and the keys of the track they review. A child has all cues of
+    its parent, with the edits put in; ``idx``, ``start_ms`` and ``end_ms`` stay. Its SRT text is
+    ``timing.render_srt`` over these cues. A task whose edits are out of range is still approved.
+    """
+    keys = list(keys)
+    track = tasks.select("task_id", F.concat("source_id", F.lit(".review_t"), F.col("task_id").cast("string")).alias("child_id"), *keys)
+    mine = track.select(*keys).distinct()
+    edited, bad = apply_edits(cues.join(mine, keys, "left_semi"), edits.join(mine, keys, "left_semi"), keys)
+    child = edited.join(track, keys).select("task_id", "child_id", *keys, "idx", "start_ms", "end_ms", "text", "edited")
+    n = edited.groupBy(*keys).agg(F.count_if("edited").alias("edit_count"), F.count(F.lit(1)).alias("cue_count"))
+    event = track.join(n, keys, "left").select("task_id", "child_id", F.lit("task_approved").alias("action"),
+                                               F.coalesce("edit_count", F.lit(0)).alias("edit_count"), F.coalesce("cue_count", F.lit(0)).alias("cue_count"))
+    return child, event, bad

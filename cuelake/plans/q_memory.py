@@ -91,14 +91,17 @@ def batch_number(spark, d):
   FROM v_dialogue d JOIN g_terms g ON contains(d.text, g.source)),
   b AS (SELECT media, idx, string_agg('- ' || source || ' -> ' || target || ' (' || kind || ', ' ||
     CASE WHEN required THEN 'required' ELSE 'preferred' END || ')', chr(10) ORDER BY rank) AS body FROM h WHERE rank <= 6 GROUP BY ALL)
-  SELECT d.media, d.idx, coalesce('Glossary enforcement (must follow for this cue):' || chr(10) || b.body, '') AS glossary_block,
-    coalesce(lag(trim(d.text)) OVER (PARTITION BY d.media ORDER BY d.idx), '') AS previous_output, d.text AS source_text
-  FROM v_dialogue d LEFT JOIN b USING (media, idx)""")
+  SELECT media, idx, glossary_block, coalesce(prev, '') AS previous_output, text AS source_text, concat_ws(chr(10) || chr(10), 'Translate only the line marked with >>.',
+    context, 'Previous accepted output:' || chr(10) || prev, nullif(glossary_block, ''), 'Cue:' || chr(10) || text) AS prompt
+  FROM (SELECT d.*, coalesce('Glossary enforcement (must follow for this cue):' || chr(10) || b.body, '') AS glossary_block, lag(trim(d.text)) OVER w AS prev, concat_ws(chr(10),
+      '   ' || (d.idx - 1) || ': ' || lag(d.text, 2) OVER w, '   ' || d.idx || ': ' || lag(d.text, 1) OVER w, '>> ' || (d.idx + 1) || ': ' || d.text,
+      '   ' || (d.idx + 2) || ': ' || lead(d.text, 1) OVER w, '   ' || (d.idx + 3) || ': ' || lead(d.text, 2) OVER w) AS context
+    FROM v_dialogue d LEFT JOIN b USING (media, idx) WINDOW w AS (PARTITION BY d.media ORDER BY d.idx))""")
 def prompt_table(spark, d):
     c = v.dialogue(spark, d).withColumn("out", F.col("text"))
     p = prompts.prompt_table(c, K, glossary=glossary(spark), output="out")
     return p.select("media", "idx", "glossary_block", F.coalesce("previous_output", F.lit("")).alias("previous_output"),
-                    F.col("text").alias("source_text"))
+                    F.col("text").alias("source_text"), "prompt")
 
 
 @REG.query(f"""WITH {v.Q_LINES} SELECT media, idx // 20 AS batch_no, string_agg((idx % 20 + 1) || '. ' || line, chr(10) ORDER BY idx) AS message

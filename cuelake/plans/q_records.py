@@ -151,6 +151,31 @@ def add_corrections(spark, d):
                                                     "previous_context", "next_context", F.array_join("tags", ",").alias("tags"), "language_pack")
 
 
+Q_CHILD = v.Q_CUES + """,
+c_ed AS (SELECT media, CASE WHEN (media + idx) % 7 = 0 THEN idx + 100000 ELSE idx END AS idx, 'fixed ' || line AS new_text FROM v_cues WHERE (media + idx) % 3 = 0),
+c_all AS (SELECT c.media AS task_id, 'sub.review_t' || c.media AS child_id, c.media, c.cand, c.idx, c.start_ms, c.end_ms, coalesce(e.new_text, c.text) AS text, e.new_text IS NOT NULL AS edited
+  FROM v_cues c LEFT JOIN c_ed e USING (media, idx) WHERE c.media % 2 = 0)"""
+
+
+def _children(spark, d):
+    c = v.cues(spark, d).select("media", "cand", "idx", "start_ms", "end_ms", "text", "line")
+    k = F.col("media") + F.col("idx")
+    e = c.filter(k % 3 == 0).select("media", "cand", F.when(k % 7 == 0, F.col("idx") + 100_000).otherwise(F.col("idx")).alias("idx"),
+                                    F.concat(F.lit("fixed "), "line").alias("new_text"))
+    tasks = c.filter("media % 2 = 0").select("media", "cand").distinct().select(F.col("media").alias("task_id"), F.lit("sub").alias("source_id"), "media", "cand")
+    return lc.approved_children(tasks, c.drop("line"), e)
+
+
+@REG.query(f"WITH {Q_CHILD} SELECT * FROM c_all")
+def approved_children(spark, d):
+    return _children(spark, d)[0]
+
+
+@REG.query(f"WITH {Q_CHILD} SELECT task_id, child_id, 'task_approved' AS action, count(*) FILTER (edited) AS edit_count, count(*) AS cue_count FROM c_all GROUP BY ALL")
+def approval_events(spark, d):
+    return _children(spark, d)[1]
+
+
 # --- packs and metadata -----------------------------------------------------------------
 
 @REG.query(f"""WITH {v.Q_MEDIA}, c AS (SELECT *, lower(trim(coalesce(raw_language, ''))) AS code FROM v_str WHERE kind = 'audio'),
