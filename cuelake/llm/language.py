@@ -12,13 +12,14 @@ hash; every row is then classified.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import bounded_batches, worker_state
+from cuelake.llm.common import bounded_batches, partitions, worker_state
 
 SAMPLE = 300
 DIM = 1 << 14
@@ -109,9 +110,13 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     spark = bounded_batches(docs.sparkSession)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("d"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    # A row limit per group is applied before each shuffle too. The limit holds per task, per salt
+    # of tasks, then per language: with n tasks about sqrt(n) * sample short rows meet, not n * sample.
+    salt = F.spark_partition_id() % max(1, isqrt(partitions(spark)))
+    salted = Window.partitionBy("l", "salt").orderBy(F.xxhash64("d"), "d")
     first = Window.partitionBy("l").orderBy(F.xxhash64("d"), "d")
-    # A row limit per group is applied before the shuffle too, so no task sees a whole language.
-    ids = known.select("d", "l").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample).select("d", "l").distinct()
+    some = known.select("d", "l", salt.alias("salt")).withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= sample)
+    ids = some.select("d", "l").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample).select("d", "l").distinct()
     again = Window.partitionBy("l").orderBy(F.xxhash64("d"), "d", F.xxhash64("t"))
     rows = (known.join(F.broadcast(ids), ["d", "l"], "left_semi").withColumn("r", F.row_number().over(again))
             .filter(F.col("r") <= sample).select("l", "t"))
