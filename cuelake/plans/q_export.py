@@ -19,13 +19,34 @@ def timed(spark, d):
     return v.cues(spark, d).select(*K, "idx", "start_ms", "end_ms", "text")
 
 
-@REG.query()
+def _repaired(rows: str, order: str) -> str:
+    """A fold over a track in order: the earlier cue shrinks, else the later one moves (gap 50 ms, least length 500 ms)."""
+    return f"""r_lists AS (SELECT media, cand, list(r ORDER BY {order}) AS rows FROM (SELECT media, cand,
+    {{'idx': idx, 'part': part, 's': CAST(start_ms AS BIGINT), 'e': CAST(end_ms AS BIGINT), 'text': text}} AS r FROM {rows}) GROUP BY ALL),
+r_fold AS (SELECT media, cand, rows, list_reduce(rows, lambda a, x: CASE
+    WHEN len(a.s) = 0 OR x.s >= a.e[-1] + 50 THEN {{'s': list_append(a.s, x.s), 'e': list_append(a.e, x.e)}}
+    WHEN x.s - 50 >= a.s[-1] + 500 THEN {{'s': list_append(a.s, x.s), 'e': list_append(list_append(list_slice(a.e, 1, len(a.e) - 1), x.s - 50), x.e)}}
+    ELSE {{'s': list_append(a.s, a.e[-1] + 50), 'e': list_append(a.e, greatest(x.e, a.e[-1] + 550))}} END,
+    {{'s': CAST([] AS BIGINT[]), 'e': CAST([] AS BIGINT[])}}) AS f FROM r_lists),
+r_rows AS (SELECT media, cand, unnest(rows) AS x, unnest(f.s) AS start_ms, unnest(f.e) AS end_ms FROM r_fold)"""
+
+
+@REG.query(f"""WITH {v.Q_CUES}, t AS (SELECT media, cand, idx, 0 AS part, start_ms, greatest(end_ms, start_ms + 500) AS end_ms, text FROM v_cues),
+{_repaired('t', 'r.s, r.e, r.idx')} SELECT media, cand, x.idx AS idx, start_ms, end_ms FROM r_rows""")
 def repair_overlaps(spark, d):
     c = timed(spark, d).withColumn("end_ms", F.greatest("end_ms", F.col("start_ms") + 500))
     return timing.repair_overlaps(c, K).drop("_pos", "text")
 
 
-@REG.query()
+@REG.query(f"""WITH {v.Q_CUES}, l AS (SELECT media, cand, idx, start_ms, greatest(end_ms, start_ms + 500) - start_ms AS dur, text FROM v_cues
+    WHERE {v.sql_strip('text')} <> ''),
+  p AS (SELECT *, CASE WHEN dur > 7000 OR length(text) > 80 THEN {v.sql_pieces('text')} ELSE [text] END AS pieces FROM l),
+  u AS (SELECT *, len(pieces) AS n, unnest(pieces) AS piece, unnest(range(len(pieces))) AS part FROM p),
+  t AS (SELECT media, cand, idx, part, start_ms + CAST(floor(part * dur / n) AS BIGINT) AS start_ms,
+    start_ms + CAST(floor(part * dur / n) AS BIGINT) + least(CAST(floor(dur / n) AS BIGINT), 7000) AS end_ms,
+    CASE WHEN n > 1 THEN {v.sql_strip('piece')} ELSE text END AS text FROM u),
+{_repaired('t', 'r.s, r.e, r.idx, r.part')}
+  SELECT media, cand, x.idx AS idx, x.part AS part, start_ms, end_ms, x.text AS text FROM r_rows WHERE end_ms - start_ms >= 500""")
 def prepare_cues(spark, d):
     return timing.prepare_cues(timed(spark, d), K).drop("_pos")
 

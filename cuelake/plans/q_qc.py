@@ -159,7 +159,36 @@ def translation_heuristics(spark, d):
 
 # --- metrics ---------------------------------------------------------------------------
 
-@REG.query()
+def _wer_words(c: str) -> str:
+    return f"list_filter(string_split({v.sql_strip(f"regexp_replace({c}, '\\s\\s+', ' ', 'g')")}, ' '), lambda w: w <> '')"
+
+
+# Word edits: words are numbered by the distinct words of the pair. Words of one side only match
+# nothing, so they are one symbol per side. Up to 120 shared words are letters for the built-in
+# distance of bytes; above that the table is folded by diagonals (D(i, d - i) needs the two before).
+Q_WER = Q_TEXTS + f""",
+w_words AS (SELECT DISTINCT ref_text, cand_text, {_wer_words('ref_text')} AS r, {_wer_words('cand_text')} AS h FROM o_texts),
+w_shared AS (SELECT *, list_sort(list_distinct(list_filter(r, lambda w: list_contains(h, w)))) AS common FROM w_words),
+w_codes AS (SELECT ref_text, cand_text, len(common) AS n_both,
+    list_transform(r, lambda w: coalesce(nullif(list_position(common, w), 0), -1)) AS r,
+    list_transform(h, lambda w: coalesce(nullif(list_position(common, w), 0), -2)) AS h FROM w_shared),
+w_byte AS (SELECT ref_text, cand_text, levenshtein(
+    array_to_string(list_transform(r, lambda x: chr(CAST(CASE x WHEN -1 THEN 1 ELSE x + 2 END AS INTEGER))), ''),
+    array_to_string(list_transform(h, lambda x: chr(CAST(CASE x WHEN -2 THEN 2 ELSE x + 2 END AS INTEGER))), '')) AS edits
+  FROM w_codes WHERE n_both <= 120 AND ref_text <> cand_text),
+w_fold AS (SELECT ref_text, cand_text, list_reduce(range(2, len(r) + len(h) + 1), lambda a, d: {{'p2': a.p1, 'p1': list_transform(range(len(r) + 1), lambda i: CASE
+    WHEN i > d OR d - i > len(h) THEN CAST(1000000000 AS BIGINT) WHEN i = 0 OR i = d THEN CAST(d AS BIGINT)
+    ELSE CAST(least(a.p1[i + 1] + 1, a.p1[i] + 1, a.p2[i] + CASE WHEN r[i] = h[d - i] THEN 0 ELSE 1 END) AS BIGINT) END)}},
+    {{'p2': list_transform(range(len(r) + 1), lambda i: CAST(CASE WHEN i = 0 THEN 0 ELSE 1000000000 END AS BIGINT)),
+      'p1': list_transform(range(len(r) + 1), lambda i: CAST(CASE WHEN i <= 1 THEN 1 ELSE 1000000000 END AS BIGINT))}}).p1[len(r) + 1] AS edits
+  FROM w_codes WHERE n_both > 120 AND ref_text <> cand_text),
+w_edits AS (SELECT * FROM w_byte UNION ALL SELECT * FROM w_fold),
+w_wer AS (SELECT media, cand, CAST(sum(coalesce(edits, 0)) AS BIGINT) AS word_edits, CAST(sum(len(r)) AS BIGINT) AS ref_words,
+    CASE WHEN bool_or(ref_text = '') OR sum(len(r)) = 0 THEN 1.0 ELSE round_even(sum(coalesce(edits, 0)) / sum(len(r)), 4) END AS wer
+  FROM o_texts JOIN w_words USING (ref_text, cand_text) LEFT JOIN w_edits USING (ref_text, cand_text) GROUP BY ALL)"""
+
+
+@REG.query(f"WITH {Q_WER} SELECT * FROM w_wer")
 def corpus_wer(spark, d):
     return me.corpus_wer(aligned_texts(spark, d), K)
 
@@ -256,7 +285,25 @@ def tracks(spark, d):
     return v.cand_cues(spark, d).select(*K).distinct()
 
 
-@REG.query()
+def _added(*parts: str) -> str:
+    """The first chain of common tables with what each of the others adds to Q_TEXTS."""
+    return parts[0] + "".join(p.removeprefix(Q_TEXTS) for p in parts[1:])
+
+
+def _seconds(ms: str) -> str:
+    """Milliseconds as seconds with two digits, halves to the even digit, in whole numbers."""
+    return f"(({ms} // 10 + CASE WHEN {ms} % 10 > 5 OR ({ms} % 10 = 5 AND {ms} // 10 % 2 = 1) THEN 1 ELSE 0 END) / 100)"
+
+
+@REG.query(f"""WITH {_added(Q_WER, Q_BLEU, Q_CHRF)},
+  d_rank AS (SELECT *, row_number() OVER (PARTITION BY media, cand ORDER BY idx) AS rank FROM o_diffs WHERE is_diff),
+  d_list AS (SELECT media, cand, CAST(to_json(list({{'rank': rank, 'start': {_seconds('ref_start')}, 'end': {_seconds('ref_end')},
+    'ref': ref_text, 'cand': cand_text}} ORDER BY rank)) AS VARCHAR) AS diffs FROM d_rank WHERE rank <= 20 GROUP BY ALL),
+  d_n AS (SELECT media, cand, count(*) AS num_segments, count(*) FILTER (is_diff) AS num_diffs FROM o_diffs GROUP BY ALL)
+  SELECT media, cand, coalesce(wer, 1.0) AS wer, coalesce(bleu, 0.0) AS bleu, coalesce(chrf, 0.0) AS chrf, coalesce(num_segments, 0) AS num_segments,
+    coalesce(num_diffs, 0) AS num_diffs, diffs
+  FROM (SELECT DISTINCT media, cand FROM v_cand) LEFT JOIN d_n USING (media, cand) LEFT JOIN w_wer USING (media, cand)
+    LEFT JOIN b_bleu USING (media, cand) LEFT JOIN c_chrf USING (media, cand) LEFT JOIN d_list USING (media, cand)""")
 def compare_report(spark, d):
     pairs = cut_lineage(aligned_texts(spark, d))
     out = me.compare_report(pairs, tracks(spark, d), K)

@@ -76,7 +76,13 @@ def keywords_and_missing_terms(spark, d):
                     F.array_join("_m", " ").alias("missing"))
 
 
-@REG.query()
+_WRAP = """list_reduce(list_filter(string_split_regex(line, '\\s+'), lambda w: w <> ''), lambda a, w: CASE
+    WHEN a.used > 0 AND a.used + 1 + length(w) <= 42 THEN {'out': a.out || ' ' || w, 'used': a.used + 1 + length(w)}
+    ELSE {'out': a.out || CASE WHEN a.used = 0 THEN '' ELSE chr(10) END || w, 'used': length(w)} END, {'out': '', 'used': 0::BIGINT}).out"""
+
+
+@REG.query(f"""WITH {v.Q_LINES} SELECT media, idx, CASE WHEN length(line) <= 42 THEN line ELSE {_WRAP} END AS wrapped,
+  array_to_string({v.sql_pieces('line')}, '|') AS pieces FROM v_lines""")
 def wrap_and_split(spark, d):
     c = v.lines(spark, d)
     return c.select("media", "idx", tx.wrap_lines(F.col("line")).alias("wrapped"),

@@ -278,3 +278,13 @@ v_str AS (
 
 def sql_strip(c: str) -> str:
     return f"trim({c}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+def sql_pieces(c: str, target: int = 80) -> str:
+    """Pieces of at most ``target`` characters, cut in front of and behind sentence marks, as a fold over the parts."""
+    cut = f"string_split(regexp_replace({c}, '([.!?;]\\s+)', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+    fold = (f"list_reduce({cut}, lambda a, p: CASE WHEN a.cur <> '' AND length(a.cur) + length(p) > {target} "
+            f"THEN {{'done': list_append(a.done, {sql_strip('a.cur')}), 'cur': p}} ELSE {{'done': a.done, 'cur': a.cur || p}} END, "
+            "{'done': CAST([] AS VARCHAR[]), 'cur': ''})")
+    whole = f"list_transform([{fold}], lambda a: CASE WHEN {sql_strip('a.cur')} <> '' THEN list_append(a.done, {sql_strip('a.cur')}) ELSE a.done END)[1]"
+    return f"list_transform([{whole}], lambda x: CASE WHEN length({c}) <= {target} OR len(x) = 0 THEN [{c}] ELSE x END)[1]"
