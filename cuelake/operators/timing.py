@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import is_blank, split_by_punctuation, strip, wrap_lines
 from cuelake.functions.timecode import ms_to_srt
-from cuelake.ordered import carry_before, chunk_of, dense_index, neighbours
+from cuelake.ordered import chunk_of, dense_index
 
 
 @dataclass(frozen=True)
@@ -81,14 +81,29 @@ def repair_overlaps(cues: DataFrame, keys, ties=("idx",), limits: TimingLimits =
     """
     L, keys = limits, list(keys)
     step = L.gap_ms + L.min_ms
-    c = dense_index(cues, keys, "start_ms", ["end_ms", *ties], name="_pos")
-    c = carry_before(c, keys, "_pos", F.col("end_ms") - F.col("_pos") * step, "_bound", "max")
-    opens = F.col("_bound").isNull() | (F.col("start_ms") >= F.col("_bound") + (F.col("_pos") - 1) * step + L.gap_ms)
-    c = c.withColumn("_open", F.when(opens, F.col("_pos")))
-    c = carry_before(c, keys, "_pos", F.col("_open"), "_last", "last").withColumn("_run", F.coalesce("_open", "_last"))
-    c = neighbours(c, keys, "_pos", {"_next": lambda w: F.lead(F.col("_open").isNotNull()).over(w)}, before=0, after=1)
-    alone = F.col("_open").isNotNull() & F.coalesce("_next", F.lit(True))
-    c = c.withColumn("_alone", alone).drop("_bound", "_open", "_last", "_next")
+    # One layout for all of it: slices of start time. What crosses a slice border goes through
+    # two tables with one row per slice.
+    place = [*keys, "_slice"]
+    inside = Window.partitionBy(*place).orderBy("start_ms", "end_ms", *ties)
+    along = Window.partitionBy(*keys).orderBy("_slice")
+    before = (Window.unboundedPreceding, -1)
+    c = cues.withColumn("_slice", chunk_of(F.col("start_ms"))).withColumn("_rn", F.row_number().over(inside))
+    c = c.withColumn("_v", F.col("end_ms") - F.col("_rn") * step)
+    sums = (c.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"), F.max("_v").alias("_m"))
+            .withColumn("_off", F.coalesce(F.sum("_n").over(along.rowsBetween(*before)), F.lit(0)))
+            .withColumn("_carry", F.max(F.col("_m") - F.col("_off") * step).over(along.rowsBetween(*before))).drop("_n", "_m"))
+    c = c.withColumn("_local", F.max("_v").over(inside.rowsBetween(*before))).join(sums, place)
+    c = c.withColumn("_pos", (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
+    bound = F.greatest(F.col("_local") - F.col("_off") * step, F.col("_carry"))
+    opens = bound.isNull() | (F.col("start_ms") >= bound + F.col("_pos") * step + L.gap_ms)
+    c = c.withColumn("_open", F.when(opens, F.col("_pos"))).select(*cues.columns, "_slice", "_pos", "_open")
+    is_open = F.col("_open").isNotNull()
+    ends = (c.groupBy(*place).agg(F.max("_open").alias("_o"), F.min_by(is_open, "_pos").alias("_f"))
+            .withColumn("_last", F.max("_o").over(along.rowsBetween(*before))).withColumn("_after", F.lead("_f").over(along)).drop("_o", "_f"))
+    by_pos = Window.partitionBy(*place).orderBy("_pos")
+    run = F.coalesce(F.max("_open").over(by_pos.rowsBetween(Window.unboundedPreceding, 0)), F.col("_last"))
+    alone = is_open & F.coalesce(F.lead(is_open).over(by_pos), F.col("_after"), F.lit(True))
+    c = c.join(ends, place).select(*cues.columns, "_pos", run.alias("_run"), alone.alias("_alone"))
     chained = (c.filter(~F.col("_alone")).repartition(*[F.col(k) for k in keys], F.col("_run"))
                .sortWithinPartitions(*keys, "_run", "_pos"))
     fixed = chained.mapInPandas(_repair([*keys, "_run"], L.gap_ms, L.min_ms), chained.schema)
