@@ -7,12 +7,13 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from cuelake.llm import chat, components, decontam, exact, language, passages, ring, sentencepiece_rounds, simhash, token_blocks, token_cache
+from cuelake.llm import chat, components, decontam, exact, language, near, passages, ring, sentencepiece_rounds, simhash, token_blocks, token_cache
 from cuelake.llm.byte_bpe import WordEncoder
 from cuelake.llm.common import scratch
 from tests.llm.conftest import HARD
@@ -153,6 +154,63 @@ def test_near_duplicates(docs, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_stage_finds_near_copies(spark, docs_of, docs, none):
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    rows = []
+    for g in range(60):
+        w = [word() for _ in range(r.choice([6, 30, 120, 400]))]
+        rows.append((3 * g, " ".join(w)))
+        for c in (1, 2):
+            x = list(w)
+            for p in r.sample(range(len(x)), max(1, round(len(x) * r.uniform(0.005, 0.06)))):
+                x[p] = word()
+            rows.append((3 * g + c, " ".join(x)))
+    want = set(range(len(rows)))
+    far = 0
+    for g in range(60):
+        a, b, c = (rows[3 * g + k][1] for k in range(3))
+        ab, ac, bc = jaccard(a, b) >= 0.8, jaccard(a, c) >= 0.8, jaccard(b, c) >= 0.8
+        want -= {3 * g + 1} if ab or (ac and bc) else set()
+        want -= {3 * g + 2} if ac or bc else set()
+        far += sum(jaccard(x, y) >= 0.8 and (simhash.fingerprint(x) ^ simhash.fingerprint(y)).bit_count() > 4 for x, y in ((a, b), (a, c), (b, c)))
+    assert far > 10 and len(want) < len(rows)
+    d = docs_of(rows)
+    assert {x.doc_id for x in near.keep_one(d).collect()} == want
+    assert {x.doc_id for x in corpus_pipeline.without_near_copies(spark, d, "").collect()} == want
+    kept = near.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(x.doc_id or 0 for x in kept.collect()) == [0, 0, 1, 3, 5, 8, 9]
+    assert near.keep_one(none).count() == 0
+
+
+@pytest.mark.parametrize("tile", [2, 1000])
+def test_near_links_in_tiles(spark, tile):
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(100)]
+    found = {}
+    for i in range(40):
+        x = list(base)
+        for p in r.sample(range(100), 6):
+            x[p] = r.getrandbits(64)
+        found[i] = np.unique(np.array(x, np.uint64))
+    keys = spark.createDataFrame([(i, len(x), [7]) for i, x in found.items()], "s long, n int, keys array<long>")
+    hashes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in found.items()], "s long, hashes binary")
+    got = components.components(near.links(near.buckets(keys, tile_rows=tile), hashes), "a", "b").collect()
+    p = list(range(40))
+    for _ in range(40):
+        for i in range(40):
+            for j in range(i):
+                if len(np.intersect1d(found[i], found[j])) / len(np.union1d(found[i], found[j])) >= 0.8:
+                    p[i] = p[j] = min(p[i], p[j])
+    assert {x.node: x.component for x in got} == {i: c for i, c in enumerate(p) if p.count(c) > 1}
+
+
 # --- 4 ----------------------------------------------------------------------------------
 
 ITEM = ("A farmer named Boris sells 12 apples and 7 pears at the market every morning. How many pieces of fruit does Boris sell in 4 days "
