@@ -1,11 +1,17 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, units and names become typed placeholders, so that a question asked anew with other
-parameters has the same template. Windows of ``WINDOW`` words are hashed, in their plain form
-and, where they hold a placeholder, in template form, and joined to the windows of the
-benchmark by hash and content. What stood in the placeholders must be consistent: one value
-of the item stands for one value of the document. A document leaks an item when windows that
-cover ``RUN`` words of it match (all its windows, for a shorter item).
+parameters has the same template. A run of capitalised words inside a sentence is one name,
+however many words it has. A capital at the start of a sentence tells nothing, so there are
+two templates: with such openers as words, and with them as (part of) names.
+
+Windows of ``WINDOW`` words are hashed, in their plain form and, where they hold a placeholder,
+in template form, and joined to the windows of the benchmark by hash and content. What stood in
+the placeholders must be consistent: one value of the item stands for one value of the document;
+a name may be longer in one place than in another. A document leaks an item when windows that
+cover ``RUN`` words of it match (all its windows, for a shorter item); words of a template are
+counted with each name as one. Template windows with fewer than ``LITERALS`` words that are not
+placeholders do not match.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ volt volts amp amps hz khz mhz ghz kb mb gb tb byte bytes""".split())
 NUMBER, UNIT, NAME = (zlib.crc32(f"\0{k}".encode()) for k in ("number", "unit", "name"))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 23
-WINDOWS = "h long, kind int, words string, at int, slots array<string>"
+WINDOWS = "h long, kind int, words string, at int, word int, slots array<string>"
 
 
 class Tokens:
@@ -50,76 +56,115 @@ class Tokens:
         starts = np.r_[True, ends[:-1]][word] if len(raw) else np.zeros(0, bool)
         n = len(self.raw)
         self.code = np.fromiter(map(zlib.crc32, map(str.encode, self.low)), np.uint64, n)
-        # A capital inside a sentence makes a name, a digit in front a number, a unit follows a number.
-        cap = np.fromiter(map(ne, self.raw, self.low), bool, n) & ~starts
-        self.slot = np.zeros(n, np.int8)
-        for i in np.nonzero(cap)[0].tolist():
+        # A capital makes a name, a digit in front a number, a unit follows a number.
+        named = np.zeros(n, np.int8)
+        for i in np.nonzero(np.fromiter(map(ne, self.raw, self.low), bool, n))[0].tolist():
             if self.raw[i][0].isupper():
-                self.slot[i] = 3
+                named[i] = 3
         digits = np.fromiter((x[0] <= "9" for x in self.low), bool, n)
         for i in np.nonzero(digits)[0].tolist():
             if self.low[i][0].isdecimal():
-                self.slot[i] = 1
+                named[i] = 1
                 if i + 1 < n and self.low[i + 1] in UNITS:
-                    self.slot[i + 1] = 2
-        self.form = self.code.copy()
+                    named[i + 1] = 2
+        # Template 1 has a sentence's first word as it is, template 2 as a name if it has a capital.
+        inside = self.slot = np.where(starts & (named == 3), 0, named).astype(np.int8)
+        self.forms = {1: self._form(inside, starts)}
+        self.forms[2] = self._form(named, starts) if (inside != named).any() else self.forms[1]
+
+    def _form(self, slot: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, placeholder and code of each part of the template: a run of names in one sentence is one part."""
+        first = np.ones(len(slot), bool)
+        first[1:] = (slot[1:] != 3) | (slot[:-1] != 3) | starts[1:]
+        begin = np.nonzero(first)[0]
+        code = self.code.copy()
         for k, v in ((1, NUMBER), (2, UNIT), (3, NAME)):
-            self.form[self.slot == k] = v
+            code[slot == k] = v
+        return begin, slot[begin], code[begin]
 
-    def hashes(self, size: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(kind, window starts, window hashes): kind 0 plain, 1 template of windows with a slot and enough words."""
-        n = len(self.raw) - size + 1
-        if n <= 0:
-            return []
+    def parts(self, kind: int) -> int:
+        return len(self.forms[kind][0]) if kind else len(self.raw)
+
+    def hashes(self, size: int, kinds: tuple[int, ...] = (0, 1, 2)) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(kind, window starts, window hashes): kind 0 plain, 1 and 2 templates of windows with a slot and enough words."""
         out = []
-        slots = np.concatenate([[0], np.cumsum(self.slot > 0)])
-        held = slots[size:] - slots[:-size]
-        for kind, code in ((0, self.code), (1, self.form)):
-            at = np.arange(n) if kind == 0 else np.nonzero((held > 0) & (size - held >= min(LITERALS, size - 1)))[0]
-            h = np.full(len(at), kind * 977 + size, np.uint64)
+        for kind in kinds:
+            n = self.parts(kind) - size + 1
+            if n <= 0:
+                continue
+            if kind == 0:
+                at, code = np.arange(n), self.code
+            else:
+                _, slot, code = self.forms[kind]
+                slots = np.concatenate([[0], np.cumsum(slot > 0)])
+                held = slots[size:] - slots[:-size]
+                at = np.nonzero((held > 0) & (size - held >= min(LITERALS, size - 1)))[0]
+            h = np.full(len(at), (kind > 0) * 977 + size, np.uint64)
             for k in range(size):
                 h = (h ^ code[at + k]) * MULTIPLIER
                 h ^= h >> np.uint64(29)
             out.append((kind, at, h))
         return out
 
+    def any_slot(self, kind: int, i: int, size: int) -> bool:
+        """Does a template have a slot among these words?"""
+        begin, slot, _ = self.forms[kind]
+        a, b = np.searchsorted(begin, [i, i + size - 1], side="right") - 1
+        return bool((slot[a:b + 1] > 0).any())
+
+    def word(self, kind: int, i: int) -> int:
+        """Number of the word that a part begins with."""
+        return int(self.forms[kind][0][i]) if kind else i
+
     def words(self, kind: int, i: int, size: int) -> str:
         if kind == 0:
             return " ".join(self.low[i:i + size])
-        return " ".join(("", "<number>", "<unit>", "<name>")[s] or w for w, s in zip(self.low[i:i + size], self.slot[i:i + size].tolist()))
+        begin, slot, _ = self.forms[kind]
+        return " ".join(("", "<number>", "<unit>", "<name>")[s] or self.low[w]
+                        for w, s in zip(begin[i:i + size].tolist(), slot[i:i + size].tolist()))
 
     def slots(self, kind: int, i: int, size: int) -> list[str]:
-        return [f"{s}{w}" for w, s in zip(self.low[i:i + size], self.slot[i:i + size].tolist()) if s] if kind else []
+        """Kind of slot and the words in it."""
+        if kind == 0:
+            return []
+        begin, slot, _ = self.forms[kind]
+        end = np.append(begin[1:], len(self.raw))
+        return [f"{s}{' '.join(self.low[w:e])}" for w, e, s in
+                zip(begin[i:i + size].tolist(), end[i:i + size].tolist(), slot[i:i + size].tolist()) if s]
 
 
 def _rows(ids: list, found: list[tuple], name: str) -> pa.RecordBatch:
     types = pa.schema([(name, pa.int64()), ("h", pa.int64()), ("kind", pa.int32()), ("words", pa.string()), ("at", pa.int32()),
-                       ("slots", pa.list_(pa.string()))])
-    cols = list(zip(*found)) if found else [()] * 5
+                       ("word", pa.int32()), ("slots", pa.list_(pa.string()))])
+    cols = list(zip(*found)) if found else [()] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip([ids, *cols], types)], schema=types)
 
 
 def benchmark_windows(bench: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """item_id, n_windows, size and the windows of each item; an item shorter than a window is one window."""
+    """The windows of each item, with size, parts (of the item's form) and free (the templates in which a plain window
+    holds no slot); an item shorter than a window is one window."""
     bounded_batches(bench.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, found = [], []
+            ids, sizes, parts, free, found = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tok = Tokens(t)
-                size = min(window, len(tok.raw))
-                if not size:
-                    continue
-                for kind, at, h in tok.hashes(size):
-                    for p, x in zip(at.tolist(), h.view(np.int64).tolist()):
-                        ids.append(i)
-                        found.append((x, kind, tok.words(kind, p, size), p, tok.slots(kind, p, size)))
-            yield _rows(ids, found, "item_id")
+                for form in (0, *tok.forms):
+                    size = min(window, tok.parts(form))
+                    for kind, at, h in tok.hashes(size, (form,)) if size else []:
+                        for p, x in zip(at.tolist(), h.view(np.int64).tolist()):
+                            ids.append(i)
+                            sizes.append(size)
+                            parts.append(tok.parts(form))
+                            free.append([k for k in tok.forms if kind == 0 and not tok.any_slot(k, p, size)])
+                            found.append((x, kind, tok.words(kind, p, size), p, tok.word(kind, p), tok.slots(kind, p, size)))
+            rows = _rows(ids, found, "item_id")
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sizes, pa.int32()), pa.array(parts, pa.int32()), pa.array(free, pa.list_(pa.int32()))],
+                                             names=[*rows.schema.names, "size", "parts", "free"])
 
     return (bench.select(F.col(id_col).cast("long").alias("item_id"), nonnull_text(text_col).alias("t"))
-            .mapInArrow(run, "item_id long, " + WINDOWS)
-            .withColumn("size", F.size(F.split("words", " "))))
+            .mapInArrow(run, f"item_id long, {WINDOWS}, size int, parts int, free array<int>"))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -132,7 +177,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     """
     spark = bounded_batches(docs.sparkSession)
     items = written(benchmark_windows(bench, item_col, item_text, window), "benchmark-windows")
-    need = items.groupBy("item_id").agg(F.least(F.countDistinct("at"), F.lit(max(1, run_words - window + 1))).alias("needed"))
+    # Windows that a form has, not only those with enough words in them.
+    least = F.least(F.max("parts") - F.max("size") + 1, F.lit(max(1, run_words - window + 1)))
+    need = items.withColumn("form", F.col("kind")).groupBy("item_id", "form").agg(least.alias("form_needs"))
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most `window` values
     # A bit filter of fixed size for the windows of the benchmark; what passes is joined exactly.
     shift = 64 - FILTER_BITS
@@ -156,7 +203,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
                         for p, x in zip(at[hit].tolist(), h[hit].view(np.int64).tolist()):
                             ids.append(d)
                             marks.append(m)
-                            found.append((x, kind, tok.words(kind, p, size), p, tok.slots(kind, p, size)))
+                            found.append((x, kind, tok.words(kind, p, size), p, tok.word(kind, p), tok.slots(kind, p, size)))
             rows = _rows(ids, found, "doc_id")
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(marks, pa.int64()), *rows.columns[1:]],
                                              names=["doc_id", "th", *rows.schema.names[1:]])
@@ -164,22 +211,37 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     text = nonnull_text(text_col)
     seen = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t"))
             .mapInArrow(run, "doc_id long, th long, " + WINDOWS))
-    item = items.select("item_id", "h", "kind", "words", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    hits = seen.join(item, ["h", "kind", "words"]).select("doc_id", "th", "item_id", "kind", "item_at", (F.col("at") - F.col("item_at")).alias("lag"),
+    # Templates meet their own kind only: the places of one form are not those of another.
+    item = items.select("item_id", "h", "kind", "words", F.col("at").alias("item_at"), F.col("word").alias("item_word"), "free",
+                        F.col("slots").alias("item_slots"))
+    hits = seen.join(item, ["h", "kind", "words"]).select("doc_id", "th", "item_id", "kind", "item_word", "free", (F.col("at") - F.col("item_at")).alias("lag"),
                                                          F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")).alias("pairs"))
     hits = written(hits.distinct(), "benchmark-hits")
     # Slots of one alignment: an item value that stands for two document values breaks it.
-    key = ["doc_id", "th", "item_id", "lag"]
-    broken = (hits.filter("kind = 1").select(*key, F.explode("pairs").alias("p")).select(*key, F.col("p.item").alias("value"), F.col("p.doc").alias("as"))
-              .groupBy(*key, "value").agg((F.min("as") != F.max("as")).alias("broken")).filter("broken").select(*key).distinct()
-              .withColumn("broken", F.lit(True)))
-    on = [hits[k].eqNullSafe(broken[k]) for k in key]
-    sound = hits.join(broken, on[0] & on[1] & on[2] & on[3], "left_anti").filter("kind = 1").unionByName(hits.filter("kind = 0"))
-    per = sound.groupBy("doc_id", "th", "item_id").agg(F.countDistinct("item_at").alias("matched"),
-                                                      F.countDistinct(F.when(F.col("kind") == 0, F.col("item_at"))).alias("plain"))
-    need = need.withColumnRenamed("item_id", "need_id")
-    return (per.join(need, per["item_id"].eqNullSafe(need["need_id"])).filter("matched >= needed")
-            .select("doc_id", F.col("th").alias("h"), "item_id", "matched", "plain", "needed"))
+    key = ["doc_id", "th", "item_id", "kind", "lag"]
+    values = (hits.filter("kind > 0").select(*key, F.explode("pairs").alias("p"))
+              .select(*key, F.substring("p.item", 1, 1).alias("type"), F.split(F.expr("substring(p.item, 2)"), " ").alias("i"),
+                      F.split(F.expr("substring(p.doc, 2)"), " ").alias("d")).distinct())
+    # Names of as many words stand for each other word by word; else the first word that differs stands for the rest.
+    differs = "filter(sequence(0, least(size(i), size(d)) - 1), k -> i[k] != d[k])"
+    both = F.expr(f"""CASE WHEN size(i) = size(d) THEN transform(i, (x, k) -> struct(x AS value, array(d[k]) AS as))
+                      ELSE transform(array(coalesce(get({differs}, 0), 0)), k -> struct(i[k] AS value, slice(d, k + 1, size(d)) AS as)) END""")
+    values = values.select(*key, "type", F.explode(both).alias("v")).select(*key, "type", "v.value", "v.as")
+    common = F.expr("size(aggregate(slice(a, 2, size(a)), a[0], (x, y) -> array_intersect(x, y))) = 0")
+    broken = (values.groupBy(*key, "type", "value").agg(F.collect_set("as").alias("a")).filter(common).select(*key).distinct()
+              .withColumnsRenamed({k: f"b_{k}" for k in key}))
+    on = [hits[k].eqNullSafe(broken[f"b_{k}"]) for k in key]
+    sound = hits.join(broken, on[0] & on[1] & on[2] & on[3] & on[4], "left_anti").filter("kind > 0").unionByName(hits.filter("kind = 0"))
+    of = lambda k: F.countDistinct(F.when((F.col("kind") == k) | F.array_contains("free", k), F.col("item_word")))
+    per = sound.groupBy("doc_id", "th", "item_id").agg(
+        F.countDistinct("item_word").alias("all"), F.countDistinct(F.when(F.col("kind") == 0, F.col("item_word"))).alias("plain"),
+        of(1).alias("one"), of(2).alias("two"))
+    forms = F.expr("explode(array(struct(0 AS form, all AS matched), struct(1 AS form, one AS matched), struct(2 AS form, two AS matched)))")
+    per = per.select("doc_id", "th", "item_id", "plain", forms.alias("f")).select("doc_id", "th", "item_id", "plain", "f.*")
+    need = need.withColumnsRenamed({"item_id": "need_id", "form": "need_form"})
+    return (per.join(need, per["item_id"].eqNullSafe(need["need_id"]) & (per["form"] == need["need_form"])).filter("matched >= form_needs")
+            .groupBy("doc_id", F.col("th").alias("h"), "item_id")
+            .agg(F.max("matched").cast("long").alias("matched"), F.max("plain").alias("plain"), F.min("form_needs").cast("long").alias("needed")))
 
 
 def without_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:

@@ -241,6 +241,22 @@ def test_decontamination(docs_of, bench):
     assert decontam.contaminated(d.filter("doc_id > 99"), bench).count() == 0
 
 
+def test_names_at_starts_and_of_more_words(spark, docs_of):
+    tom = "Tom has 5 apples. Tom buys 7 more. How many apples does Tom have now?"
+    boris = "A man called Boris sold 12 big apples to Anna on the market square. How many apples did Boris sell?"
+    short = "Tom put 5 pears into the old wooden box today"
+    bench = spark.createDataFrame([(1, tom), (2, boris), (3, short)], "item_id long, text string")
+    sara = tom.replace("Tom", "Sara").replace("5", "8").replace("7", "3")
+    longer = boris.replace("called Boris", "called Boris Petrov").replace("12", "13").replace("Anna", "Anna Lee")
+    rows = [(1, sara), (2, f"Intro words. {longer} End."), (3, f"Intro. {short.replace('Tom', 'Mary Ann Smith').replace('5', '9')}."),
+            (4, sara.replace("does Sara", "does Derek")), (5, longer.replace("did Boris", "did Derek")),
+            (6, sara.replace("Sara", "Sara Lee").replace("does Sara Lee", "does Sara")), (7, "They say Tom put 6 pears into the old wooden box today"),
+            (8, "Tom put 5 pears into the old wooden bag today"), (9, "Intro. Mary Smith put 5 pears into the old wooden bag today.")]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(rows), bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (6, 1), (7, 3)}
+    assert sorted(r.doc_id for r in decontam.without_leaks(docs_of(rows), bench).collect()) == [4, 5, 8, 9]
+
+
 # --- 5 ----------------------------------------------------------------------------------
 
 def lowered(t):
