@@ -2,8 +2,10 @@
 
 Texts become TF-IDF vectors of hashed letter n-grams, of length one. Each language is
 described by several centroids (spherical k-means over its sample); a text takes the language
-of the centroid with the largest cosine. A text further from every centroid of its language
-than ``REJECT_SHARE`` allows is rejected.
+of the centroid with the largest cosine. Cosines grow with the length of a text, so each
+language has a limit for each class of lengths (powers of two of letters): ``REJECT_SHARE`` of
+the cosine that all but ``REJECT_TAIL`` of its sample reach there. Beginnings of the sample's
+texts stand for shorter ones. A text below the limit of its language is rejected.
 
 The classifier is fitted on at most ``SAMPLE`` rows per language, whole texts, chosen by a
 hash; every row is then classified.
@@ -11,7 +13,7 @@ hash; every row is then classified.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import isqrt
 
 import numpy as np
@@ -26,7 +28,10 @@ DIM = 1 << 14
 GRAMS = (1, 2, 3)
 CENTROIDS = 4
 MAX_LANGUAGES = 256
-REJECT_SHARE = 0.25
+REJECT_SHARE = 0.35
+REJECT_TAIL = 0.05
+CLASSES = 24
+LEAST_ROWS = 20
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,8 +57,18 @@ def counts(text: str) -> np.ndarray:
     return out
 
 
+def length_class(c: np.ndarray) -> int:
+    """Class of a text by its n-gram counts: the power of two of its letters."""
+    return min(CLASSES - 1, (int(c.sum()) // len(GRAMS)).bit_length())
+
+
+def beginnings(text: str) -> list[str]:
+    """Shorter texts from a text: its first 25, 50, 100, ... characters."""
+    return [text[:25 << i] for i in range(CLASSES) if 25 << i < 0.8 * len(text)]
+
+
 class Centroids:
-    """languages, idf, one matrix of centroids with their language, and the least cosine allowed per language."""
+    """languages, idf, one matrix of centroids with their language, and the least cosine allowed per language and length class."""
 
     def __init__(self, languages: list[str], idf: np.ndarray, matrix: np.ndarray, owner: np.ndarray, least: np.ndarray):
         self.languages, self.idf, self.matrix, self.owner, self.least = languages, idf, matrix, owner, least
@@ -62,11 +77,11 @@ class Centroids:
         """language, cosine, rejected. A text without any letter (or null) is ``und``, 0, rejected."""
         if not self.languages or not has_letter(text):
             return "und", 0.0, True
-        v = _unit(counts(text), self.idf)
-        cos = self.matrix @ v
+        c = counts(text)
+        cos = self.matrix @ _unit(c, self.idf)
         k = int(np.argmax(cos))
         s = float(min(1.0, max(0.0, cos[k])))
-        return self.languages[self.owner[k]], s, bool(s < self.least[self.owner[k]])
+        return self.languages[self.owner[k]], s, bool(s < self.least[self.owner[k], length_class(c)])
 
 
 def _unit(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -75,15 +90,26 @@ def _unit(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / n if n else v
 
 
-def fit(samples: list[tuple[str, np.ndarray]], k: int = CENTROIDS, rounds: int = 8) -> Centroids:
-    """Centroids of (language, counts) rows; the same rows in any order give the same model."""
+def _limits(cosines: list[list[float]]) -> list[float]:
+    """Least cosine of each length class; classes with few rows take the limit of the next shorter class with enough, or else of the next longer."""
+    enough = min(LEAST_ROWS, max(map(len, cosines)))
+    own = [REJECT_SHARE * float(np.quantile(x, REJECT_TAIL)) if len(x) >= enough else None for x in cosines]
+    last = next(x for x in own if x is not None)
+    return [last := last if x is None else x for x in own]
+
+
+def fit(samples: list[tuple[str, np.ndarray]], shorter: Iterable[tuple[str, np.ndarray]] = (), k: int = CENTROIDS, rounds: int = 8) -> Centroids:
+    """Centroids of (language, counts) rows; the same rows in any order give the same model.
+
+    ``shorter`` are rows of the same kind from beginnings of the texts; they tell the limits only.
+    """
     samples = sorted(samples, key=lambda x: (x[0], x[1].tobytes()))
     languages = sorted({s[0] for s in samples})
     df = np.zeros(DIM)
     for _, c in samples:
         df += c > 0
     idf = np.log((1 + len(samples)) / (1 + df)) + 1
-    rows, owner, least = [], [], []
+    rows, owner, seen = [], [], {}
     for n, lang in enumerate(languages):
         x = np.stack([_unit(c, idf) for name, c in samples if name == lang])
         start = [0]  # far from each other, from the mean outwards
@@ -95,11 +121,16 @@ def fit(samples: list[tuple[str, np.ndarray]], k: int = CENTROIDS, rounds: int =
             near = np.argmax(x @ c.T, axis=1)
             c = np.stack([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        least.append(REJECT_SHARE * float((x @ c.T).max(axis=1).min()))
+        seen[lang] = [[] for _ in range(CLASSES)]
+        for (_, own), cos in zip((r for r in samples if r[0] == lang), (x @ c.T).max(axis=1).tolist()):
+            seen[lang][length_class(own)].append(cos)
         rows.append(c)
         owner += [n] * len(c)
     matrix = np.concatenate(rows).astype(np.float32) if rows else np.zeros((0, DIM), np.float32)
-    return Centroids(languages, idf, matrix, np.array(owner, int), np.array(least))
+    owner = np.array(owner, int)
+    for lang, c in shorter:
+        seen[lang][length_class(c)].append(float((matrix[owner == languages.index(lang)] @ _unit(c, idf)).max()))
+    return Centroids(languages, idf, matrix, owner, np.array([_limits(seen[x]) for x in languages]).reshape(-1, CLASSES))
 
 
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Centroids:
@@ -125,22 +156,25 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
         for b in batches:
             out = []
             for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if has_letter(t):
-                    c = counts(t)
-                    at = np.nonzero(c)[0]
-                    out.append((lang, at.astype(np.uint16).tobytes(), c[at].astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.binary()),
-                                              pa.array([o[2] for o in out], pa.binary())], names=["l", "at", "c"])
-
-    got = rows.mapInArrow(run, "l string, at binary, c binary").collect()  # bounded: sample * languages
+                for whole, x in ((True, t), *((False, y) for y in beginnings(t))):
+                    if has_letter(x):
+                        c = counts(x)
+                        at = np.nonzero(c)[0]
+                        out.append((lang, whole, at.astype(np.uint16).tobytes(), c[at].astype(np.uint32).tobytes()))
+            kinds = (pa.string(), pa.bool_(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["l", "whole", "at", "c"])
+
+    # Bounded: sample * languages, and the beginnings of a text are about twice as long as it at most, together.
+    got = rows.mapInArrow(run, "l string, whole boolean, at binary, c binary").collect()
     if len({r.l for r in got}) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    samples = []
-    for r in got:
+
+    def dense(r) -> tuple[str, np.ndarray]:
         c = np.zeros(DIM, np.int64)
         c[np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.c, np.uint32)
-        samples.append((r.l, c))
-    return fit(samples)
+        return r.l, c
+
+    return fit([dense(r) for r in got if r.whole], (dense(r) for r in got if not r.whole))
 
 
 def classify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:

@@ -349,6 +349,28 @@ def test_language(docs_of, docs, none):
     assert language.classify(none, m).count() == 0
 
 
+FOREIGN = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem "
+          "i powinni postępować wobec innych w duchu braterstwa.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı "
+          "kardeşlik zihniyeti ile hareket etmelidirler.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän "
+          "on toimittava toisiaan kohtaan veljeyden hengessä."}
+
+
+def test_unlearned_languages_of_the_same_script_are_rejected(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", language.in_fold(F.col("doc_id")))
+    # A mislabelled row or two in the sample must not open the limits.
+    odd = spark.createDataFrame([(10**6 + i, t, lang) for i, (lang, t) in enumerate([("en", FOREIGN["pl"]), ("de", "zzz qqq xxx")])],
+                                "doc_id long, text string, lang string")
+    m = language.train(d.filter("NOT held").select("doc_id", "text", "lang").unionByName(odd))
+    for text in FOREIGN.values():
+        assert m.predict(text)[2] and m.predict(text * 20)[2] and m.predict(text[:80])[2]
+    got = language.classify(d.filter("held AND source IS NOT NULL"), m).filter("lang_pred = lang").agg(
+        F.count("*").alias("n"), F.sum(F.col("rejected").cast("int")).alias("out")).first()
+    assert got.n > 200 and got.out == 0
+
+
 # --- 9 ----------------------------------------------------------------------------------
 
 def check_shards(rows, docs, shards, slack_rows):
