@@ -6,6 +6,14 @@ Units are normalised (lower case, single spaces) and hashed; equal digests are g
 globally and the occurrence with the lowest rank, by doc_id and place, stays. Others are
 removed where they stand together for ``MIN_WORDS`` words or more; spans are offsets into
 the text as it was.
+
+A passage may begin and end inside sentences, or have no sentence end. So a text is also cut
+into chunks at words that its content alone tells: a cut is where the hash of ``CONTEXT`` words
+is the least of ``REACH`` hashes in a row. Two cuts are at most ``REACH`` words apart, and cuts
+inside a passage are the same wherever it stands, whatever the spaces between its words; a
+passage of 51 words holds whole chunks of 51 - (CONTEXT - 1) - 2 (REACH - 1) - MORE words at
+least, 25. A chunk's digest covers ``MORE`` words behind it, so that no chunk is a word or two.
+Spans of both ways that overlap are one.
 """
 
 from __future__ import annotations
@@ -23,6 +31,9 @@ from cuelake.llm.common import bounded_batches, nonnull_text, written
 
 UNIT_WORDS = 5
 MIN_WORDS = 20
+CONTEXT, REACH, MORE = 3, 11, 4
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+WORD = re.compile(r"\S+")
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[\"'”’)\]]*\s*|[^.!?\n]+")
 
 
@@ -41,34 +52,60 @@ def units(text: str, unit_words: int = UNIT_WORDS) -> list[tuple[int, int, int,
     return out
 
 
+def chunks(text: str) -> list[tuple[int, int, int, str]]:
+    """(start, end, words, normalised with the words behind): runs of words between cuts that content decides."""
+    word = text.lower().split()
+    n = len(word) - CONTEXT + 1
+    if n < REACH:
+        return []
+    code = np.fromiter((xxhash.xxh64_intdigest(w) for w in word), np.uint64, len(word))
+    h = np.zeros(n, np.uint64)
+    for k in range(CONTEXT):
+        h = (h ^ code[k:k + n]) * MULTIPLIER
+        h ^= h >> np.uint64(29)
+    # The last of equals, so that the cut of one window is not passed over by the next.
+    back = np.lib.stride_tricks.sliding_window_view(h[::-1], REACH).argmin(axis=1)
+    cuts = np.unique(n - 1 - (np.arange(len(back)) + back))
+    value, kept = h[cuts].tolist(), []
+    for c, v in zip(cuts.tolist(), value):
+        # In a run of the same words a cut each REACH words is enough.
+        if not kept or v != kept[-1][1] or c - kept[-1][0] >= REACH:
+            kept.append((c, v))
+    at = [m.start() for m in WORD.finditer(text)]
+    if len(at) != len(word):  # lower case made or lost a space
+        return []
+    return [(at[a], at[b], b - a, " ".join(word[a:b + MORE])) for (a, _), (b, _) in zip(kept, kept[1:]) if b + MORE <= len(word)]
+
+
 def unit_table(docs: DataFrame, unit_words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, th (hash of the text), unit, start, end, words, h1, h2 (a digest of 128 bits)."""
+    """doc_id, th (hash of the text), way (0 sentences, 1 chunks), unit, start, end, words, h1, h2 (a digest of 128 bits)."""
     bounded_batches(docs.sparkSession)
-    types = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
+    types = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("way", pa.int8()), ("unit", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
                        ("words", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for b in batches:
-            ids, size, raw, spans = [], [], [], []
+            size, raw, spans = [], [], []
             for t in b.column(2):
-                u = units(t.as_py(), unit_words)
-                size.append(len(u))
-                raw += [digest(x[3]) for x in u]
-                spans += [x[:3] for x in u]
+                text = t.as_py()
+                for way, u in enumerate((units(text, unit_words), chunks(text))):
+                    size.append(len(u))
+                    raw += [digest(x[3], seed=way) for x in u]
+                    spans += [x[:3] for x in u]
             size = np.array(size, np.int64)
             h = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
             at = np.array(spans, np.int32).reshape(-1, 3)
             row = np.repeat(np.arange(len(size)), size)
             unit = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            take = pa.array(row, pa.int64())
+            take = pa.array(row // 2, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array(unit.astype(np.int32)), *(pa.array(np.ascontiguousarray(at[:, k])) for k in range(3)),
+                [b.column(0).take(take), b.column(1).take(take), pa.array((row % 2).astype(np.int8)), pa.array(unit.astype(np.int32)), *(pa.array(np.ascontiguousarray(at[:, k])) for k in range(3)),
                  pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], schema=types)
 
     text = nonnull_text(text_col)
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t"))
-            .mapInArrow(run, "doc_id long, th long, unit int, start int, end int, words int, h1 long, h2 long"))
+            .mapInArrow(run, "doc_id long, th long, way byte, unit int, start int, end int, words int, h1 long, h2 long"))
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS, id_col: str = "doc_id",
@@ -76,8 +113,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, unit_words: int
     """Spans to remove: doc_id, th (hash of the text), start, end, n_units, n_words, kept_doc_id.
 
     Ranks are doc_id (null last), text and place; ``kept_doc_id`` is where the span's first unit
-    stays. Repeats inside a document count too. Repeated rows of a document are one document:
-    its spans come once and hold for each. Null and empty texts have no units. Other columns are
+    stays. Repeats of sentences inside a document count too; of chunks those of other documents.
+    Repeated rows of a document are one document: its spans come once and hold for each. Null and empty texts have no units. Other columns are
     not read.
     """
     table = unit_table(docs, unit_words, id_col, text_col)
@@ -86,14 +123,28 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, unit_words: int
     # Written, so that the join below has plain exchanges on both sides and a hot digest can be split.
     first = written(table.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first"),
                     "repeated-units")
-    again = table.join(first, ["h1", "h2"]).filter(~(rank.eqNullSafe(F.col("first")))).select(
-        "doc_id", "th", "unit", "start", "end", "words", F.col("first.doc_id").alias("kept")).distinct()
+    # Chunks that a document repeats of itself stay: a run of one word is no passage from elsewhere.
+    own = (F.col("way") == 1) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th"))
+    again = table.join(first, ["h1", "h2"]).filter(~(rank.eqNullSafe(F.col("first"))) & ~own).select(
+        "doc_id", "th", "way", "unit", "start", "end", "words", F.col("first.doc_id").alias("kept")).distinct()
     # Units next to each other make one span. A document's own units only, so one row's text bounds a group.
-    w = Window.partitionBy("doc_id", "th").orderBy("unit")
+    w = Window.partitionBy("doc_id", "th", "way").orderBy("unit")
     runs = again.withColumn("run", F.col("unit") - F.row_number().over(w))
-    return (runs.groupBy("doc_id", "th", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"),
-                                                    F.sum("words").alias("n_words"), F.min_by("kept", "unit").alias("kept_doc_id"))
-            .filter(F.col("n_words") >= min_words).drop("run"))
+    spans = (runs.groupBy("doc_id", "th", "way", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"),
+                                                            F.sum("words").alias("n_words"), F.min_by("kept", "unit").alias("kept_doc_id"))
+             .filter(F.col("n_words") >= min_words).drop("run"))
+    # Spans of both ways that overlap are one; its units and words are those of the way that has more words in it.
+    order = Window.partitionBy("doc_id", "th").orderBy("start", "end", "way")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1))
+    joined = spans.withColumn("new", new).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    per_way = joined.groupBy("doc_id", "th", "span", "way").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_units").alias("n_units"), F.sum("n_words").alias("n_words"),
+        F.min_by("kept_doc_id", "start").alias("kept_doc_id"))
+    more = F.max(F.struct("n_words", "n_units")).alias("m")
+    return (per_way.groupBy("doc_id", "th", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), more,
+                                                        F.min_by("kept_doc_id", F.struct("start", "way")).alias("kept_doc_id"))
+            .select("doc_id", "th", "start", "end", "m.n_units", "m.n_words", "kept_doc_id"))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

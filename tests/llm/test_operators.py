@@ -422,3 +422,38 @@ def test_passages(docs_of, docs, none):
     assert {x.doc_id for x in hard_spans} == {4}
     assert passages.remove_spans(docs, passages.repeated_spans(docs)).count() == len(HARD)
     assert passages.repeated_spans(none).count() == 0
+
+
+def test_passages_without_sentence_ends(docs_of):
+    r = random.Random(17)
+    w = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n))
+    inner, half, run = w(51), w(26) + ". " + w(25), "word " * 51
+    rows = [(1, f"{w(40)} {inner} {w(33)}"), (2, f"{w(13)} {inner.replace(' ', chr(10), 30)} {w(60)}"), (3, f"{w(30)} {half} {w(20)}"),
+            (4, f"{w(17)} {half} {w(41)}"), (5, f"{w(20)} {run}{w(30)}"), (6, f"{w(31)} {run}{w(9)}"), (7, f"{w(80)} {' '.join(inner.split()[:11])} {w(80)}")]
+    d = docs_of(rows)
+    spans = passages.repeated_spans(d)
+    got = {x.doc_id: x for x in spans.filter("doc_id NOT IN (5, 6)").collect()}
+    assert {i: x.kept_doc_id for i, x in got.items()} == {2: 1, 4: 3}
+    assert spans.filter("doc_id = 6").count() >= 1
+    for i, p in ((2, inner), (4, half)):
+        part = " ".join(dict(rows)[i][got[i].start:got[i].end].split())
+        assert part in " ".join(p.split()) and len(part.split()) >= 20
+    for x in passages.remove_spans(d, spans).collect():
+        assert x.clean_text == "".join(c for k, c in enumerate(x.text) if not any(s.start <= k < s.end for s in x.removed or []))
+
+
+def test_chunks_of_any_passage_align():
+    r = random.Random(5)
+    for k in range(300):
+        words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(51)]
+        if k % 10 == 0:
+            words = ["aa"] * 51
+        texts = [" ".join(["".join(r.choices("ijklm", k=5)) for _ in range(r.randint(0, 40))] + words + ["".join(r.choices("ijklm", k=5)) for _ in range(r.randint(0, 40))])
+                 for _ in range(2)]
+        a, b = ([x for x in passages.chunks(t)] for t in texts)
+        digests = {x[3] for x in a}
+        best = held = 0
+        for x in b:
+            held = held + x[2] if x[3] in digests else 0
+            best = max(best, held)
+        assert best >= 20
