@@ -12,7 +12,7 @@ into chunks at words that its content alone tells: a cut is where the hash of ``
 is the least of ``REACH`` hashes in a row. Two cuts are at most ``REACH`` words apart, and cuts
 inside a passage are the same wherever it stands, whatever the spaces between its words; a
 passage of 51 words holds whole chunks of 51 - (CONTEXT - 1) - 2 (REACH - 1) - MORE words at
-least, 25. A chunk's digest covers ``MORE`` words behind it, so that no chunk is a word or two.
+least, 21. A chunk's digest covers ``MORE`` words behind it, so that no chunk is a word or two.
 Spans of both ways that overlap are one.
 """
 
@@ -27,13 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import bounded_batches, nonnull_text, written
+from cuelake.llm.common import bounded_batches, nonnull_text, worker_state, written
 
 UNIT_WORDS = 5
 MIN_WORDS = 20
-CONTEXT, REACH, MORE = 3, 11, 4
+CONTEXT, REACH, MORE = 3, 13, 4
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-WORD = re.compile(r"\S+")
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[\"'”’)\]]*\s*|[^.!?\n]+")
 
 
@@ -52,6 +51,10 @@ def units(text: str, unit_words: int = UNIT_WORDS) -> list[tuple[int, int, int,
     return out
 
 
+def _spaces() -> np.ndarray:
+    return np.fromiter((chr(i).isspace() for i in range(0x110000)), bool, 0x110000)
+
+
 def chunks(text: str) -> list[tuple[int, int, int, str]]:
     """(start, end, words, normalised with the words behind): runs of words between cuts that content decides."""
     word = text.lower().split()
@@ -63,18 +66,25 @@ def chunks(text: str) -> list[tuple[int, int, int, str]]:
     for k in range(CONTEXT):
         h = (h ^ code[k:k + n]) * MULTIPLIER
         h ^= h >> np.uint64(29)
-    # The last of equals, so that the cut of one window is not passed over by the next.
-    back = np.lib.stride_tricks.sliding_window_view(h[::-1], REACH).argmin(axis=1)
-    cuts = np.unique(n - 1 - (np.arange(len(back)) + back))
+    least = h[:n - REACH + 1].copy()
+    for k in range(1, REACH):
+        np.minimum(least, h[k:n - REACH + 1 + k], out=least)
+    # A window's least hash is no larger than any in it, so only the largest of the windows of a place can be its own.
+    pad = np.concatenate([np.zeros(REACH - 1, np.uint64), least, np.zeros(REACH - 1, np.uint64)])
+    most = pad[:n].copy()
+    for k in range(1, REACH):
+        np.maximum(most, pad[k:n + k], out=most)
+    cuts = np.nonzero(most == h)[0]
     value, kept = h[cuts].tolist(), []
     for c, v in zip(cuts.tolist(), value):
         # In a run of the same words a cut each REACH words is enough.
         if not kept or v != kept[-1][1] or c - kept[-1][0] >= REACH:
             kept.append((c, v))
-    at = [m.start() for m in WORD.finditer(text)]
-    if len(at) != len(word):  # lower case made or lost a space
-        return []
-    return [(at[a], at[b], b - a, " ".join(word[a:b + MORE])) for (a, _), (b, _) in zip(kept, kept[1:]) if b + MORE <= len(word)]
+    space = worker_state("spaces", _spaces)[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    at = np.nonzero(~space & np.r_[True, space[:-1]])[0]
+    at = at[[c for c, _ in kept]].tolist()
+    kept = [c for c, _ in kept]
+    return [(i, j, b - a, " ".join(word[a:b + MORE])) for i, j, a, b in zip(at, at[1:], kept, kept[1:]) if b + MORE <= len(word)]
 
 
 def unit_table(docs: DataFrame, unit_words: int, id_col: str, text_col: str) -> DataFrame:
