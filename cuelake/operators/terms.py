@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from cuelake.functions.text import strip
 from cuelake.ordered import top_k
 
 ANCHOR = 3
+PIECE = 64
+SLICE_TERMS = 100_000
+SLICE_LETTERS = 8_000_000
 
 
 def glossary_entries(raw: DataFrame) -> DataFrame:
@@ -33,21 +38,56 @@ def _rank_kind() -> Column:
     return F.when(F.col("kind") == "name", 0).when(F.col("kind") == "honorific", 1).when(F.col("kind") == "term", 2).otherwise(3)
 
 
-def glossary_match(cues: DataFrame, glossary: DataFrame, keys, text: str = "text", max_terms: int | None = 6) -> DataFrame:
+def _dictionary(glossary: DataFrame, slice_terms: int) -> tuple[list[DataFrame], int, list[int]]:
+    """Slices of the glossary that are small enough to be broadcast, its longest term and the lengths of its anchors.
+
+    Terms and letters are counted first; terms are dealt into slices by hash, so each slice holds about
+    ``slice_terms`` terms or ``SLICE_LETTERS`` letters at most, however large the glossary is.
+    """
+    seen = F.col("first") if "first" in glossary.columns else F.struct(F.lit(0).alias("layer"), F.lit(0).alias("ord"))
+    n = F.length("source")
+    g = glossary.filter(n > 0).select("kind", "scope", "source", "target", "required", seen.alias("_first"),
+                                      F.left("source", F.lit(ANCHOR)).alias("_a"), n.alias("_n"))
+    count, letters, longest, anchors = g.agg(F.count(F.lit(1)), F.sum("_n"), F.max("_n"), F.collect_set(F.least("_n", F.lit(ANCHOR)))).first()
+    if not count:
+        return [], 0, []
+    slices = max(-(-count // slice_terms), -(-letters // SLICE_LETTERS))
+    parts = [g.filter(F.pmod(F.xxhash64("source"), F.lit(slices)) == i) for i in range(slices)]
+    return parts, longest, sorted(anchors)
+
+
+def glossary_match(cues: DataFrame, glossary: DataFrame, keys, text: str = "text", max_terms: int | None = 6,
+                   slice_terms: int = SLICE_TERMS) -> DataFrame:
     """Terms whose source occurs in the cue, best first, at most ``max_terms`` per cue.
 
-    Terms are matched by their first letters against the letters at each place of the text (an
-    equi-join), then verified. Equal ranks go by the place where an entry was first seen.
+    A text is cut into pieces that overlap by the longest term, so a term lies whole in one of them. Each place
+    of a piece looks up its first letters in a broadcast slice of the glossary and the term is compared right there:
+    no text is exploded into a shuffle, only hits leave the scan. A glossary of more than one slice reads the
+    texts once per slice. Equal ranks go by the place where an entry was first seen. A null or empty text has no
+    terms, nor has an empty glossary.
     """
     keys = list(keys)
-    seen = F.col("first") if "first" in glossary.columns else F.struct(F.lit(0).alias("layer"), F.lit(0).alias("ord"))
-    g = glossary.select("kind", "scope", "source", "target", "required", seen.alias("_first"), F.left("source", F.lit(ANCHOR)).alias("_a"))
-    base = cues.select(*keys, "idx", F.col(text).alias("_t"))
-    places = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1))),
-        lambda i: F.transform(F.sequence(F.lit(1), F.lit(ANCHOR)), lambda n: F.substr(F.col("_t"), i, n)))))
-    grams = base.select(*keys, "idx", "_t", F.explode(places).alias("_a"))
-    hits = grams.join(g, "_a").filter(F.col("_t").contains(F.col("source"))).drop("_a", "_t")
+    parts, longest, anchors = _dictionary(glossary, slice_terms)
+    step = max(PIECE, longest)
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{1,{step + max(longest, 1) - 1}}})).{{1,{step}}}"), F.lit(1))
+    rows = cues.select(*keys, "idx", F.explode(pieces).alias("_p"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.least(F.length("_p"), F.lit(step)))).alias("_i"))
+    if len(anchors) > 1:
+        rows = rows.select("*", F.explode(F.array(*map(F.lit, anchors))).alias("_l"))
+    else:
+        rows = rows.withColumn("_l", F.lit(anchors[0] if anchors else 1))
+    rows = rows.withColumn("_a", F.substr("_p", "_i", "_l"))
+    entry = ["kind", "scope", "source", "target", "required", "_first"]
+
+    def found(part: DataFrame) -> DataFrame:
+        hit = rows.join(F.broadcast(part), "_a").filter(F.substr("_p", "_i", "_n") == F.col("source"))
+        return hit.select(*keys, "idx", *entry)
+
+    if not parts:
+        none = glossary.select("kind", "scope", "source", "target", "required", F.struct(F.lit(0).alias("layer"), F.lit(0).alias("ord")).alias("_first"))
+        hits = cues.select(*keys, "idx").limit(0).join(none.limit(0), F.lit(True))
+    else:
+        hits = reduce(DataFrame.unionByName, map(found, parts)).distinct()
     if max_terms is None:
         return hits.drop("_first")
     order = [F.col("required").desc(), _rank_kind(), F.length("source").desc(), F.col("_first"), F.col("source")]

@@ -85,3 +85,19 @@ def test_glossary_order_and_no_cap(spark):
     g = terms.glossary_entries(spark.createDataFrame(many, "layer int, ord int, kind string, scope string, source string, target string, required string"))
     cues = spark.createDataFrame([(1, 0, " ".join(m[4] for m in many), "nothing")], "media int, idx int, source_text string, text string")
     assert terms.term_drift(cues, g, ["media"]).count() == 60
+
+
+def test_glossary_matches_equal_containment(spark):
+    """Terms over piece borders, a line of 100,000 letters, several slices, letters outside the basic plane, null and empty texts."""
+    rnd = random.Random(5)
+    letters = "abc \n先\U0001F600"
+    terms_ = sorted({"".join(rnd.choice(letters) for _ in range(rnd.choice([1, 2, 3, 5, 70]))).strip() for _ in range(40)} - {""})
+    texts = ["".join(rnd.choice(letters) for _ in range(n)) for n in (1, 5, 64, 65, 200, 1000)] + ["", None]
+    texts += ["".join(rnd.choice(terms_) for _ in range(30)), "x" * 63 + terms_[-1] + "y" * 63, "ab" * 50_000 + "先"]
+    g = spark.createDataFrame([("term", "s", t, t.upper(), True) for t in terms_], "kind string, scope string, source string, target string, required boolean")
+    cues = spark.createDataFrame([("m", i, t) for i, t in enumerate(texts)], "media string, idx int, text string")
+    want = {(i, t) for i, x in enumerate(texts) for t in terms_ if t in (x or "")}
+    for size in (1000, 7):
+        got = [(r.idx, r.source) for r in terms.glossary_match(cues, g, ["media"], max_terms=None, slice_terms=size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert terms.glossary_match(cues, g.limit(0), ["media"]).count() == 0
