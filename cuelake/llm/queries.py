@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import chat, decontam, exact, language, passages, ring, sentencepiece_rounds, simhash, token_blocks, token_cache
+from cuelake.llm import chat, decontam, exact, language, passages, ring, sentencepiece_rounds, simhash, token_blocks, token_cache, trie
 from cuelake.llm.common import tables
 
 
@@ -65,8 +65,13 @@ def op10_repeated_passages(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_id")
 
 
+def op13_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return trie.prefix_trie(*trie.rebuilt(trie.turns_of(tables(spark, d, "conversations"))))
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_files, op3_simhash, op4_decontaminate, op5_exact_dedup, op6_token_counts,
-                                   op7_sentencepiece, op8_language_id, op9_shard, op10_repeated_passages)}
+                                   op7_sentencepiece, op8_language_id, op9_shard, op10_repeated_passages,
+                                   op13_prefix_trie)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -77,4 +82,24 @@ SQL = {
         SELECT n.doc_id, keep_id, group_size, n.doc_id IS NOT DISTINCT FROM keep_id
                  AND row_number() OVER (PARTITION BY n.t, n.doc_id) = 1 AS kept, text_sha256
         FROM n JOIN g USING (t)""",
+    "op13_prefix_trie": """
+        WITH turns AS (SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                         ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+                       FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+             hashed AS (SELECT c, l, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT,
+                         list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(
+                         list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h
+                       FROM turns),
+             made AS (SELECT a.c, list_concat(coalesce(b.l, [])[:a.h], a.l[a.h + 1:]) AS l FROM hashed a LEFT JOIN turns b ON b.c = a.base),
+             steps AS (SELECT c, len(l) AS n, d, l[:d] AS p FROM made, unnest(range(len(l) + 1)) AS u(d)),
+             nodes AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, d > 0 AS below,
+                         coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '') AS ends,
+                         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(p[d].text) END AS own FROM steps GROUP BY d, p),
+             kids AS (SELECT d - 1 AS d, p[:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+             full_ AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.d = n.d AND k.p = n.p),
+             tree AS (SELECT u.d, v.p[:u.d] AS p, sum(v.own) AS saved_tokens, count(*) FILTER (v.n_children = 0) AS n_leaves
+                      FROM full_ v, unnest(range(v.d + 1)) AS u(d) GROUP BY ALL)
+        SELECT n.conv_id, n.d AS depth, m.conv_id AS parent_conv_id, n.n_convs, n.n_children, t.n_leaves, t.saved_tokens::BIGINT AS saved_tokens,
+          sha256(n.ends) AS ends_sha256
+        FROM full_ n JOIN tree t ON t.d = n.d AND t.p = n.p LEFT JOIN nodes m ON n.below AND m.d = n.d - 1 AND m.p = n.p[:n.d - 1]""",
 }
