@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import chat, decontam, exact, language, passages, ring, sentencepiece_rounds, simhash, token_blocks, token_cache, trie
+from cuelake.llm import chat, decontam, exact, language, passages, ring, sentencepiece_rounds, simhash, token_blocks, token_cache, trie, whitening
 from cuelake.llm.common import tables
 
 
@@ -65,13 +65,18 @@ def op10_repeated_passages(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_id")
 
 
+def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
+    x = whitening.same_length(whitening.vectors(tables(spark, d, "embeddings").select("vec_id", "embedding")))
+    return whitening.whiten(x, whitening.fit_whitener(x))
+
+
 def op13_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
     return trie.prefix_trie(*trie.rebuilt(trie.turns_of(tables(spark, d, "conversations"))))
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_files, op3_simhash, op4_decontaminate, op5_exact_dedup, op6_token_counts,
                                    op7_sentencepiece, op8_language_id, op9_shard, op10_repeated_passages,
-                                   op13_prefix_trie)}
+                                   op12_whitening, op13_prefix_trie)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
