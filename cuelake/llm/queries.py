@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import chat, decontam, exact, language, passages, ring, sentencepiece_rounds, simhash, token_blocks, token_cache, trie, whitening
+from cuelake.llm import chat, decontam, exact, language, licenses, passages, ring, sentencepiece_rounds, simhash, token_blocks, token_cache, trie, whitening
 from cuelake.llm.common import tables
 
 
@@ -65,6 +65,10 @@ def op10_repeated_passages(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_id")
 
 
+def op11_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.summary(licenses.scan(tables(spark, d, "documents")))
+
+
 def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
     x = whitening.same_length(whitening.vectors(tables(spark, d, "embeddings").select("vec_id", "embedding")))
     return whitening.whiten(x, whitening.fit_whitener(x))
@@ -76,7 +80,7 @@ def op13_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_files, op3_simhash, op4_decontaminate, op5_exact_dedup, op6_token_counts,
                                    op7_sentencepiece, op8_language_id, op9_shard, op10_repeated_passages,
-                                   op12_whitening, op13_prefix_trie)}
+                                   op11_license_scan, op12_whitening, op13_prefix_trie)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -107,4 +111,5 @@ SQL = {
         SELECT n.conv_id, n.d AS depth, m.conv_id AS parent_conv_id, n.n_convs, n.n_children, t.n_leaves, t.saved_tokens::BIGINT AS saved_tokens,
           sha256(n.ends) AS ends_sha256
         FROM full_ n JOIN tree t ON t.d = n.d AND t.p = n.p LEFT JOIN nodes m ON n.below AND m.d = n.d - 1 AND m.p = n.p[:n.d - 1]""",
+    "op11_license_scan": licenses.twin_sql(),
 }
