@@ -10,7 +10,8 @@ in template form, and joined to the windows of the benchmark by hash and content
 the placeholders must be consistent: one value of the item stands for one value of the document;
 a name may be longer in one place than in another. A document leaks an item when windows that
 cover ``RUN`` words of it match (all its windows, for a shorter item); words of a template are
-counted with each name as one. Template windows with fewer than ``LITERALS`` words that are not
+counted with each name as one. An item with fewer words than a window is leaked only where its words, as they
+are, begin and end with sentences of the document: a document does not leak an item ``Yes.`` by that word. Template windows with fewer than ``LITERALS`` words that are not
 placeholders do not match.
 """
 
@@ -19,19 +20,19 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from operator import ne
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import bounded_batches, nonnull_text, written
+from cuelake.llm.common import bounded_batches, nonnull_text, worker_state, written
 
 WINDOW = 8
 RUN = 13
 LITERALS = 4
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+|[.!?\n]")
+TOKEN = re.compile(r"[^\W\d]\w*|\d+(?:[.,]\d+)*|[.!?\n]")
 # Words that count as units behind a number.
 UNITS = frozenset("""mm cm m km mi ft in yd inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers
 kilometre kilometres centimeter centimeters g kg mg t lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons
@@ -39,98 +40,146 @@ ml cl l liter liters litre litres gallon gallons s sec ms min h hr second second
 months year years percent dollar dollars cent cents euro euros usd eur mph kmh degree degrees celsius fahrenheit watt watts kw
 volt volts amp amps hz khz mhz ghz kb mb gb tb byte bytes""".split())
 NUMBER, UNIT, NAME = (zlib.crc32(f"\0{k}".encode()) for k in ("number", "unit", "name"))
+SLOT_CODE = np.array([0, NUMBER, UNIT, NAME], np.uint64)
+# Classes of tokens: 0 to 3 as slots, and the end of a sentence. So many words are coded at once.
+END, SLICE = 4, 200_000
+# Characters of texts that are coded together.
+GROUP = 100_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+POWERS = np.cumprod(np.full(64, MULTIPLIER))
 FILTER_BITS = 23
 WINDOWS = "h long, kind int, words string, at int, word int, slots array<string>"
 
 
+class Letters:
+    """Tables over all characters: lower case (one character each; the final sigma as any), and whether it is a capital."""
+
+    def __init__(self):
+        every = [chr(i) for i in range(0x110000)]
+        lower = [c.lower() for c in every]
+        self.lower = np.fromiter((ord(x) if len(x) == 1 else i for i, x in enumerate(lower)), np.uint32, 0x110000)
+        self.lower[ord("\u03c2")] = ord("\u03c3")
+        self.capital = np.fromiter(map(str.isupper, every), bool, 0x110000)
+        self.units = np.sort(self.words(sorted(UNITS))[0])
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and classes of words: END, 1 begins with a digit, 3 with a capital, else 0. Equal words have equal codes."""
+        parts = [self._words(words[k:k + SLICE]) for k in range(0, len(words), SLICE)] or [(np.zeros(0, np.uint64), np.zeros(0, np.int8))]
+        return parts[0] if len(parts) == 1 else tuple(map(np.concatenate, zip(*parts)))
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        c = np.frombuffer("\0".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.concatenate([[0], np.nonzero(c == 0)[0] + 1])
+        size = np.diff(np.append(at, len(c) + 1))
+        place = np.arange(len(c)) - np.repeat(at, size)[:len(c)]
+        code = np.add.reduceat(self.lower[c] * POWERS[np.minimum(place, len(POWERS) - 1)], at)
+        first = c[at]
+        kind = np.where(self.capital[first], 3, 0).astype(np.int8)
+        kind[(first >= 48) & (first <= 57)] = 1
+        kind[(first == 46) | (first == 33) | (first == 63) | (first == 10)] = END
+        return code ^ (code >> np.uint64(31)), kind
+
+
 class Tokens:
-    """Words of a text, plain and as a template."""
-
-    def __init__(self, text: str):
-        raw = TOKEN.findall(text)
-        ends = np.fromiter((x in ".!?\n" for x in raw), bool, len(raw)) if raw else np.zeros(0, bool)
-        self.raw = [x for x in raw if x not in ".!?\n"]
-        self.low = "\0".join(self.raw).lower().split("\0") if self.raw else []
-        word = np.nonzero(~ends)[0]
-        starts = np.r_[True, ends[:-1]][word] if len(raw) else np.zeros(0, bool)
-        n = len(self.raw)
-        self.code = np.fromiter(map(zlib.crc32, map(str.encode, self.low)), np.uint64, n)
+    """Words of texts one after another, plain and as templates. Places count over all texts of the group."""
+
+    def __init__(self, texts: list[str]):
+        letters = worker_state("decontam-letters", Letters)
+        raws = [TOKEN.findall(t) for t in texts]
+        raw = raws[0] if len(raws) == 1 else list(chain.from_iterable(raws))
+        text = np.repeat(np.arange(len(raws)), np.fromiter(map(len, raws), np.int64, len(raws)))
+        code, kind = letters.words(raw)
+        word = np.nonzero(kind != END)[0]
+        self.raw = list(map(raw.__getitem__, word.tolist())) if len(word) < len(raw) else raw
+        starts = np.ones(len(raw), bool)
+        starts[1:] = (kind[:-1] == END) | (text[1:] != text[:-1])
+        # Which words begin a sentence; behind the last word one may begin.
+        self.starts = np.append(starts[word], True)
+        starts, self.code, named, self.text = starts[word], code[word], kind[word], text[word]
         # A capital makes a name, a digit in front a number, a unit follows a number.
-        named = np.zeros(n, np.int8)
-        for i in np.nonzero(np.fromiter(map(ne, self.raw, self.low), bool, n))[0].tolist():
-            if self.raw[i][0].isupper():
-                named[i] = 3
-        digits = np.fromiter((x[0] <= "9" for x in self.low), bool, n)
-        for i in np.nonzero(digits)[0].tolist():
-            if self.low[i][0].isdecimal():
-                named[i] = 1
-                if i + 1 < n and self.low[i + 1] in UNITS:
-                    named[i + 1] = 2
+        behind = np.nonzero((named[:-1] == 1) & (self.text[1:] == self.text[:-1]))[0] + 1
+        near = letters.units[np.minimum(np.searchsorted(letters.units, self.code[behind]), len(letters.units) - 1)]
+        named[behind[near == self.code[behind]]] = 2
         # Template 1 has a sentence's first word as it is, template 2 as a name if it has a capital.
-        inside = self.slot = np.where(starts & (named == 3), 0, named).astype(np.int8)
-        self.forms = {1: self._form(inside, starts)}
+        inside = np.where(starts & (named == 3), 0, named).astype(np.int8)
+        every = np.arange(len(word))
+        self.forms = {0: (every, np.zeros(len(word), np.int8), self.code, every + 1), 1: self._form(inside, starts)}
         self.forms[2] = self._form(named, starts) if (inside != named).any() else self.forms[1]
+        # Where each text's parts begin.
+        self.offsets = {k: np.searchsorted(self.text[f[0]], np.arange(len(raws) + 1)) for k, f in self.forms.items()}
 
-    def _form(self, slot: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word, placeholder and code of each part of the template: a run of names in one sentence is one part."""
+    def _form(self, slot: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First word, placeholder, code and end of each part of the template: a run of names in one sentence is one part."""
         first = np.ones(len(slot), bool)
         first[1:] = (slot[1:] != 3) | (slot[:-1] != 3) | starts[1:]
         begin = np.nonzero(first)[0]
-        code = self.code.copy()
-        for k, v in ((1, NUMBER), (2, UNIT), (3, NAME)):
-            code[slot == k] = v
-        return begin, slot[begin], code[begin]
+        slot, code = slot[begin], self.code[begin]
+        return begin, slot, np.where(slot > 0, SLOT_CODE[slot], code), np.append(begin[1:], len(self.raw))
 
-    def parts(self, kind: int) -> int:
-        return len(self.forms[kind][0]) if kind else len(self.raw)
+    def parts(self, kind: int, text: int = 0) -> int:
+        return int(self.offsets[kind][text + 1] - self.offsets[kind][text])
 
     def hashes(self, size: int, kinds: tuple[int, ...] = (0, 1, 2)) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(kind, window starts, window hashes): kind 0 plain, 1 and 2 templates of windows with a slot and enough words."""
+        """(kind, window starts, window hashes) of windows inside one text: kind 0 plain, 1 and 2 templates of windows with
+        a slot and enough words."""
         out = []
         for kind in kinds:
-            n = self.parts(kind) - size + 1
+            begin, slot, code, _ = self.forms[kind]
+            n = len(begin) - size + 1
             if n <= 0:
                 continue
-            if kind == 0:
-                at, code = np.arange(n), self.code
-            else:
-                _, slot, code = self.forms[kind]
+            if kind == 2 and self.forms[2] is self.forms[1] and out and out[-1][0] == 1:
+                out.append((2, *out[-1][1:]))
+                continue
+            text = self.text[begin]
+            fits = text[:n] == text[size - 1:]
+            if kind:
                 slots = np.concatenate([[0], np.cumsum(slot > 0)])
                 held = slots[size:] - slots[:-size]
-                at = np.nonzero((held > 0) & (size - held >= min(LITERALS, size - 1)))[0]
-            h = np.full(len(at), (kind > 0) * 977 + size, np.uint64)
+                fits &= (held > 0) & (size - held >= min(LITERALS, size - 1))
+            at = np.nonzero(fits)[0]
+            h = np.full(n, (kind > 0) * 977 + size, np.uint64)
             for k in range(size):
-                h = (h ^ code[at + k]) * MULTIPLIER
+                h ^= code[k:k + n]
+                h *= MULTIPLIER
                 h ^= h >> np.uint64(29)
-            out.append((kind, at, h))
+            out.append((kind, at, h if len(at) == n else h[at]))
         return out
 
+    def whole(self, i: int, size: int) -> bool:
+        """Do these words begin a sentence, and end one?"""
+        return bool(self.starts[i] and self.starts[i + size])
+
     def any_slot(self, kind: int, i: int, size: int) -> bool:
         """Does a template have a slot among these words?"""
-        begin, slot, _ = self.forms[kind]
+        begin, slot, _, _ = self.forms[kind]
         a, b = np.searchsorted(begin, [i, i + size - 1], side="right") - 1
         return bool((slot[a:b + 1] > 0).any())
 
-    def word(self, kind: int, i: int) -> int:
-        """Number of the word that a part begins with."""
-        return int(self.forms[kind][0][i]) if kind else i
-
-    def words(self, kind: int, i: int, size: int) -> str:
+    def window(self, kind: int, i: int, size: int) -> tuple[int, str, int, int, list[str]]:
+        """Text, words, place of the first part and of its first word in the text, and the slots (kind and words) of a window."""
+        begin, slot, _, end = (x[i:i + size].tolist() for x in self.forms[kind])
+        text = int(self.text[begin[0]])
         if kind == 0:
-            return " ".join(self.low[i:i + size])
-        begin, slot, _ = self.forms[kind]
-        return " ".join(("", "<number>", "<unit>", "<name>")[s] or self.low[w]
-                        for w, s in zip(begin[i:i + size].tolist(), slot[i:i + size].tolist()))
+            words, slots = " ".join(self.raw[i:i + size]), []
+        else:
+            words = " ".join(("", "<number>", "<unit>", "<name>")[s] or self.raw[w] for w, s in zip(begin, slot))
+            slots = [f"{s}{' '.join(self.raw[w:e]).lower()}" for w, e, s in zip(begin, end, slot) if s]
+        return text, words.lower(), i - int(self.offsets[kind][text]), begin[0] - int(self.offsets[0][text]), slots
 
-    def slots(self, kind: int, i: int, size: int) -> list[str]:
-        """Kind of slot and the words in it."""
-        if kind == 0:
-            return []
-        begin, slot, _ = self.forms[kind]
-        end = np.append(begin[1:], len(self.raw))
-        return [f"{s}{' '.join(self.low[w:e])}" for w, e, s in
-                zip(begin[i:i + size].tolist(), end[i:i + size].tolist(), slot[i:i + size].tolist()) if s]
+
+def groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Number of the first text and texts that are coded together: many short ones, or a long one."""
+    first, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        t = t.as_py()
+        if held and size + len(t) > GROUP:
+            yield first, held
+            first, held, size = i, [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield first, held
 
 
 def _rows(ids: list, found: list[tuple], name: str) -> pa.RecordBatch:
@@ -142,23 +191,24 @@ def _rows(ids: list, found: list[tuple], name: str) -> pa.RecordBatch:
 
 def benchmark_windows(bench: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """The windows of each item, with size, parts (of the item's form) and free (the templates in which a plain window
-    holds no slot); an item shorter than a window is one window."""
+    holds no slot); an item shorter than a window is one plain window."""
     bounded_batches(bench.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, sizes, parts, free, found = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tok = Tokens(t)
-                for form in (0, *tok.forms):
+                tok = Tokens([t])
+                for form in tok.forms if tok.parts(0) >= window else (0,):
                     size = min(window, tok.parts(form))
                     for kind, at, h in tok.hashes(size, (form,)) if size else []:
                         for p, x in zip(at.tolist(), h.view(np.int64).tolist()):
                             ids.append(i)
                             sizes.append(size)
                             parts.append(tok.parts(form))
-                            free.append([k for k in tok.forms if kind == 0 and not tok.any_slot(k, p, size)])
-                            found.append((x, kind, tok.words(kind, p, size), p, tok.word(kind, p), tok.slots(kind, p, size)))
+                            free.append([k for k in (1, 2) if kind == 0 and not tok.any_slot(k, p, size)])
+                            _, words, part, word, slots = tok.window(kind, p, size)
+                            found.append((x, kind, words, part, word, slots))
             rows = _rows(ids, found, "item_id")
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sizes, pa.int32()), pa.array(parts, pa.int32()), pa.array(free, pa.list_(pa.int32()))],
                                              names=[*rows.schema.names, "size", "parts", "free"])
@@ -194,16 +244,20 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
         bits = shared.value
         for b in batches:
             ids, marks, found = [], [], []
-            for d, m, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                tok = Tokens(t.as_py())
+            names, hashes = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for first, texts in groups(b.column(2)):
+                tok = Tokens(texts)
                 for size in sizes:
                     for kind, at, h in tok.hashes(size):
                         k = h >> np.uint64(shift)
-                        hit = np.nonzero((bits[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1))[0]
+                        hit = np.nonzero((bits[(k >> np.uint64(6)).view(np.int64)] >> (k & np.uint64(63))) & np.uint64(1))[0]
                         for p, x in zip(at[hit].tolist(), h[hit].view(np.int64).tolist()):
-                            ids.append(d)
-                            marks.append(m)
-                            found.append((x, kind, tok.words(kind, p, size), p, tok.word(kind, p), tok.slots(kind, p, size)))
+                            if kind == 0 and size < window and not tok.whole(p, size):
+                                continue
+                            text, words, part, word, slots = tok.window(kind, p, size)
+                            ids.append(names[first + text])
+                            marks.append(hashes[first + text])
+                            found.append((x, kind, words, part, word, slots))
             rows = _rows(ids, found, "doc_id")
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(marks, pa.int64()), *rows.columns[1:]],
                                              names=["doc_id", "th", *rows.schema.names[1:]])
