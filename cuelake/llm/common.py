@@ -52,16 +52,44 @@ def partitions(spark: SparkSession) -> int:
 
 
 def worker_state(key, make: Callable):
-    """One value per Python worker process, kept between its tasks."""
+    """One value per Python worker process, kept between its tasks until another operator asks for its own."""
     m = sys.modules.get("_llm_worker_state")
     if m is None:
         m = sys.modules["_llm_worker_state"] = types.ModuleType("_llm_worker_state")
         m.values = {}
     if key not in m.values:
+        m.values.clear()
         m.values[key] = make()
     return m.values[key]
 
 
+def give_back() -> None:
+    """Hand memory that is free inside this worker back to the system: workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """A batch function that gives its memory back when its task ends."""
+
+    def leaned(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return leaned
+
+
 def nonnull_text(col: Column | str = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

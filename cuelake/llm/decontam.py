@@ -10,7 +10,7 @@ in template form, and joined to the windows of the benchmark by hash and content
 the placeholders must be consistent: one value of the item stands for one value of the document;
 a name may be longer in one place than in another. A document leaks an item when windows that
 cover ``RUN`` words of it match (all its windows, for a shorter item); words of a template are
-counted with each name as one. An item with fewer words than a window is leaked only where its words, as they
+counted with each name as one. An item with fewer than ``SHORT`` words is leaked only where its words, as they
 are, begin and end with sentences of the document: a document does not leak an item ``Yes.`` by that word. Template windows with fewer than ``LITERALS`` words that are not
 placeholders do not match.
 """
@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import bounded_batches, nonnull_text, worker_state, written
+from cuelake.llm.common import bounded_batches, lean, nonnull_text, worker_state, written
 
 WINDOW = 8
 RUN = 13
 LITERALS = 4
+SHORT = 5
 TOKEN = re.compile(r"[^\W\d]\w*|\d+(?:[.,]\d+)*|[.!?\n]")
 # Words that count as units behind a number.
 UNITS = frozenset("""mm cm m km mi ft in yd inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers
@@ -191,7 +192,7 @@ def _rows(ids: list, found: list[tuple], name: str) -> pa.RecordBatch:
 
 def benchmark_windows(bench: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """The windows of each item, with size, parts (of the item's form) and free (the templates in which a plain window
-    holds no slot); an item shorter than a window is one plain window."""
+    holds no slot); an item shorter than a window is one window, one under ``SHORT`` words a plain one."""
     bounded_batches(bench.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +200,7 @@ def benchmark_windows(bench: DataFrame, id_col: str, text_col: str, window: int)
             ids, sizes, parts, free, found = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tok = Tokens([t])
-                for form in tok.forms if tok.parts(0) >= window else (0,):
+                for form in tok.forms if tok.parts(0) >= SHORT else (0,):
                     size = min(window, tok.parts(form))
                     for kind, at, h in tok.hashes(size, (form,)) if size else []:
                         for p, x in zip(at.tolist(), h.view(np.int64).tolist()):
@@ -214,7 +215,7 @@ def benchmark_windows(bench: DataFrame, id_col: str, text_col: str, window: int)
                                              names=[*rows.schema.names, "size", "parts", "free"])
 
     return (bench.select(F.col(id_col).cast("long").alias("item_id"), nonnull_text(text_col).alias("t"))
-            .mapInArrow(run, f"item_id long, {WINDOWS}, size int, parts int, free array<int>"))
+            .mapInArrow(lean(run), f"item_id long, {WINDOWS}, size int, parts int, free array<int>"))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -252,7 +253,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
                         k = h >> np.uint64(shift)
                         hit = np.nonzero((bits[(k >> np.uint64(6)).view(np.int64)] >> (k & np.uint64(63))) & np.uint64(1))[0]
                         for p, x in zip(at[hit].tolist(), h[hit].view(np.int64).tolist()):
-                            if kind == 0 and size < window and not tok.whole(p, size):
+                            if kind == 0 and size < SHORT and not tok.whole(p, size):
                                 continue
                             text, words, part, word, slots = tok.window(kind, p, size)
                             ids.append(names[first + text])
@@ -264,7 +265,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
 
     text = nonnull_text(text_col)
     seen = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t"))
-            .mapInArrow(run, "doc_id long, th long, " + WINDOWS))
+            .mapInArrow(lean(run), "doc_id long, th long, " + WINDOWS))
     # Templates meet their own kind only: the places of one form are not those of another.
     item = items.select("item_id", "h", "kind", "words", F.col("at").alias("item_at"), F.col("word").alias("item_word"), "free",
                         F.col("slots").alias("item_slots"))

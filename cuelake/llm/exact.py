@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import bounded_batches, nonnull_text, partitions, written
+from cuelake.llm.common import bounded_batches, lean, nonnull_text, partitions, written
 
 SALTS = 16
 
@@ -40,7 +40,7 @@ def normalised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     text = nonnull_text(text_col)
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("t"))
-            .mapInArrow(run, "doc_id long, h long, digest binary" + ", norm string" * with_text))
+            .mapInArrow(lean(run), "doc_id long, h long, digest binary" + ", norm string" * with_text))
 
 
 def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] = sha256,

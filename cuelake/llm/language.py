@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import bounded_batches, partitions, worker_state
+from cuelake.llm.common import bounded_batches, lean, partitions, worker_state
 
 SAMPLE = 300
 DIM = 1 << 14
@@ -165,7 +165,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["l", "whole", "at", "c"])
 
     # Bounded: sample * languages, and the beginnings of a text are about twice as long as it at most, together.
-    got = rows.mapInArrow(run, "l string, whole boolean, at binary, c binary").collect()
+    got = rows.mapInArrow(lean(run), "l string, whole boolean, at binary, c binary").collect()
     if len({r.l for r in got}) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
 

@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import bounded_batches, nonnull_text, worker_state
+from cuelake.llm.common import bounded_batches, lean, nonnull_text, worker_state
 
 SPACE = "▁"
 NO = np.iinfo(np.int64).max
-WORDS_KEPT = 800_000
+# Bytes of words and their ids kept per generation, with what Python adds to each, and words that are looked up together.
+KEPT_BYTES, PER_WORD, GROUP = 24 << 20, 200, 1 << 17
 # Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -85,6 +86,8 @@ class Model:
         self.split = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if self.line_cut else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self._hash()
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.kept_bytes = 0
 
     def _hash(self) -> None:
         """Open-addressed table of pairs: a few gathers instead of a binary search."""
@@ -205,29 +208,50 @@ class Model:
         raw = sym.astype(np.int32).tobytes()
         return [raw[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
+    def _know(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words. They are kept in two generations: what the older one has and is asked for again moves to the newer."""
+        if self.kept_bytes > KEPT_BYTES:
+            self.known, self.before, self.kept_bytes = {}, self.known, 0
+        known, before = self.known, self.before
+        new = words - known.keys()
+        met = new & before.keys()
+        for w in met:
+            known[w] = before[w]
+        # Words of like length together, so that long ones do not keep short ones waiting.
+        todo = sorted(new - met, key=len)
+        i = 0
+        while i < len(todo):
+            j, size = i, 0
+            while j < len(todo) and (size < 400_000 or j == i):
+                size += len(todo[j])
+                j += 1
+            known.update(zip(todo[i:j], self.words(todo[i:j])))
+            i = j
+        self.kept_bytes += sum(PER_WORD + len(w) + len(known[w]) for w in new)
+        return known
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts, without end ids. An empty text has none."""
-        cut = [self.split.findall(((SPACE if self.prefix else "") + t).replace(" ", SPACE)) if t else [] for t in texts]
-        known = self.known
-        new = set(chain.from_iterable(cut)) - known.keys()
-        if new:
-            if len(known) + len(new) > WORDS_KEPT:
-                known.clear()
-                new = set(chain.from_iterable(cut))
-            # Words of like length together, so that long ones do not keep short ones waiting.
-            todo = sorted(new, key=len)
-            i = 0
-            while i < len(todo):
-                j, size = i, 0
-                while j < len(todo) and (size < 400_000 or j == i):
-                    size += len(todo[j])
-                    j += 1
-                known.update(zip(todo[i:j], self.words(todo[i:j])))
-                i = j
-        out = [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for ws in cut]
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        return out
+        """Ids of whole texts, without end ids. An empty text has none. ``GROUP`` words of the texts are looked up together."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def look_up() -> None:
+            known = self._know(set(chain.from_iterable(ws for _, ws in held)))
+            for i, ws in held:
+                out[i].append(b"".join(map(known.__getitem__, ws)))
+            held.clear()
+
+        for i, t in enumerate(texts):
+            words = self.split.findall(((SPACE if self.prefix else "") + t).replace(" ", SPACE)) if t else []
+            for k in range(0, len(words), GROUP):
+                held.append((i, words[k:k + GROUP] if len(words) > GROUP else words))
+                size += len(held[-1][1])
+                if size >= GROUP:
+                    look_up()
+                    size = 0
+        look_up()
+        return [np.frombuffer(b"".join(x), np.int32) for x in out]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: control pieces vanish, bytes join, the added space goes."""
@@ -280,37 +304,33 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     Null text counts as empty: the end id alone, decoded to an empty text. Rows stay as they
     are, repeated ones and null ids too; other columns are not read.
     """
-    bounded_batches(docs.sparkSession)
+    schema = "ids array<int>, decoded string"
+    return _per_text(docs, id_col, text_col, model, schema, lambda m: lambda ids: [
+        pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(m.decode, ids)), pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = load(model)
-        end = np.array([m.end], np.int32)
-        for b in batches:
-            ids = [np.append(x, end) for x in m.encode(b.column(1).to_pylist())]
-            for i in range(0, len(ids), 128):
-                part = ids[i:i + 128]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, 128), pa.array(part, pa.list_(pa.int32())),
-                     pa.array(list(map(m.decode, part)), pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), nonnull_text(text_col).alias("t"))
-            .mapInArrow(run, "doc_id long, ids array<int>, decoded string"))
+def piece_digests(docs: DataFrame, model: str) -> DataFrame:
+    """Encoding and decoding as digests: doc_id, n_tokens, ids_sha256, decoded_sha256. Rows as in :func:`encode_decode`."""
+    def digests(m: Model):
+        decimal = [str(i) for i in range(m.n)]
+        sha = lambda texts: pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in texts], pa.string())
+        return lambda ids: [pa.array(list(map(len, ids)), pa.int64()), sha(" ".join(map(decimal.__getitem__, x.tolist())) for x in ids), sha(map(m.decode, ids))]
 
+    return _per_text(docs, "doc_id", "text", model, "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
 
-def piece_digests(docs: DataFrame, model: str) -> DataFrame:
-    """Encoding and decoding as digests: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+
+def _per_text(docs: DataFrame, id_col: str, text_col: str, model: str, schema: str, columns) -> DataFrame:
+    """doc_id and the columns that ``columns(model)`` makes of the ids of some texts; encoding and decoding are one pass."""
     bounded_batches(docs.sparkSession)
+    schema = f"doc_id long, {schema}"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = [str(i) for i in range(load(model).n)]
+        m = load(model)
+        end, made = np.array([m.end], np.int32), columns(m)
         for b in batches:
-            ids, at = b.column(1), b.column(1).offsets.to_pylist()
-            text = list(map(decimal.__getitem__, ids.values.to_numpy().tolist()))
-            rows = [" ".join(text[i:j]) for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(at), pa.int64()),
-                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in rows], pa.string()),
-                 pa.array([hashlib.sha256(x.as_py().encode("utf-8", "surrogatepass")).hexdigest() for x in b.column(2)], pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encode_decode(docs, model).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for i in range(0, b.num_rows, 128):
+                ids = [np.append(x, end) for x in m.encode(b.column(1).slice(i, 128).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 128), *made(ids)], names=names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), nonnull_text(text_col).alias("t")).mapInArrow(lean(run), schema)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -257,6 +259,111 @@ def test_names_at_starts_and_of_more_words(spark, docs_of):
     assert sorted(r.doc_id for r in decontam.without_leaks(docs_of(rows), bench).collect()) == [4, 5, 8, 9]
 
 
+def test_short_items_leak_by_whole_sentences(spark, docs_of):
+    bench = spark.createDataFrame([(1, "Yes."), (2, "No. Never"), (3, "Tom has 5")], "item_id long, text string")
+    rows = [(1, "He said yes to it."), (2, "Is it? YES! Right."), (3, "yes"), (4, "oh. no. never. more"), (9, "oh no. never. more"), (5, "no. never more"), (6, "Tom has 6"), (7, "tom has 5\n"),
+            (8, "Tom has 5 apples")]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(rows), bench).collect()}
+    assert got == {(2, 1), (3, 1), (4, 2), (7, 3)}
+
+
+def brute_leaks(docs, items):
+    """Plain and template windows of every text against every item, by lists of words; without inner slot conflicts across forms."""
+    def tokens(text):
+        out, begins = [], True
+        for w in re.findall(r"\d+(?:[.,]\d+)*|\w+|[.!?\n]", text or ""):
+            if w in ".!?\n":
+                begins = True
+                continue
+            unit = out and out[-1][1] == "number" and w.lower() in decontam.UNITS
+            out.append((w.lower(), "unit" if unit else "number" if w[0] in "0123456789" else "name" if w[0].isupper() else "", begins))
+            begins = False
+        return out
+
+    def form(tok, kind):
+        parts = []
+        for n, (w, slot, begins) in enumerate(tok):
+            slot = "" if kind == 0 or (kind == 1 and begins and slot == "name") else slot
+            if slot == "name" and parts and parts[-1][1] == "name" and not begins:
+                parts[-1][2].append(w)
+            else:
+                parts.append((n, slot, [w]))
+        return parts
+
+    def windows(parts, size, kind):
+        out = []
+        for i in range(len(parts) - size + 1):
+            p = parts[i:i + size]
+            held = sum(bool(s) for _, s, _ in p)
+            if kind == 0 or (held and size - held >= min(4, size - 1)):
+                out.append((i, p[0][0], tuple(f"<{s}>" if s else w[0] for _, s, w in p), [(s, w) for _, s, w in p if s]))
+        return out
+
+    found = set()
+    for item, text in items:
+        own = tokens(text)
+        for doc, body in docs:
+            other = tokens(body)
+            sound = set()
+            for kind in (0, 1, 2):
+                a, b = form(own, kind), form(other, kind)
+                size = min(8, len(a))
+                if not size:
+                    continue
+                by = defaultdict(list)
+                for w in windows(b, size, kind):
+                    by[w[2]].append(w)
+                hits = defaultdict(list)
+                for i, word, words, slots in windows(a, size, kind):
+                    for j, _, _, theirs in by[words]:
+                        hits[j - i].append((word, slots, theirs))
+                for lag, hs in hits.items():
+                    pairs = defaultdict(set)
+                    for _, s, t in hs:
+                        for (k, x), (_, y) in zip(s, t):
+                            pairs[k, tuple(x)].add(tuple(y))
+                    if kind == 0 or all(len(v) == 1 for v in pairs.values()):
+                        sound |= {(kind, word) for word, _, _ in hs}
+            for kind in (0, 1, 2):
+                n = len(form(own, kind)) - min(8, len(form(own, kind))) + 1
+                at = {w for k, w in sound if k == kind}
+                if kind:
+                    begins = [p[0] for p in form(own, kind)]
+                    free = [w for k, w in sound if k == 0 and not any(s for _, s, _ in form(own, kind)[bisect_right(begins, w) - 1:bisect_right(begins, w + 7)])]
+                    at |= set(free)
+                if own and len(at) >= min(n, 6):
+                    found.add((doc, item))
+    return found
+
+
+def test_leaks_equal_brute_force(spark, docs_of):
+    r = random.Random(8)
+    small = "the old cat sat on a mat near my red house with two big dogs while it was raining and then".split()
+    names = ["Ann", "Bob", "Cy", "Dee"]
+
+    def text(n):
+        return " ".join(w + r.choice(["", "", "", "", ".", "?"]) for w in (r.choice([*r.sample(small, 9), r.choice(names), str(r.randint(1, 9)),
+                                                                                     str(r.randint(1, 9)) + " kg"]) for _ in range(n)))
+
+    def again(t):
+        """The same question with other names and numbers, each name and number for one other."""
+        other = dict(zip(names, r.sample(["Eve", "Flo", "Gus", "Hal"], 4)))
+        number = dict(zip("123456789", r.sample([str(k) for k in range(11, 40)], 9)))
+        return " ".join(re.sub(r"^\w+", lambda m: other.get(m[0], number.get(m[0], m[0])), w) for w in t.split(" "))
+
+    items = [(i, text(r.choice([9, 14, 20, 40]))) for i in range(12)]
+    docs = []
+    for i, t in items:
+        docs += [(100 + i, f"{text(10)} {t} {text(10)}"), (200 + i, f"{text(5)}. {again(t)}. {text(5)}"), (300 + i, " ".join(t.split()[:r.randint(6, 13)])),
+                 (400 + i, again(t).replace("Eve", "Flo")), (500 + i, text(60))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.contaminated(docs_of(docs), bench).collect()}
+    assert got == brute_leaks(docs, items)
+    assert {(100 + i, i) for i, _ in items} <= got
+    # Nearly all questions that are asked anew with other values are found.
+    assert len({(200 + i, i) for i, _ in items} & got) >= 10
+
+
 # --- 5 ----------------------------------------------------------------------------------
 
 def lowered(t):

@@ -101,10 +101,13 @@ def test_any_four_bits_share_a_bucket():
 
 
 def test_template_tokens():
-    t = decontam.Tokens("In total Ann has 3.5 kg of rice. Tom ate 2 apples")
-    assert t.words(1, 0, 7) == "in total <name> has <number> <unit> of"
-    assert t.slots(1, 0, 7) == ["3ann", "13.5", "2kg"]
-    assert decontam.Tokens("").hashes(8) == [] and decontam.Tokens(" .!\n").low == []
+    t = decontam.Tokens(["", "In total Ann has 3.5 kg of rice. Tom ate 2 apples", "5", "kg ΟΔΟΣ οδος"])
+    assert t.window(1, 0, 7) == (1, "in total <name> has <number> <unit> of", 0, 0, ["3ann", "13.5", "2kg"])
+    assert t.window(2, 8, 3)[1:] == ("<name> ate <number>", 8, 8, ["3tom", "12"])
+    # A unit follows a number of its own text, a window lies in one text, equal words have equal codes.
+    assert t.window(0, 13, 2) == (3, "kg οδος", 0, 0, []) and t.forms[1][1][13] == 0 and t.code[14] == t.code[15]
+    assert [at.tolist() for kind, at, _ in t.hashes(3) if kind == 0] == [[*range(10), 13]]
+    assert decontam.Tokens([""]).hashes(8) == [] and decontam.Tokens([" .!\n"]).raw == []
 
 
 def test_units_cover_whole_lines():
