@@ -106,14 +106,25 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def table_log(rows: DataFrame) -> DataFrame:
     """Rows by turn as an event log: user and system rows as whole messages, others streamed in pieces.
 
-    Equal turns of a conversation are ordered by role and text; each row is a message.
+    As in a real log, not all goes well at once: every third message is a draft that an edit replaces, every third streamed
+    one breaks off, is answered, and is regenerated, which takes the broken text and the answer back. Equal turns of a
+    conversation are ordered by role and text; each row is a message.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     w = Window.partitionBy("conv_id", "turn").orderBy(role, text)
     named = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.row_number().over(w).alias("n"))
-    pieces = F.when(F.col("role").isin("user", "system") | (F.col("text") == ""), F.array("text")).otherwise(
-        F.regexp_extract_all("text", F.lit("(?s).{1,400}"), F.lit(0)))
     whole = F.col("role").isin("user", "system")
-    e = named.select("conv_id", "turn", "n", "role", whole.alias("whole"), F.posexplode(pieces).alias("i", "text"))
-    return e.select("conv_id", F.struct(F.col("turn"), F.col("n"), F.col("i")).alias("seq"), F.struct("turn", "n").alias("msg"),
-                    F.when(F.col("whole"), "message").otherwise("delta").alias("kind"), "role", "text")
+    troubled = F.pmod(F.xxhash64("conv_id", "turn", "n"), F.lit(3)) == 0
+
+    def event(i, kind: str, said: Column, who: Column | None = None, other: int = 0) -> Column:
+        return F.struct(F.lit(i).alias("i") if isinstance(i, int) else i.alias("i"), F.lit(other).alias("other"), F.lit(kind).alias("kind"),
+                        (F.col("role") if who is None else who).alias("role"), said.alias("text"))
+
+    pieces = F.when(F.col("text") == "", F.array("text")).otherwise(F.regexp_extract_all("text", F.lit("(?s).{1,400}"), F.lit(0)))
+    streamed = F.transform(pieces, lambda p, i: event(i, "delta", p))
+    broken = F.array(event(-3, "delta", F.lit("This breaks </turn>")), event(-2, "message", F.lit("And then?"), F.lit("user"), 1), event(-1, "regenerate", F.lit("")))
+    events = (F.when(whole & troubled, F.array(event(-1, "message", F.lit("a draft ###")), event(0, "edit", F.col("text"))))
+              .when(whole, F.array(event(0, "message", F.col("text"))))
+              .when(troubled, F.concat(broken, streamed)).otherwise(streamed))
+    e = named.select("conv_id", "turn", "n", F.inline(events))
+    return e.select("conv_id", F.struct("turn", "n", "i").alias("seq"), F.struct("turn", "n", "other").alias("msg"), "kind", "role", "text")

@@ -84,7 +84,19 @@ QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_files, op3_simhash
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+ESCAPED = r"replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e')"
+
 SQL = {
+    "op1_chat_format": rf"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, n, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r)),
+             f AS (SELECT *, '### ' || CASE WHEN role IN ('user', 'assistant', 'system', 'tool') THEN upper(role[1]) || role[2:]
+                     ELSE '=' || replace({ESCAPED.replace("text", "role")}, ':', '\c') END || ': ' || {ESCAPED} || '</turn>' || chr(10) AS line FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+          sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+          sum(length(line))::BIGINT AS formatted_chars
+        FROM f GROUP BY conv_id""",
     "op5_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {LOWER} AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size, sha256(t) AS text_sha256 FROM n GROUP BY t)

@@ -43,6 +43,7 @@ def rebuilt(turns: DataFrame, block: int = 5, longest: int = 9) -> tuple[DataFra
     Conversation c begins with the first h turns of conversation c - c % block, h = crc32(decimal c) % longest,
     or as many as that has, and goes on with its own turns after its first h.
     """
+    turns = written(turns, "trie-own")
     own = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("m"))
     h = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(longest))
     convs = own.select("conv_id", (F.col("conv_id") - F.col("conv_id") % block).alias("base"), h.alias("h"))
