@@ -1,6 +1,6 @@
 """Pairing cues of two tracks by time or by position.
 
-The time joins are equi-joins on (track, time bin). Copies of the same interval are
+The time joins are equi-joins on (track, level, time bin); the level follows a cue's length. Copies of the same interval are
 reduced to their first cue beforehand, since a later copy can never win, so a bin holds
 at most as many partners as there are different intervals in it.
 """
@@ -14,9 +14,11 @@ from cuelake.functions.text import strip
 from cuelake.functions.timecode import overlap_ms
 
 BIN_MS = 10_000
+# Bins of the levels: 10 s, 80 s, 11 min, 85 min, 11 h, ... to 340 years.
+GROWTH, LEVELS = 8, 11
 
 
-def _bin(c: Column, width: int) -> Column:
+def _bin(c: Column, width: int | Column) -> Column:
     return F.floor(c / width).cast("bigint")
 
 
@@ -24,18 +26,53 @@ def _first_of_interval(right: DataFrame, keys) -> DataFrame:
     return right.groupBy(*keys, "start_ms", "end_ms").agg(F.min("idx").alias("idx"))
 
 
+def _level(length: Column, bin_ms: int) -> Column:
+    """The first level whose bins are as long as the cue: bins of a level are ``GROWTH`` times those of the level below."""
+    return sum(((length > bin_ms * GROWTH ** i).cast("int") for i in range(LEVELS - 1)), F.lit(0))
+
+
+def _places(s: Column, e: Column, low: Column, high: Column, tag: str, bin_ms: int) -> Column:
+    """(tag, level, bin) of the bins that [s, e) touches on the levels from low to high."""
+    def bins(level: Column) -> Column:
+        width = (F.lit(bin_ms) * F.pow(F.lit(GROWTH), level)).cast("bigint")
+        return F.transform(F.sequence(_bin(s, width), _bin(e - 1, width)),
+                           lambda b: F.struct(F.lit(tag).alias("_tag"), level.alias("_lv"), b.alias("_bin")))
+    none = F.array().cast("array<struct<_tag:string,_lv:int,_bin:bigint>>")
+    return F.when(high >= low, F.flatten(F.transform(F.sequence(low, F.greatest(low, high)), bins))).otherwise(none)
+
+
+def left_places(rows: DataFrame, s: Column, e: Column, other_top: Column, bin_ms: int = BIN_MS) -> DataFrame:
+    """Rows with _tag, _lv, _bin: at the level of the cue's length (``own``), and above it as far as the other side goes (``above``)."""
+    own = _level(e - s, bin_ms)
+    places = F.concat(_places(s, e, own, own, "own", bin_ms), _places(s, e, own + 1, other_top, "above", bin_ms))
+    return rows.select("*", F.inline_outer(F.when(e > s, places)))
+
+
+def right_places(rows: DataFrame, s: Column, e: Column, other_top: Column, bin_ms: int = BIN_MS) -> DataFrame:
+    """The counterpart: ``own`` of the left meets the right on all levels from its own on, ``above`` meets it on its own."""
+    own = _level(e - s, bin_ms)
+    places = F.concat(_places(s, e, own, F.greatest(own, other_top), "own", bin_ms), _places(s, e, own, own, "above", bin_ms))
+    return rows.select("*", F.inline(places))
+
+
 def _overlaps(left: DataFrame, right: DataFrame, keys, bin_ms: int) -> DataFrame:
-    """Every left cue with its times and ``b`` = (overlap, -right idx) of its best partner."""
+    """Every left cue with its times and ``b`` = (overlap, -right idx) of its best partner.
+
+    Two cues meet on the level of the longer one, where that lies in one or two bins; so a cue of any length is
+    at most two rows a level, and there are no more levels than the longest cue has. Nothing above a side's longest cue is emitted.
+    """
     lk = left.select(*keys, "idx", F.col("start_ms").alias("ls"), F.col("end_ms").alias("le"))
     rk = (_first_of_interval(right, keys)
           .select(*keys, F.col("idx").alias("r_idx"), F.col("start_ms").alias("rs"),
                   F.col("end_ms").alias("re")).filter("re > rs"))
     ls, le, rs, re = F.col("ls"), F.col("le"), F.col("rs"), F.col("re")
-    lb = lk.withColumn("_bin", F.explode_outer(F.when(le > ls, F.sequence(_bin(ls, bin_ms), _bin(le - 1, bin_ms)))))
-    rb = rk.withColumn("_bin", F.explode(F.sequence(_bin(rs, bin_ms), _bin(re - 1, bin_ms))))
-    j = lb.join(rb, [*keys, "_bin"], "left")
+    top = lambda df, name: df.agg(F.coalesce(F.max(_level(F.col("end_ms") - F.col("start_ms"), bin_ms)), F.lit(0)).alias(name))
+    # One row each.
+    lb = left_places(lk.join(F.broadcast(top(right, "_top"))), ls, le, F.col("_top"), bin_ms).drop("_top")
+    rb = right_places(rk.join(F.broadcast(top(left, "_top"))), rs, re, F.col("_top"), bin_ms).drop("_top")
+    j = lb.join(rb, [*keys, "_tag", "_lv", "_bin"], "left")
     ov = overlap_ms(ls, le, rs, re)
-    # a pair seen in several bins gives the same value each time, so max needs no de-duplication
+    # a pair seen in two bins gives the same value each time, so max needs no de-duplication
     best = F.max(F.when(rs.isNotNull() & (ov > 0), F.struct(ov.alias("ov"), (-F.col("r_idx")).alias("neg"))))
     return j.groupBy(*keys, "idx", "ls", "le").agg(best.alias("b"))
 

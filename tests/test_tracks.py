@@ -38,6 +38,24 @@ def test_align_equals_brute_force(spark):
         assert {r["idx"]: r["right_idx"] for r in a.collect()} == brute_align(ref, cand)
 
 
+def test_long_cues_are_few_rows(spark):
+    """Cues of all lengths, one of them from 0 to 10**9 ms: at most two rows a level, and the pairs of brute force."""
+    rnd = random.Random(4)
+    def some(n, seed):
+        r = random.Random(seed)
+        return [("m", i, s, s + r.choice([0, 500, 9_999, 10_000, 10_001, 79_000, 81_000, 700_000, 10_000_000]), f"t{i}")
+                for i, s in enumerate(r.randint(0, 20_000_000) for _ in range(n))]
+    ref, cand = some(60, 1) + [("m", 60, 0, 10 ** 9, "all")], some(40, 2) + [("m", 40, 5_000_000, 10 ** 9, "rest")]
+    rnd.shuffle(ref)
+    a = align.align(spark.createDataFrame(ref, CUE), spark.createDataFrame(cand, CUE), ["media"])
+    assert {r["idx"]: r["right_idx"] for r in a.collect()} == brute_align(ref, cand)
+    rows = spark.createDataFrame([("m", 0, 0, 10 ** 9, "")], CUE)
+    s, e = F.col("start_ms"), F.col("end_ms")
+    for place in (align.left_places, align.right_places):
+        assert place(rows, s, e, F.lit(0)).count() <= 4
+        assert place(rows, s, e, F.lit(align.LEVELS - 1)).count() <= 2 * align.LEVELS + 2
+
+
 def test_nearest_over_many_slices(spark):
     ref, cand = cues(30, 7, span=10 ** 6), cues(10, 8, span=10 ** 6)
     n = align.nearest(spark.createDataFrame(ref, CUE), spark.createDataFrame(cand, CUE), ["media"], F.col("start_ms"), bin_width=50_000)
