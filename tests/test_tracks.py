@@ -89,6 +89,40 @@ def test_repair_equals_sequential_scan(spark):
         assert {r["idx"]: (r["start_ms"], r["end_ms"]) for r in out} == brute_repair(rows, 50, 500)
 
 
+def test_maps_of_parts_equal_sequential_scan():
+    """A part as a function of the cue before it, for all kinds of cues and states."""
+    rnd = random.Random(11)
+    for _ in range(3000):
+        gap, short = rnd.choice([(50, 500), (1, 3), (0, 1)])
+        s = sorted(rnd.randint(0, rnd.choice([30, 300, 6000])) for _ in range(rnd.randint(1, 9)))
+        e = [x + rnd.choice([0, 1, 4, short, 700, 2000]) for x in s]
+        made = timing.part_map(s, e, gap, short)
+        assert len(made["upto"]) == len(set(made["upto"])) and made["upto"] == sorted(made["upto"])
+        for _ in range(4):
+            a = rnd.randint(-700, s[0])
+            before = [a, a + rnd.choice([0, 2, 500, 900, 4000]), -1]
+            rows = [before, *([x, y, i] for i, (x, y) in enumerate(zip(s, e)))]
+            last = list(before)
+            for r in rows[1:]:
+                if r[0] < last[1] + gap and r[0] - gap < last[0] + short:
+                    r[0] = last[1] + gap
+                    r[1] = max(r[1], r[0] + short)
+                last = list(r)
+            assert timing.after_part(made, (before[0], before[1]), gap, short) == (last[0], last[1])
+
+
+def test_long_chains_are_repaired_in_parts(spark):
+    """Chains longer than a part, among short ones and single cues; parts of one cue too."""
+    rows = [(m, i, s, e, t) for k, m in enumerate("ab") for m, i, s, e, t in [(m, *c[1:]) for c in cues(150, k, span=(20_000, 60_000)[k])]]
+    rows += [("c", i, i * 300, i * 300 + 280 + (i % 7) * 100, "t") for i in range(2000)] + [("d", 0, 5, 9, "alone")]
+    table = spark.createDataFrame(rows, CUE).repartition(5)
+    want = {(m, i): v for m in "abcd" for i, v in brute_repair([r for r in rows if r[0] == m], 50, 500).items()}
+    for part in (1, 7, 100, 65_536):
+        out = timing.repair_overlaps(table, ["media"], part_cues=part).collect()
+        assert {(r["media"], r["idx"]): (r["start_ms"], r["end_ms"]) for r in out} == want
+        assert len(out) == len(rows)
+
+
 def test_prepare_keeps_invariants(spark):
     rows = [("m", i, i * 2000, i * 2000 + 9000, "One two three. Four five six! " * 4) for i in range(20)]
     out = sorted((r["start_ms"], r["end_ms"]) for r in timing.prepare_cues(spark.createDataFrame(rows, CUE), ["media"]).collect())
