@@ -214,3 +214,14 @@ def match_rate(matches: DataFrame, keys) -> DataFrame:
     m = F.count_if(F.col("right_idx").isNotNull())
     return matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("generated_count"), m.alias("matched_count"),
                                       (m / F.count(F.lit(1))).alias("match_rate"))
+
+
+def avg_time_diff(texts: DataFrame, keys) -> DataFrame:
+    """Mean absolute difference of the starts of matched cues in seconds, as made by :func:`with_texts`."""
+    gap = F.sum(F.abs(F.col("ref_start") - F.col("cand_start")))
+    return texts.groupBy(*keys).agg((gap / (F.count(F.lit(1)) * 1000.0)).alias("avg_time_diff"))
+
+
+def track_totals(cues: DataFrame, keys) -> DataFrame:
+    """Cues of each track and the sum of their lengths."""
+    return cues.groupBy(*keys).agg(F.count(F.lit(1)).alias("segment_count"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("total_ms"))

@@ -1,4 +1,4 @@
-"""Language packs as tables: aliases and routing rules keyed by pack."""
+"""Language and domain packs as tables, from constants or from pack files: aliases, routing rules and glossaries."""
 
 from __future__ import annotations
 
@@ -23,6 +23,45 @@ def alias_table(spark: SparkSession, packs=PACKS, aliases=PACK_ALIASES) -> DataF
     return spark.createDataFrame(rows, "pack_id string, language string, alias string")
 
 
+PACK_FILE = ("pack_id string, kind string, layer int, source_language string, target_language string, untagged_language string, workflow string, "
+             "aliases map<string, array<string>>, glossary array<struct<kind: string, source: string, target: string, required: string>>")
+
+
+def read_packs(spark: SparkSession, paths) -> DataFrame:
+    """Pack files, one JSON object each, with their place ``path``.
+
+    ``kind`` is ``language`` or ``domain``; packs of a higher ``layer`` win over lower ones, without one a language pack is
+    layer 1 and a domain pack layer 2. A file that is no JSON object has nothing but its path.
+    """
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    p = files.select("path", F.from_json("value", PACK_FILE).alias("p")).select("path", "p.*")
+    layer = F.coalesce("layer", F.when(F.col("kind") == "domain", F.lit(2)).otherwise(F.lit(1)))
+    return p.withColumn("layer", F.when(F.col("pack_id").isNotNull(), layer))
+
+
+def pack_rows(files: DataFrame) -> DataFrame:
+    """The pack table (see :func:`pack_table`) of the language packs among the files."""
+    flow = F.coalesce("workflow", F.when(F.col("source_language") == F.col("target_language"), "transcription_only").otherwise("translate"))
+    return files.filter((F.col("kind") == "language") & F.col("pack_id").isNotNull()).select(
+        "pack_id", "source_language", "target_language", F.coalesce("untagged_language", "source_language").alias("untagged_language"), flow.alias("workflow"))
+
+
+def alias_rows(files: DataFrame) -> DataFrame:
+    """The alias table (see :func:`alias_table`); a language is an alias of itself."""
+    given = files.select("pack_id", F.explode("aliases").alias("language", "alias")).select("pack_id", "language", F.explode("alias").alias("alias"))
+    own = files.filter(F.col("kind") == "language").select("pack_id", F.explode(F.array("source_language", "target_language")).alias("language"))
+    return given.unionByName(own.select("pack_id", "language", F.col("language").alias("alias"))).filter(F.col("alias").isNotNull()).distinct()
+
+
+def glossary_rows(files: DataFrame, pack_ids: list[str]) -> DataFrame:
+    """Raw glossary entries of the packs in use, for ``terms.glossary_entries``: the layer of a pack, then its place among
+    the packs named, decides which entry wins; within a pack the later one (S6, U3)."""
+    place = F.array_position(F.array(*map(F.lit, pack_ids)), F.col("pack_id"))
+    e = files.filter(F.col("pack_id").isin(pack_ids)).select("layer", "kind", place.alias("place"), F.posexplode("glossary").alias("ord", "e"))
+    return e.select((F.col("layer") * len(pack_ids) + F.col("place") - 1).cast("int").alias("layer"), "ord", F.col("e.kind").alias("kind"),
+                    F.col("kind").alias("scope"), "e.source", "e.target", "e.required")
+
+
 def pack_of_track(tracks: DataFrame, target: str, packs: DataFrame, aliases: DataFrame, tag: str = "language",
                   untagged: str | None = None) -> DataFrame:
     """Tracks with ``pack_id`` and ``workflow`` for translation into ``target``.

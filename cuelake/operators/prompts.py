@@ -47,11 +47,25 @@ def numbered_messages(cues: DataFrame, keys, size: int) -> DataFrame:
         "pos", line.alias("l")))), lambda x: x["l"]), "\n").alias("message"))
 
 
+# What each mode asks for; any other mode asks for accuracy.
+MODES = {"literal": "Translate literally and preserve all meaning, names, register, and implied subjects.",
+         "natural_subtitle": "Translate into concise, natural English subtitle lines while preserving meaning."}
+ACCURATE = "Translate for maximum accuracy first, then make the English subtitle natural. Do not omit, soften, sanitize, or add meaning."
+LOW_CONFIDENCE = "If a line is uncertain due to unclear source/context, prefix the output with '[LOW_CONFIDENCE]' instead of guessing."
+
+
+def instruction(mode: str, flag_low_confidence: bool = False, extra: tuple[str, ...] = ()) -> str:
+    """What a mode asks of the model, with the sentences that profiles add."""
+    return " ".join([MODES.get(mode, ACCURATE), *extra, *([LOW_CONFIDENCE] if flag_low_confidence else [])])
+
+
 def prompt_table(cues: DataFrame, keys, glossary: DataFrame | None = None, memory: DataFrame | None = None,
-                 output: str | None = None, radius: int = 2, baseline: str | None = None) -> DataFrame:
+                 output: str | None = None, radius: int = 2, baseline: str | None = None, mode: str | None = None,
+                 profile: str = "default", flag_low_confidence: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """The prompt data set: one row per cue with context, rules, memory and message.
 
-    ``memory``: keys, idx, memory_block, as made by ``memory.memory_block``.
+    ``memory``: keys, idx, memory_block, as made by ``memory.memory_block``. With a ``mode`` the prompt begins with mode,
+    profile and instruction, and ends with what to return.
     """
     keys = list(keys)
     c = context_window(cues, keys, radius)
@@ -65,6 +79,8 @@ def prompt_table(cues: DataFrame, keys, glossary: DataFrame | None = None, memor
     c = c.withColumn("glossary_block", F.coalesce("glossary_block", F.lit(""))).withColumn("memory_block", F.coalesce("memory_block", F.lit("")))
     base = F.concat(F.lit("Baseline translation:\n"), F.col(baseline)) if baseline else F.lit(None)
     prev = F.when(F.col("previous_output").isNotNull(), F.concat(F.lit("Previous accepted output:\n"), "previous_output"))
-    return c.withColumn("prompt", F.concat_ws("\n\n", F.lit("Translate only the line marked with >>."), "context", base, prev,
+    head = F.lit(f"Mode: {mode}\nDialogue profile: {profile}\nInstruction: {instruction(mode, flag_low_confidence, extra)}") if mode else F.lit(None)
+    close = F.lit("Return only the translation of this one cue.") if mode else F.lit(None)
+    return c.withColumn("prompt", F.concat_ws("\n\n", head, F.lit("Translate only the line marked with >>."), "context", base, prev,
                                               F.nullif("glossary_block", F.lit("")), F.nullif("memory_block", F.lit("")),
-                                              F.concat(F.lit("Cue:\n"), "text")))
+                                              close, F.concat(F.lit("Cue:\n"), "text")))

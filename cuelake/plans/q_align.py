@@ -94,9 +94,7 @@ def match_rate(spark, d):
   GROUP BY ALL""")
 def avg_time_diff(spark, d):
     m, cand, ref = tolerant(spark, d)
-    j = al.with_texts(m.filter("right_idx IS NOT NULL"), cand, ref, K)
-    gap = F.sum(F.abs(F.col("ref_start") - F.col("cand_start")))
-    return j.groupBy(*K).agg((gap / (F.count(F.lit(1)) * 1000.0)).alias("avg_time_diff"))
+    return al.avg_time_diff(al.with_texts(m.filter("right_idx IS NOT NULL"), cand, ref, K), K)
 
 
 Q_TEXTS = Q_OVER + f""",

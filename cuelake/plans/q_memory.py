@@ -86,7 +86,7 @@ def batch_number(spark, d):
     return prompts.batch_number(v.lines(spark, d), 20).select("media", "idx", "batch_no", "pos")
 
 
-@REG.query(f"""WITH {v.Q_DIALOGUE},{Q_GLOSS}, h AS (SELECT d.media, d.idx, g.*, row_number() OVER (PARTITION BY d.media, d.idx ORDER BY g.required DESC,
+Q_PROMPT = f"""WITH {v.Q_DIALOGUE},{Q_GLOSS}, h AS (SELECT d.media, d.idx, g.*, row_number() OVER (PARTITION BY d.media, d.idx ORDER BY g.required DESC,
     CASE g.kind WHEN 'name' THEN 0 WHEN 'honorific' THEN 1 ELSE 2 END, length(g.source) DESC, g.pos) AS rank
   FROM v_dialogue d JOIN g_terms g ON contains(d.text, g.source)),
   b AS (SELECT media, idx, string_agg('- ' || source || ' -> ' || target || ' (' || kind || ', ' ||
@@ -96,7 +96,10 @@ def batch_number(spark, d):
   FROM (SELECT d.*, coalesce('Glossary enforcement (must follow for this cue):' || chr(10) || b.body, '') AS glossary_block, lag(trim(d.text)) OVER w AS prev, concat_ws(chr(10),
       '   ' || (d.idx - 1) || ': ' || lag(d.text, 2) OVER w, '   ' || d.idx || ': ' || lag(d.text, 1) OVER w, '>> ' || (d.idx + 1) || ': ' || d.text,
       '   ' || (d.idx + 2) || ': ' || lead(d.text, 1) OVER w, '   ' || (d.idx + 3) || ': ' || lead(d.text, 2) OVER w) AS context
-    FROM v_dialogue d LEFT JOIN b USING (media, idx) WINDOW w AS (PARTITION BY d.media ORDER BY d.idx))""")
+    FROM v_dialogue d LEFT JOIN b USING (media, idx) WINDOW w AS (PARTITION BY d.media ORDER BY d.idx))"""
+
+
+@REG.query(Q_PROMPT)
 def prompt_table(spark, d):
     c = v.dialogue(spark, d).withColumn("out", F.col("text"))
     p = prompts.prompt_table(c, K, glossary=glossary(spark), output="out")
@@ -104,6 +107,19 @@ def prompt_table(spark, d):
                     F.col("text").alias("source_text"), "prompt")
 
 
+_HEAD = prompts.instruction("natural_subtitle", True).replace("'", "''")
+
+
+@REG.query(f"""SELECT media, idx, 'Mode: natural_subtitle' || chr(10) || 'Dialogue profile: anime' || chr(10) || 'Instruction: {_HEAD}' || chr(10) || chr(10) ||
+    left(prompt, length(prompt) - length(source_text) - 5) || 'Return only the translation of this one cue.' || chr(10) || chr(10) || 'Cue:' || chr(10) || source_text AS prompt
+  FROM ({Q_PROMPT})""")
+def prompt_with_mode(spark, d):
+    """Whole prompts with mode, profile and instruction."""
+    c = v.dialogue(spark, d).withColumn("out", F.col("text"))
+    p = prompts.prompt_table(c, K, glossary=glossary(spark), output="out", mode="natural_subtitle", profile="anime", flag_low_confidence=True)
+    return p.select("media", "idx", "prompt")
+
+
 @REG.query(f"""WITH {v.Q_LINES} SELECT media, idx // 20 AS batch_no, string_agg((idx % 20 + 1) || '. ' || line, chr(10) ORDER BY idx) AS message
   FROM v_lines GROUP BY ALL""")
 def numbered_message(spark, d):

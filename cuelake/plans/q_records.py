@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import meta
 from cuelake.functions import text as tx
-from cuelake.operators import asr, benchmarks, packs, qc, routing, scoring, training
+from cuelake.operators import asr, benchmarks, packs, qc, registry_table, routing, scoring, terms, training
 from cuelake.operators import lifecycle as lc
 from cuelake.plans import q_routing as r
 from cuelake.plans import views as v
@@ -187,6 +187,51 @@ def pack_of_track(spark, d):
     return out.select("media", "ord", "pack_id", "workflow")
 
 
+@REG.query("""SELECT 'term' AS kind, CASE WHEN n_nationkey % 4 = 0 THEN 'domain' ELSE 'language' END AS scope, lower(n_name) AS source,
+    CASE WHEN n_nationkey % 8 = 0 THEN 'Y ' WHEN n_nationkey % 4 = 0 THEN 'X ' ELSE '' END || n_name AS target, n_nationkey % 4 = 0 AS required FROM nation
+  UNION ALL SELECT 'name', 'domain', lower(r_name), r_name, true FROM region""")
+def pack_glossary(spark, d):
+    """Glossaries of a language pack and two domain packs, written as pack files and read with the higher layers on top."""
+    n, g = v.table(spark, d, "nation"), v.table(spark, d, "region")
+    key, name = F.col("n_nationkey"), F.col("n_name")
+
+    def entry(kind, source, target, required):
+        return F.struct(F.lit(kind).alias("kind"), source.alias("source"), target.alias("target"), F.lit(required).cast("string").alias("required"))
+
+    def pack(rows, entries, **fields):
+        # A pack is one document, as long as its word list.
+        return rows.agg(F.sort_array(F.collect_list(entries)).alias("glossary")).select(*[F.lit(x).alias(k) for k, x in fields.items()], "glossary")
+
+    ja = pack(n, entry("term", F.lower(name), name, None), pack_id="ja_en", kind="language", source_language="ja", target_language="en")
+    trade = pack(n.filter(key % 4 == 0).select(entry("term", F.lower(name), F.concat(F.lit("X "), name), "true").alias("e")).unionByName(
+        g.select(entry("name", F.lower("r_name"), F.col("r_name"), None).alias("e"))), F.col("e"), pack_id="trade", kind="domain")
+    own = pack(n.filter(key % 8 == 0), entry("term", F.lower(name), F.concat(F.lit("Y "), name), "yes"), pack_id="own", kind="domain", layer=5)
+    out = folder(spark, "packs")
+    for p in (ja, trade, own):
+        p.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(out)
+    files = packs.read_packs(spark, out)
+    return terms.glossary_entries(packs.glossary_rows(files, ["ja_en", "trade", "own"])).select("kind", "scope", "source", "target", "required")
+
+
+@REG.query("""WITH w AS (SELECT o_custkey AS media_hash, o_orderstatus AS file_path, o_orderkey AS ord, CAST(o_orderdate AS DATE) AS ts, o_orderkey % 3 AS b,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE o_orderpriority END AS priority FROM orders)
+  SELECT media_hash, arg_max(file_path, struct_pack(a := ts, b := ord)) AS file_path, arg_max(priority, struct_pack(a := ts, b := ord)) AS priority,
+    strftime(min(ts), '%Y-%m-%d') AS created_at, strftime(max(ts), '%Y-%m-%d') AS updated_at FROM w GROUP BY media_hash""")
+def registry_compaction(spark, d):
+    """All orders as registry writes in three batches, the first of an older schema, compacted behind the second; read by merging."""
+    o = v.table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    w = o.select(F.col("o_custkey").alias("media_hash"), F.col("o_orderstatus").alias("file_path"), F.col("o_orderdate").cast("date").alias("ts"),
+                 key.alias("ord"), F.col("o_orderpriority").alias("priority"))
+    root, columns, added = folder(spark, "registry"), ["file_path", "priority"], [registry_table.Added(2, "priority", "string", "unknown")]
+    registry_table.append(w.filter(F.col("ord") % 3 == 0).drop("priority"), root, 1)
+    registry_table.append(w.filter(F.col("ord") % 3 == 1), root, 2)
+    registry_table.compact(spark, root, columns, 2, added=added)
+    registry_table.append(w.filter(F.col("ord") % 3 == 2), root, 2)
+    out = registry_table.current(spark, root, columns, added=added)
+    return out.select("media_hash", "file_path", "priority", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("created_at", "updated_at")])
+
+
 @REG.query("""SELECT source || '-' || doc_id || '_transcription_only' AS candidate_id, 'en' AS language, 'transcription_only' AS translation_workflow,
   CASE WHEN doc_id % 3 = 0 THEN 'kept' ELSE 'none' END AS translation_engine, true AS translation_skipped FROM documents WHERE lang = 'en'""")
 def passthrough(spark, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuelake.operators import align
 from cuelake.plans import views as v
 from cuelake.plans.registry import REG
 from cuelake.sources import srt
@@ -45,8 +46,7 @@ def read_srt_writer(spark, d):
 
 @REG.query(f"WITH {v.Q_SRT} SELECT doc_id AS media, count(*) AS segment_count, CAST(sum(e - s) AS BIGINT) AS total_ms FROM v_srt_blocks WHERE k % 37 <> 0 GROUP BY ALL")
 def track_totals(spark, d):
-    return _read(spark, d, "qc").groupBy("media").agg(F.count(F.lit(1)).alias("segment_count"),
-                                                     F.sum(F.col("end_ms") - F.col("start_ms")).alias("total_ms"))
+    return align.track_totals(_read(spark, d, "qc"), ["media"])
 
 
 def mixed_files(spark, d):

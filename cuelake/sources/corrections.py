@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import normalize_tags, strip
@@ -65,26 +65,35 @@ def split_valid(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return m.filter(F.size("_m") == 0).drop("_m"), bad
 
 
+def _reference() -> Column:
+    return F.struct("source_text", F.col("approved_translation").alias("reference_translation"), "previous_context", "next_context",
+                    "source_lang", "target_lang", "domain", "tags")
+
+
 def reference_rows(valid: DataFrame) -> DataFrame:
-    return valid.select("ord", "source_text", F.col("approved_translation").alias("reference_translation"), "previous_context",
-                        "next_context", "source_lang", "target_lang", "domain", "tags")
+    return valid.select("ord", _reference().alias("r")).select("ord", "r.*")
 
 
-def sft_messages(valid: DataFrame, system: str = SFT_SYSTEM) -> DataFrame:
+def _sft(system: str) -> Column:
     user = F.concat(F.lit("Context before: "), "previous_context", F.lit("\nSource: "), "source_text",
                     F.lit("\nContext after: "), "next_context")
     msg = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    return valid.select("ord", F.array(msg("system", F.lit(system)), msg("user", user),
-                                       msg("assistant", F.col("approved_translation"))).alias("messages"),
-                        F.struct("source_lang", "target_lang", "domain", "tags", "language_pack").alias("metadata"))
+    return F.struct(F.array(msg("system", F.lit(system)), msg("user", user), msg("assistant", F.col("approved_translation"))).alias("messages"),
+                    F.struct("source_lang", "target_lang", "domain", "tags", "language_pack").alias("metadata"))
+
+
+def sft_messages(valid: DataFrame, system: str = SFT_SYSTEM) -> DataFrame:
+    return valid.select("ord", _sft(system).alias("r")).select("ord", "r.*")
+
+
+def _preference() -> Column:
+    return F.struct("source_text", F.col("bad_translation").alias("rejected_translation"), F.col("approved_translation").alias("chosen_translation"),
+                    F.lit(PREFERENCE_REASON).alias("reason"), "source_lang", "target_lang", "domain", "tags")
 
 
 def preference_pairs(valid: DataFrame) -> tuple[DataFrame, DataFrame]:
     has = F.col("bad_translation") != ""
-    rows = valid.filter(has).select(
-        "ord", "source_text", F.col("bad_translation").alias("rejected_translation"),
-        F.col("approved_translation").alias("chosen_translation"), F.lit(PREFERENCE_REASON).alias("reason"),
-        "source_lang", "target_lang", "domain", "tags")
+    rows = valid.filter(has).select("ord", _preference().alias("r")).select("ord", "r.*")
     return rows, valid.filter(~has).select("ord", F.lit("missing_required_fields:bad_translation").alias("reason"))
 
 
@@ -99,15 +108,35 @@ def export_summary(raw: DataFrame, **filters) -> DataFrame:
                                      row("sft", F.col("ok")), row("preference_pairs", F.col("pref")))))
 
 
+DATASETS = ("approved_corrections", "benchmark", "sft", "preference_pairs", "skipped_records")
+
+
 def export_all(raw: DataFrame, out: str, **filters) -> DataFrame:
-    """Write the four JSON-lines datasets and their rejects under ``out``; return the counts (K7)."""
-    records = filtered(normalize(raw), **filters)
-    valid, bad = split_valid(records)
-    pairs, no_bad = preference_pairs(valid)
-    for name, df in (("approved_corrections", valid), ("benchmark", reference_rows(valid)), ("sft", sft_messages(valid)),
-                     ("preference_pairs", pairs), ("skipped_records", bad.unionByName(no_bad))):
-        df.drop("ord").write.mode("overwrite").json(f"{out}/{name}")
-    return export_summary(raw, **filters)
+    """Write the four JSON-lines datasets and their rejects under ``out``; return the counts (K7).
+
+    One scan and one write: each record becomes the lines that it has in the datasets, dealt into folders by dataset,
+    and is counted on the way. ``out/dataset=<name>`` holds a dataset.
+    """
+    r = filtered(normalize(raw), **filters).withColumn("_m", _missing())
+    ok, bad = F.size("_m") == 0, F.col("bad_translation") != ""
+    seen = Observation()
+    r = r.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("ok"), F.count_if(ok & bad).alias("pref"))
+    plain = [c for c in r.columns if c not in ("ord", "_m")]
+
+    def line(name: str, when: Column, row: Column) -> Column:
+        return F.when(when, F.struct(F.lit(name).alias("dataset"), F.to_json(row).alias("value")))
+
+    def skipped(reason: Column) -> Column:
+        return F.struct(reason.alias("reason"))
+
+    missing = F.concat(F.lit("missing_required_fields:"), F.array_join("_m", ","))
+    lines = F.array(line("approved_corrections", ok, F.struct(*plain)), line("benchmark", ok, _reference()), line("sft", ok, _sft(SFT_SYSTEM)),
+                    line("preference_pairs", ok & bad, _preference()), line("skipped_records", ~ok, skipped(missing)),
+                    line("skipped_records", ok & ~bad, skipped(F.lit("missing_required_fields:bad_translation"))))
+    r.select(F.inline(F.array_compact(lines))).write.mode("overwrite").partitionBy("dataset").text(out)
+    n = seen.get
+    rows = [(d, n[k], n["n"] - n[k]) for d, k in zip(DATASETS, ("ok", "ok", "ok", "pref"))]
+    return raw.sparkSession.createDataFrame(rows, "dataset string, written long, skipped long")
 
 
 def add_corrections(raw: DataFrame, path: str) -> DataFrame:

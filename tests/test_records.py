@@ -2,11 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuelake.functions import meta
 from cuelake.functions import text as tx
-from cuelake.operators import benchmarks, packs
+from cuelake.operators import benchmarks, packs, registry_table, terms
 from cuelake.operators import lifecycle as lc
 from cuelake.sources import catalog
 from cuelake.sources import corrections as co
@@ -102,3 +103,49 @@ def test_metadata_falls_back(spark):
 def test_cjk_of_arrays(spark):
     df = spark.createDataFrame([(["先輩", "学園 hi", " as it is "],)], "t array<string>")
     assert df.select(tx.strip_cjk_all(F.col("t")).alias("t")).first().t == ["先輩", "hi", " as it is "]
+
+
+def test_registry_reads_the_same_before_and_after_compaction(spark, tmp_path):
+    """Three schema versions: defaults for older rows only, nulls of newer rows stay; fewer folders are read after compaction."""
+    root, columns = str(tmp_path), ["name", "length", "lang"]
+    added = [registry_table.Added(2, "length", "long", 0), registry_table.Added(3, "lang", "string", "und")]
+    with pytest.raises(ValueError):
+        registry_table.current(spark, root, columns, added=added)
+    writes = [([("a", 1, 1, "x"), ("b", 1, 2, "y"), ("c", 2, 1, None)], "media_hash string, ts int, ord int, name string", 1),
+              ([("a", 3, 1, "x2", None), ("d", 3, 2, "w", 7)], "media_hash string, ts int, ord int, name string, length long", 2),
+              ([("b", 5, 1, "y3", 9, None), ("a", 2, 9, "late", 8, "en")], "media_hash string, ts int, ord int, name string, length long, lang string", 3)]
+    want = [{"a": ("x", 0, "und", 1, 1), "b": ("y", 0, "und", 1, 1), "c": (None, 0, "und", 2, 2)},
+            {"a": ("x2", None, "und", 1, 3), "b": ("y", 0, "und", 1, 1), "c": (None, 0, "und", 2, 2), "d": ("w", 7, "und", 3, 3)},
+            {"a": ("x2", None, "und", 1, 3), "b": ("y3", 9, None, 1, 5), "c": (None, 0, "und", 2, 2), "d": ("w", 7, "und", 3, 3)}]
+
+    def read():
+        df = registry_table.current(spark, root, columns, added=added)
+        return {r.media_hash: tuple(r)[1:] for r in df.collect()}, {f.split("/part-")[0].rsplit("/", 2)[-2] + "/" + f.split("/part-")[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+
+    for n, ((rows, schema, version), state) in enumerate(zip(writes, want), 1):
+        assert registry_table.append(spark.createDataFrame(rows, schema), root, version) == n
+        got, folders = read()
+        assert got == state
+        assert registry_table.compact(spark, root, columns, version, added=added) == n
+        after, fewer = read()
+        assert after == state and fewer == {f"snapshot/upto={n}"} and len(fewer) <= len(folders)
+        # Nothing new: no other snapshot.
+        assert registry_table.compact(spark, root, columns, version, added=added) == n
+    assert sorted(x.split(root)[1] for x in registry_table.stale(spark, root)) == ["/log/batch=1", "/log/batch=2", "/log/batch=3", "/snapshot/upto=1", "/snapshot/upto=2"]
+
+
+def test_pack_files(spark, tmp_path):
+    files = {"ja.json": {"pack_id": "ja_en", "kind": "language", "source_language": "ja", "target_language": "en", "aliases": {"ja": ["jpn"]},
+                         "glossary": [{"kind": "term", "source": "a", "target": "A"}, {"kind": "term", "source": "A", "target": "A2"}]},
+             "en.json": {"pack_id": "en_en", "kind": "language", "source_language": "en", "target_language": "en"},
+             "dom.json": {"pack_id": "dom", "kind": "domain", "glossary": [{"kind": "term", "source": "a", "target": "D", "required": "yes"}]},
+             "bad.json": [1, 2], "other.json": {"pack_id": "other", "kind": "domain", "layer": 9, "glossary": [{"kind": "term", "source": "a", "target": "Z"}]}}
+    for name, x in files.items():
+        (tmp_path / name).write_text(json.dumps(x, indent=1) if name != "bad.json" else "not json")
+    p = packs.read_packs(spark, str(tmp_path))
+    assert p.count() == 5 and p.filter("pack_id IS NULL").count() == 1
+    rows = {r.pack_id: (r.untagged_language, r.workflow) for r in packs.pack_rows(p).collect()}
+    assert rows == {"ja_en": ("ja", "translate"), "en_en": ("en", "transcription_only")}
+    assert {(r.language, r.alias) for r in packs.alias_rows(p).filter("pack_id = 'ja_en'").collect()} == {("ja", "jpn"), ("ja", "ja"), ("en", "en")}
+    assert [(r.target, r.required) for r in terms.glossary_entries(packs.glossary_rows(p, ["ja_en"])).collect()] == [("A2", False)]
+    assert [(r.target, r.required) for r in terms.glossary_entries(packs.glossary_rows(p, ["ja_en", "dom"])).collect()] == [("D", True)]

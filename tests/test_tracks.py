@@ -229,7 +229,13 @@ def test_export_all(spark, tmp_path):
                                 "approved_translation string, previous_context string, next_context string, tags array<string>, notes string, language_pack string")
     got = {r["dataset"]: (r["written"], r["skipped"]) for r in corrections.export_all(raw, str(tmp_path)).collect()}
     assert got["sft"] == (2, 1) and got["preference_pairs"] == (1, 2)
-    assert spark.read.json(str(tmp_path / "skipped_records")).count() == 2
+    assert got["approved_corrections"] == got["benchmark"] == (2, 1)
+    of = lambda name: spark.read.json(str(tmp_path / f"dataset={name}"))
+    assert of("skipped_records").count() == 2 and of("sft").count() == 2 and of("preference_pairs").count() == 1
+    # The lines are those of the single projections.
+    valid, _ = corrections.split_valid(corrections.normalize(raw))
+    for name, df in (("benchmark", corrections.reference_rows(valid)), ("sft", corrections.sft_messages(valid)), ("approved_corrections", valid)):
+        assert sorted(r.value for r in spark.read.text(str(tmp_path / f"dataset={name}")).collect()) == sorted(df.drop("ord").toJSON().collect())
 
 
 def test_source_ladder(spark):
