@@ -141,6 +141,9 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     spark = bounded_batches(docs.sparkSession)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("d"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    # Counted first: what follows broadcasts and collects so much per language.
+    if known.select("l").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     # A row limit per group is applied before each shuffle too. The limit holds per task, per salt
     # of tasks, then per language: with n tasks about sqrt(n) * sample short rows meet, not n * sample.
     salt = F.spark_partition_id() % max(1, isqrt(partitions(spark)))
@@ -166,8 +169,6 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 
     # Bounded: sample * languages, and the beginnings of a text are about twice as long as it at most, together.
     got = rows.mapInArrow(lean(run), "l string, whole boolean, at binary, c binary").collect()
-    if len({r.l for r in got}) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
 
     def dense(r) -> tuple[str, np.ndarray]:
         c = np.zeros(DIM, np.int64)
