@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.text import strip
 from cuelake.functions.timecode import overlap_ms
+from cuelake.session import made_once
 
 BIN_MS = 10_000
 # Bins of the levels: 10 s, 80 s, 11 min, 85 min, 11 h, ... to 340 years.
-GROWTH, LEVELS = 8, 11
+SHIFT, LEVELS = 3, 11
+GROWTH = 1 << SHIFT
 
 
 def _bin(c: Column, width: int | Column) -> Column:
@@ -31,28 +33,32 @@ def _level(length: Column, bin_ms: int) -> Column:
     return sum(((length > bin_ms * GROWTH ** i).cast("int") for i in range(LEVELS - 1)), F.lit(0))
 
 
-def _places(s: Column, e: Column, low: Column, high: Column, tag: str, bin_ms: int) -> Column:
-    """(tag, level, bin) of the bins that [s, e) touches on the levels from low to high."""
-    def bins(level: Column) -> Column:
-        width = (F.lit(bin_ms) * F.pow(F.lit(GROWTH), level)).cast("bigint")
-        return F.transform(F.sequence(_bin(s, width), _bin(e - 1, width)),
-                           lambda b: F.struct(F.lit(tag).alias("_tag"), level.alias("_lv"), b.alias("_bin")))
-    none = F.array().cast("array<struct<_tag:string,_lv:int,_bin:bigint>>")
-    return F.when(high >= low, F.flatten(F.transform(F.sequence(low, F.greatest(low, high)), bins))).otherwise(none)
+# Bins of the tag ``above`` have their levels counted from here.
+ABOVE = 32
+
+
+def _own(s: Column, e: Column, level: Column, bin_ms: int, tag: int = 0) -> Column:
+    """(level, bin) of the bins of one level that [s, e) touches."""
+    width = F.call_function("shiftleft", F.lit(bin_ms).cast("bigint"), level * SHIFT)
+    return F.transform(F.sequence(_bin(s, width), _bin(e - 1, width)), lambda b: F.struct((level + tag).alias("_lv"), b.alias("_bin")))
+
+
+def _higher(s: Column, e: Column, level: Column, top: Column, bin_ms: int, tag: int = 0) -> Column:
+    """The same for all levels above one, up to the top; often there are none."""
+    none = F.array().cast("array<struct<_lv:int,_bin:bigint>>")
+    return F.when(top > level, F.flatten(F.transform(F.sequence(level + 1, F.greatest(top, level + 1)), lambda v: _own(s, e, v, bin_ms, tag)))).otherwise(none)
 
 
 def left_places(rows: DataFrame, s: Column, e: Column, other_top: Column, bin_ms: int = BIN_MS) -> DataFrame:
-    """Rows with _tag, _lv, _bin: at the level of the cue's length (``own``), and above it as far as the other side goes (``above``)."""
-    own = _level(e - s, bin_ms)
-    places = F.concat(_places(s, e, own, own, "own", bin_ms), _places(s, e, own + 1, other_top, "above", bin_ms))
-    return rows.select("*", F.inline_outer(F.when(e > s, places)))
+    """Rows with _lv, _bin: at the level of the cue's length, and (from ABOVE) on those above it as far as the other side goes."""
+    level = _level(e - s, bin_ms)
+    return rows.select("*", F.inline_outer(F.when(e > s, F.concat(_own(s, e, level, bin_ms), _higher(s, e, level, other_top, bin_ms, ABOVE)))))
 
 
 def right_places(rows: DataFrame, s: Column, e: Column, other_top: Column, bin_ms: int = BIN_MS) -> DataFrame:
-    """The counterpart: ``own`` of the left meets the right on all levels from its own on, ``above`` meets it on its own."""
-    own = _level(e - s, bin_ms)
-    places = F.concat(_places(s, e, own, F.greatest(own, other_top), "own", bin_ms), _places(s, e, own, own, "above", bin_ms))
-    return rows.select("*", F.inline(places))
+    """The counterpart: the left's own level meets the right on all levels from its own on, its levels above meet the right's own."""
+    level = _level(e - s, bin_ms)
+    return rows.select("*", F.inline(F.concat(_own(s, e, level, bin_ms), _higher(s, e, level, other_top, bin_ms), _own(s, e, level, bin_ms, ABOVE))))
 
 
 def _overlaps(left: DataFrame, right: DataFrame, keys, bin_ms: int) -> DataFrame:
@@ -66,11 +72,11 @@ def _overlaps(left: DataFrame, right: DataFrame, keys, bin_ms: int) -> DataFrame
           .select(*keys, F.col("idx").alias("r_idx"), F.col("start_ms").alias("rs"),
                   F.col("end_ms").alias("re")).filter("re > rs"))
     ls, le, rs, re = F.col("ls"), F.col("le"), F.col("rs"), F.col("re")
-    top = lambda df, name: df.agg(F.coalesce(F.max(_level(F.col("end_ms") - F.col("start_ms"), bin_ms)), F.lit(0)).alias(name))
+    top = lambda df, name: df.agg(F.max(F.col("end_ms") - F.col("start_ms")).alias("_x")).select(_level(F.coalesce("_x", F.lit(0)), bin_ms).alias(name))
     # One row each.
     lb = left_places(lk.join(F.broadcast(top(right, "_top"))), ls, le, F.col("_top"), bin_ms).drop("_top")
     rb = right_places(rk.join(F.broadcast(top(left, "_top"))), rs, re, F.col("_top"), bin_ms).drop("_top")
-    j = lb.join(rb, [*keys, "_tag", "_lv", "_bin"], "left")
+    j = lb.join(rb, [*keys, "_lv", "_bin"], "left")
     ov = overlap_ms(ls, le, rs, re)
     # a pair seen in two bins gives the same value each time, so max needs no de-duplication
     best = F.max(F.when(rs.isNotNull() & (ov > 0), F.struct(ov.alias("ov"), (-F.col("r_idx")).alias("neg"))))
@@ -86,8 +92,14 @@ def _unmatched(rows: DataFrame, keys) -> DataFrame:
     return rows.filter("b IS NULL").select(*keys, "idx", F.col("ls").alias("start_ms"), F.col("le").alias("end_ms"))
 
 
+def _times(cues: DataFrame, keys) -> DataFrame:
+    """Keys, idx and times only, written once: the joins below read them several times, whatever it took to make the cues."""
+    return made_once(cues.select(*keys, "idx", "start_ms", "end_ms"), "cue-times")
+
+
 def best_overlap(left: DataFrame, right: DataFrame, keys, bin_ms: int = BIN_MS) -> DataFrame:
     """Arg-max overlap per left cue: keys, idx, right_idx, overlap. Ties: lowest right idx."""
+    left, right = _times(left, keys), _times(right, keys)
     return _found(_overlaps(left, right, list(keys), bin_ms), keys)
 
 
@@ -143,6 +155,7 @@ def align(ref: DataFrame, cand: DataFrame, keys, bin_ms: int = BIN_MS,
     nearest midpoint. Tracks without a partner track give no pairs.
     """
     keys = list(keys)
+    ref, cand = _times(ref, keys), _times(cand, keys)
     rows = _overlaps(ref, cand, keys, bin_ms)
     over = _found(rows, keys).withColumn("method", F.lit("overlap")).withColumn(
         "distance", F.lit(None).cast("bigint"))
@@ -162,6 +175,7 @@ def align_with_tolerance(gen: DataFrame, ref: DataFrame, keys, tolerance_ms: int
     All generated cues are kept; ``right_idx`` is NULL for the unmatched ones.
     """
     keys = list(keys)
+    gen, ref = _times(gen, keys), _times(ref, keys)
     rows = _overlaps(gen, ref, keys, bin_ms)
     over = _found(rows, keys).select(*keys, "idx", "right_idx")
     rest = _unmatched(rows, keys)
