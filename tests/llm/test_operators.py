@@ -549,6 +549,26 @@ def test_passages_without_sentence_ends(docs_of):
         assert x.clean_text == "".join(c for k, c in enumerate(x.text) if not any(s.start <= k < s.end for s in x.removed or []))
 
 
+def test_passages_end_where_texts_part(docs_of):
+    r = random.Random(23)
+    w = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n))
+    passage, part, lines = w(55), w(45), ". ".join(w(9) for _ in range(5)) + "."
+    rows = [(1, f"{w(70)} {passage} {w(40)}"), (None, f"{w(33)} {passage.upper()} {w(90)}"), (2, f"{w(64)} {part} {w(30)}"), (3, f"{w(31)} {part} {w(50)}"),
+            (4, f"{w(30)}. {lines} {w(30)}"), (5, f"{w(40)}. {lines} {w(20)}"), (6, f"{w(60)} {passage}")]
+    d = docs_of(rows * 2)
+    got = {x.doc_id: x for x in passages.repeated_spans(d).collect()}
+    # Fewer than 50 words stay, of longer passages all words go, none beside them.
+    assert set(got) == {6, None} and all(x.n_words == 55 and x.kept_doc_id == 1 for x in got.values())
+    assert all(dict(rows)[i][x.start:x.end].strip().lower() == passage for i, x in got.items())
+    assert {x.doc_id for x in passages.repeated_spans(d, min_words=40).collect()} == {None, 3, 5, 6}
+
+
+def test_words_beside_a_place():
+    text = "One two\n three.four  five"
+    near = [x for x in passages.words_beside(text, [(0, 0), (0, 1), (15, 0), (15, 1), (25, 1)], 2)]
+    assert near == [([], []), (["one", "two"], [3, 7]), (["three.", "two"], [9, 4]), (["four", "five"], [19, 25]), ([], [])]
+
+
 def test_chunks_of_any_passage_align():
     r = random.Random(5)
     for k in range(300):
