@@ -94,12 +94,18 @@ def cue_violations(cues: DataFrame, keys, limits: QcLimits = QcLimits()) -> Data
 
 
 def file_violations(tracks: DataFrame, cues: DataFrame, keys, limits: QcLimits = QcLimits()) -> DataFrame:
-    """Track-level findings: nothing parsed, or too few cues."""
+    """Track-level findings: nothing parsed, or too few cues.
+
+    Where ``tracks`` have ``error`` (see ``sources.listed``), a file that could not be read is told as such.
+    """
     keys = list(keys)
+    error = F.col("error") if "error" in tracks.columns else F.lit(None).cast("string")
     n = cues.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    t = tracks.select(*keys).distinct().join(n, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    t = tracks.groupBy(*keys).agg(F.max(error).alias("_error")).join(n, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    unread = F.concat(F.lit("Cannot read SRT file: "), F.col("_error"))
     found = rules(
-        (F.col("_n") == 0, violation("parse_failed", "error", F.lit("SRT file contains no parseable cue blocks"))),
+        (F.col("_n") == 0, violation("parse_failed", "error", F.coalesce(
+            unread, F.lit("SRT file contains no parseable cue blocks")))),
         ((F.col("_n") > 0) & (F.col("_n") < limits.min_cues), violation("too_few_cues", "error", F.concat(
             F.lit("Found "), F.col("_n").cast("string"), F.lit(f" cue(s); expected at least {limits.min_cues}")))))
     none = F.lit(-1).cast("bigint")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuelake.operators import align
+from cuelake.operators import qc
 from cuelake.plans import views as v
+from cuelake.plans.q_records import folder
 from cuelake.plans.registry import REG
-from cuelake.sources import srt
+from cuelake.sources import listed, srt
 
 
 def _sql(where: str, text: str = "rtrim(line)", seq: str = "i + 1") -> str:
@@ -92,3 +94,43 @@ def discover_sidecars(spark, d):
     m = o.select(F.col("o_custkey").alias("dir"), k.alias("media"), stem.alias("stem"))
     f = o.select(F.col("o_custkey").alias("dir"), F.concat(stem, end).alias("name")).distinct()
     return srt.discover_sidecars(m, f).select("media", "dir", "name", "language")
+
+
+def _files_of(spark, d, ending: str) -> str:
+    """A folder with one file per document, under the document's number."""
+    out = folder(spark, "listed")
+    texts = v.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    texts.write.partitionBy("doc_id").option("lineSep", "\n").text(f"{out}/{ending}")
+    return out
+
+
+def _doc_id(path: str = "path"):
+    return F.regexp_extract(path, r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id")
+
+
+@REG.query("""SELECT doc_id, strlen(coalesce(text, '')) + 1 AS length, sha256(coalesce(text, '') || chr(10)) AS content_sha256,
+  CAST(NULL AS VARCHAR) AS error FROM documents""")
+def listed_files(spark, d):
+    """Each document as a file, found by listing and read whole."""
+    files = listed.listed_files(spark, _files_of(spark, d, "txt"), ["txt"])
+    return files.select(_doc_id(), "length", F.sha2("content", 256).alias("content_sha256"), "error")
+
+
+@REG.query("SELECT doc_id, strlen(coalesce(text, '')) + 1 AS length FROM documents")
+def listed_media(spark, d):
+    """Media files of a folder tree by ending, none of them opened."""
+    return listed.listed_media(spark, _files_of(spark, d, "mov"), recursive=True, endings=["txt"]).select(_doc_id(), "length")
+
+
+@REG.query(f"""WITH {v.Q_SRT}, n AS (SELECT doc_id, count(*) AS cues FROM v_srt_blocks WHERE k % 37 <> 0 GROUP BY ALL)
+  SELECT doc_id, 'parse_failed' AS type, 'SRT file contains no parseable cue blocks' AS detail
+  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n)""")
+def listed_parse_failed(spark, d):
+    """Tracks in a listing that hold no cue, beside those that do."""
+    out = folder(spark, "listed-cues")
+    all_files = v.table(spark, d, "documents").select("doc_id").join(
+        v.srt_files(spark, d).select(F.col("media").alias("doc_id"), F.col("content").alias("value")), "doc_id", "left")
+    all_files.select("doc_id", F.coalesce("value", F.lit("")).alias("value")).write.partitionBy("doc_id").text(out)
+    files = listed.listed_files(spark, out, ["txt"])
+    found = qc.file_violations(files.select("path", "error"), srt.parse_srt(files.select("path", "content"), "qc"), ["path"])
+    return found.select(_doc_id(), "type", "detail")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import meta
 from cuelake.functions import text as tx
-from cuelake.operators import benchmarks, packs, registry_table, terms
+from cuelake.operators import benchmarks, packs, qc, registry_table, terms
 from cuelake.operators import lifecycle as lc
-from cuelake.sources import catalog
+from cuelake.sources import catalog, listed, srt
 from cuelake.sources import corrections as co
 
 
@@ -84,6 +84,32 @@ def test_media_files_are_listed_by_ending(spark, tmp_path):
     assert names(catalog.list_media(spark, str(tmp_path), recursive=True)) == ["a.mkv", "c.mp4", "d.webm"]
 
 
+def test_listing_keeps_empty_and_unreadable_files(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    cue = "1\n00:00:01,000 --> 00:00:03,000\nHi\n"
+    for n, b in (("a.srt", cue.encode()), ("b.SRT", b""), ("c.srt", b"\xff\xfe\x00"), ("sub/d.srt", b"no cue"), ("e.txt", b"x"), ("_f.srt", b"x")):
+        (tmp_path / n).write_bytes(b)
+    (tmp_path / "g.srt").symlink_to(tmp_path / "a.srt")
+    files = listed.listed_files(spark, str(tmp_path), ["srt"])
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    got = {r.n: r for r in files.withColumn("n", name).collect()}
+    assert set(got) == {"a.srt", "b.SRT", "c.srt", "d.srt", "g.srt"}
+    assert got["a.srt"].content == got["g.srt"].content == cue and got["b.SRT"].content == "" and got["b.SRT"].length == 0
+    assert got["c.srt"].content is None and got["c.srt"].error.startswith("UnicodeDecodeError")
+    assert got["a.srt"].path == f"file://{tmp_path}/a.srt" and got["a.srt"].modified.year >= 2024
+    found = qc.subtitle_qc(files, srt.parse_srt(files.select("path", "content"), "qc"), ["path"]).filter("type = 'parse_failed'")
+    told = {r.n: r.detail for r in found.withColumn("n", name).collect()}
+    assert set(told) == {"b.SRT", "c.srt", "d.srt"} and told["c.srt"].startswith("Cannot read") and told["b.SRT"].startswith("SRT file contains")
+    assert {r.path.rsplit("/", 1)[1] for r in listed.listed_media(spark, str(tmp_path), endings=["srt"]).collect()} == {"a.srt", "b.SRT", "c.srt", "g.srt"}
+    assert listed.listed_files(spark, str(tmp_path), ["none"]).count() == 0
+
+
+def test_splits_of_a_listing():
+    files = [(str(i), size, 0) for i, size in enumerate([5, 5, 30, 1, 0, 0])]
+    assert [[f[1] for f in s.files] for s in listed.splits(files, 10, 2)] == [[5, 5], [30], [1, 0], [0]]
+    assert [s.files for s in listed.splits([], 10, 2)] == [[]]
+
+
 def test_packs_take_tags_and_untagged_audio(spark):
     t = spark.createDataFrame([(1, "JPN"), (2, "ko-XX"), (3, None), (4, "fr"), (5, " en-gb ")], "id int, language string")
     p, a = packs.pack_table(spark), packs.alias_table(spark)
