@@ -192,3 +192,22 @@ def test_pipeline_equals_brute_force(spark, folder, rows):
             want[d, len(ids), digest(" ".join(map(str, ids))), digest(sp.decode(ids))] += 1
     assert len(one) > len(first) and leaks
     assert Counter(map(tuple, corpus_pipeline.run(spark, folder).collect())) == want
+
+
+def shared_windows(rows, n):
+    """Documents with n words in a row that a smaller doc_id has too."""
+    first, found = {}, set()
+    for doc, t in sorted(rows):
+        words = t.lower().split()
+        for w in {" ".join(words[i:i + n]) for i in range(len(words) - n + 1)}:
+            if first.setdefault(hashlib.md5(w.encode()).digest(), doc) != doc:
+                found.add(doc)
+    return found
+
+
+def test_op10_catches_every_shared_window(spark):
+    d = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect() if r.text]
+    got = queries.op10_repeated_passages(spark, d).collect()
+    assert shared_windows(rows, 50) <= {r.doc_id for r in got}
+    assert all(r.n_words >= 50 for r in got)
