@@ -37,28 +37,42 @@ def _level(length: Column, bin_ms: int) -> Column:
 ABOVE = 32
 
 
-def _own(s: Column, e: Column, level: Column, bin_ms: int, tag: int = 0) -> Column:
-    """(level, bin) of the bins of one level that [s, e) touches."""
-    width = F.call_function("shiftleft", F.lit(bin_ms).cast("bigint"), level * SHIFT)
-    return F.transform(F.sequence(_bin(s, width), _bin(e - 1, width)), lambda b: F.struct((level + tag).alias("_lv"), b.alias("_bin")))
+def _bins(first: Column, last: Column, level: Column, tag: int = 0) -> Column:
+    """(level, bin) from the first to the last bin."""
+    return F.transform(F.sequence(first, last), lambda b: F.struct((level + tag).alias("_lv"), b.alias("_bin")))
 
 
 def _higher(s: Column, e: Column, level: Column, top: Column, bin_ms: int, tag: int = 0) -> Column:
-    """The same for all levels above one, up to the top; often there are none."""
+    """The bins that [s, e) touches on all levels above one, up to the top; often there are none."""
     none = F.array().cast("array<struct<_lv:int,_bin:bigint>>")
-    return F.when(top > level, F.flatten(F.transform(F.sequence(level + 1, F.greatest(top, level + 1)), lambda v: _own(s, e, v, bin_ms, tag)))).otherwise(none)
+
+    def own(v: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(bin_ms).cast("bigint"), v * SHIFT)
+        return _bins(_bin(s, width), _bin(e - 1, width), v, tag)
+
+    return F.when(top > level, F.flatten(F.transform(F.sequence(level + 1, F.greatest(top, level + 1)), own))).otherwise(none)
+
+
+def _with_own(rows: DataFrame, s: Column, e: Column, bin_ms: int) -> DataFrame:
+    """Rows with _own (level of the cue's length), _from and _to (the bins that [s, e) touches there), once a row and before any lambda."""
+    width = F.call_function("shiftleft", F.lit(bin_ms).cast("bigint"), F.col("_own") * SHIFT)
+    return (rows.withColumn("_own", _level(e - s, bin_ms)).withColumn("_width", width)
+            .withColumn("_from", _bin(s, F.col("_width"))).withColumn("_to", _bin(e - 1, F.col("_width"))).drop("_width"))
 
 
 def left_places(rows: DataFrame, s: Column, e: Column, other_top: Column, bin_ms: int = BIN_MS) -> DataFrame:
     """Rows with _lv, _bin: at the level of the cue's length, and (from ABOVE) on those above it as far as the other side goes."""
-    level = _level(e - s, bin_ms)
-    return rows.select("*", F.inline_outer(F.when(e > s, F.concat(_own(s, e, level, bin_ms), _higher(s, e, level, other_top, bin_ms, ABOVE)))))
+    own = F.col("_own")
+    bins = F.concat(_bins(F.col("_from"), F.col("_to"), own), _higher(s, e, own, other_top, bin_ms, ABOVE))
+    return _with_own(rows, s, e, bin_ms).select("*", F.inline_outer(F.when(e > s, bins))).drop("_own", "_from", "_to")
 
 
 def right_places(rows: DataFrame, s: Column, e: Column, other_top: Column, bin_ms: int = BIN_MS) -> DataFrame:
     """The counterpart: the left's own level meets the right on all levels from its own on, its levels above meet the right's own."""
-    level = _level(e - s, bin_ms)
-    return rows.select("*", F.inline(F.concat(_own(s, e, level, bin_ms), _higher(s, e, level, other_top, bin_ms), _own(s, e, level, bin_ms, ABOVE))))
+    own = F.col("_own")
+    first, last = F.col("_from"), F.col("_to")
+    bins = F.concat(_bins(first, last, own), _higher(s, e, own, other_top, bin_ms), _bins(first, last, own, ABOVE))
+    return _with_own(rows, s, e, bin_ms).select("*", F.inline(bins)).drop("_own", "_from", "_to")
 
 
 def _overlaps(left: DataFrame, right: DataFrame, keys, bin_ms: int) -> DataFrame:
@@ -185,13 +199,17 @@ def align_with_tolerance(gen: DataFrame, ref: DataFrame, keys, tolerance_ms: int
 
 
 def with_texts(pairs: DataFrame, ref: DataFrame, cand: DataFrame, keys) -> DataFrame:
-    """Bring both cues' times and stripped texts to the index pairs."""
+    """Bring both cues' times and stripped texts to the index pairs.
+
+    A reference that stands for all candidates comes without their key and is joined by the other keys, not multiplied.
+    """
     keys = list(keys)
-    l = ref.select(*keys, "idx", F.col("start_ms").alias("ref_start"), F.col("end_ms").alias("ref_end"),
+    ref_keys = [k for k in keys if k in ref.columns]
+    l = ref.select(*ref_keys, "idx", F.col("start_ms").alias("ref_start"), F.col("end_ms").alias("ref_end"),
                    strip(F.col("text")).alias("ref_text"))
     r = cand.select(*keys, F.col("idx").alias("right_idx"), F.col("start_ms").alias("cand_start"),
                     F.col("end_ms").alias("cand_end"), strip(F.col("text")).alias("cand_text"))
-    return pairs.join(l, [*keys, "idx"]).join(r, [*keys, "right_idx"], "left")
+    return pairs.join(l, [*ref_keys, "idx"]).join(r, [*keys, "right_idx"], "left")
 
 
 def is_diff(ref_text: Column, cand_text: Column, threshold: int = 5) -> Column:

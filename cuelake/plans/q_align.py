@@ -110,7 +110,7 @@ o_diffs AS (
 
 def aligned_texts(spark, d):
     a, ref, cand = aligned(spark, d)
-    return al.with_texts(a, ref_for_each(ref, cand), cand, K)
+    return al.with_texts(a, ref.drop("cand"), cand, K)
 
 
 @REG.query(f"WITH {Q_TEXTS} SELECT media, cand, idx, ref_text, cand_text FROM o_diffs WHERE is_diff")

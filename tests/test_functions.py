@@ -146,6 +146,33 @@ def test_wer_of_empty_reference_is_one(spark):
     assert metrics.corpus_wer(df, ["media"]).first()["wer"] == 1.0
 
 
+def test_word_edits_against_dynamic_programming_with_blocks_of_all_sizes():
+    rnd = random.Random(11)
+    for _ in range(3000):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randrange(14))] for _ in "ab")
+        assert metrics.word_edits(a, b, rnd.choice([1, 2, 3, 5, 64])) == _edits(a, b)
+    long = [str(rnd.randrange(50)) for _ in range(700)]
+    assert metrics.word_edits(long, long[5:] + ["x"], 256) == _edits(long, long[5:] + ["x"])
+
+
+def test_wer_of_missing_texts_counts_nothing(spark):
+    df = spark.createDataFrame([(1, 0, "a\t\tb c", "a b\u3000c"), (1, 1, "d", None), (1, 2, None, "e"), (2, 0, None, None)],
+                               "media int, idx int, ref_text string, cand_text string")
+    got = {r["media"]: (r["word_edits"], r["ref_words"]) for r in metrics.corpus_wer(df, ["media"]).collect()}
+    # a single wide blank does not part words
+    assert got == {1: (2, 4), 2: (None, None)}
+
+
+def test_tokens_are_parted_at_marks_and_numbers_stay_whole(spark):
+    marked = 'He said:  "1,000.5 - no, no."\u2003\n'
+    got = one(spark, metrics.tokenize_13a(F.col("t")), t=marked)
+    assert got.split() == ["He", "said", ":", '"', "1,000.5", "-", "no", ",", "no", ".", '"']
+    assert one(spark, metrics.tokenize_13a(F.col("t")), t="1-2 x-\ny &amp; a.,b ,. 3").split() == [
+        "1", "-", "2", "xy", "&", "a", ".", ",", "b", ",", ".", "3"]
+    # a hyphen before the last line break stays
+    assert one(spark, metrics.tokenize_13a(F.col("t")), t="well-\n").split() == ["well-"]
+
+
 def test_gram_counts_against_counter():
     from collections import Counter
     rows = pairs(80, 9)
