@@ -245,3 +245,15 @@ def test_source_ladder(spark):
     s = {r["media"]: r for r in selection.select_strategy(selection.detect_sources(m)).collect()}
     assert s[1]["strategy"] == "embedded_jp_mt" and s[1]["duration"] is None
     assert s[2]["error"] is not None
+
+
+def test_texts_of_a_reference_without_the_candidates_key_are_those_of_its_copies(spark):
+    rows = [(m, c, i, i * 1000, i * 1000 + 900, f" {c}{m}{i} ") for m in (1, 2) for c in ("a", "b") for i in range(3)]
+    cand = spark.createDataFrame(rows, "media int, cand string, idx int, start_ms long, end_ms long, text string")
+    ref = cand.filter("cand = 'a'").drop("cand")
+    copies = ref.join(cand.select("media", "cand").distinct(), "media")
+    pairs = cand.select("media", "cand", "idx", F.col("idx").alias("right_idx")).union(cand.select("media", "cand", "idx", F.lit(None)))
+    keys = ["media", "cand"]
+    got, want = (sorted(align.with_texts(pairs, r, cand, keys).select(
+        *keys, "idx", "right_idx", "ref_start", "ref_text", "cand_start", "cand_text").collect(), key=repr) for r in (ref, copies))
+    assert got == want and len(got) == 24
