@@ -76,7 +76,7 @@ def right_places(rows: DataFrame, s: Column, e: Column, other_top: Column, bin_m
 
 
 def _overlaps(left: DataFrame, right: DataFrame, keys, bin_ms: int) -> DataFrame:
-    """Every left cue with its times and ``b`` = (overlap, -right idx) of its best partner.
+    """Every left cue with its times and ``b`` = (overlap, -right idx) of its best partner, written once.
 
     Two cues meet on the level of the longer one, where that lies in one or two bins; so a cue of any length is
     at most two rows a level, and there are no more levels than the longest cue has. Nothing above a side's longest cue is emitted.
@@ -94,7 +94,8 @@ def _overlaps(left: DataFrame, right: DataFrame, keys, bin_ms: int) -> DataFrame
     ov = overlap_ms(ls, le, rs, re)
     # a pair seen in two bins gives the same value each time, so max needs no de-duplication
     best = F.max(F.when(rs.isNotNull() & (ov > 0), F.struct(ov.alias("ov"), (-F.col("r_idx")).alias("neg"))))
-    return j.groupBy(*keys, "idx", "ls", "le").agg(best.alias("b"))
+    # The nearest search reads those without a partner several times; the join is not to run again for it.
+    return made_once(j.groupBy(*keys, "idx", "ls", "le").agg(best.alias("b")), "cue-best")
 
 
 def _found(rows: DataFrame, keys) -> DataFrame:
@@ -201,15 +202,15 @@ def align_with_tolerance(gen: DataFrame, ref: DataFrame, keys, tolerance_ms: int
 def with_texts(pairs: DataFrame, ref: DataFrame, cand: DataFrame, keys) -> DataFrame:
     """Bring both cues' times and stripped texts to the index pairs.
 
-    A reference that stands for all candidates comes without their key and is joined by the other keys, not multiplied.
+    A side that stands for all tracks of the other comes without their key and is joined by the other keys, not multiplied.
     """
     keys = list(keys)
-    ref_keys = [k for k in keys if k in ref.columns]
+    ref_keys, cand_keys = ([k for k in keys if k in side.columns] for side in (ref, cand))
     l = ref.select(*ref_keys, "idx", F.col("start_ms").alias("ref_start"), F.col("end_ms").alias("ref_end"),
                    strip(F.col("text")).alias("ref_text"))
-    r = cand.select(*keys, F.col("idx").alias("right_idx"), F.col("start_ms").alias("cand_start"),
+    r = cand.select(*cand_keys, F.col("idx").alias("right_idx"), F.col("start_ms").alias("cand_start"),
                     F.col("end_ms").alias("cand_end"), strip(F.col("text")).alias("cand_text"))
-    return pairs.join(l, [*ref_keys, "idx"]).join(r, [*keys, "right_idx"], "left")
+    return pairs.join(l, [*ref_keys, "idx"]).join(r, [*cand_keys, "right_idx"], "left")
 
 
 def is_diff(ref_text: Column, cand_text: Column, threshold: int = 5) -> Column:
