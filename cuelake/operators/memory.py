@@ -11,21 +11,32 @@ from cuelake.ordered import top_k
 BLOCK = 20_000
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a column named inside a function of array elements runs once an element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def bigrams(c: Column) -> Column:
     """Distinct character bigrams; texts of up to two characters are one gram."""
-    n = F.length(c)
-    return F.when(n == 0, F.array().cast("array<string>")).when(n <= 2, F.array(c)).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(c, i, F.lit(2)))))
+    def grams(t: Column) -> Column:
+        n = F.length(t)
+        two = lambda x: F.zip_with(F.slice(x, F.lit(1), n - 1), F.slice(x, F.lit(2), n - 1), lambda a, b: F.concat(a, b))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n <= 2, F.array(t)).otherwise(
+            F.array_distinct(_bound(F.split(t, ""), two)))
+
+    return _bound(c, grams)
 
 
 def tm_similarity(query: Column, memory: Column) -> Column:
     """1 for equal texts, length ratio for containment, else Jaccard of bigrams (H6)."""
-    q, m = strip(query), strip(memory)
-    a, b = bigrams(q), bigrams(m)
-    ratio = F.least(F.length(q), F.length(m)) / F.greatest(F.length(q), F.length(m))
-    union = F.size(F.array_union(a, b))
-    return (F.when((q == "") | (m == ""), 0.0).when(q == m, 1.0).when(q.contains(m) | m.contains(q), ratio)
-            .otherwise(F.size(F.array_intersect(a, b)) / union))
+    def score(x: Column) -> Column:
+        q, m = x["q"], x["m"]
+        ratio = F.least(F.length(q), F.length(m)) / F.greatest(F.length(q), F.length(m))
+        jaccard = _bound(F.struct(bigrams(q).alias("a"), bigrams(m).alias("b")),
+                         lambda g: F.size(F.array_intersect(g["a"], g["b"])) / F.size(F.array_union(g["a"], g["b"])))
+        return F.when((q == "") | (m == ""), 0.0).when(q == m, 1.0).when(q.contains(m) | m.contains(q), ratio).otherwise(jaccard)
+
+    return _bound(F.struct(strip(query).alias("q"), strip(memory).alias("m")), score)
 
 
 def _lookup_block(k: int):
