@@ -100,7 +100,7 @@ def _files_of(spark, d, ending: str) -> str:
     """A folder with one file per document, under the document's number."""
     out = folder(spark, "listed")
     texts = v.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    texts.write.partitionBy("doc_id").option("lineSep", "\n").text(f"{out}/{ending}")
+    listed.write_files(texts, f"{out}/{ending}", "doc_id", "value")
     return out
 
 
@@ -130,7 +130,7 @@ def listed_parse_failed(spark, d):
     out = folder(spark, "listed-cues")
     all_files = v.table(spark, d, "documents").select("doc_id").join(
         v.srt_files(spark, d).select(F.col("media").alias("doc_id"), F.col("content").alias("value")), "doc_id", "left")
-    all_files.select("doc_id", F.coalesce("value", F.lit("")).alias("value")).write.partitionBy("doc_id").text(out)
+    listed.write_files(all_files.select("doc_id", F.coalesce("value", F.lit("")).alias("value")), out, "doc_id", "value")
     files = listed.listed_files(spark, out, ["txt"])
     found = qc.file_violations(files.select("path", "error"), srt.parse_srt(files.select("path", "content"), "qc"), ["path"])
     return found.select(_doc_id(), "type", "detail")
