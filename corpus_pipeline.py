@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import decontam, exact, language, near, sentencepiece_rounds
-from cuelake.llm.common import bounded_batches, scratch, tables
+from cuelake.llm import decontam, exact, language, near, sentencepiece_rounds, simhash
+from cuelake.llm.common import bounded_batches, scratch, tables, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +27,12 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose five-word shingles are alike by 0.8 or more.
+    """One document of each component of near copies.
 
-    Candidates come from minimum hashes and are compared whole; 64-bit fingerprints lose most pairs at this similarity (see README).
+    Texts link when their 64-bit fingerprints differ in four bits or fewer, found by pivot distance tables as in op3, and
+    besides when their five-word shingles are alike by 0.8 or more, which fingerprints lose mostly at this similarity (see README).
     """
-    return near.keep_one(docs)
+    return near.keep_one(docs, also=written(simhash.near_duplicates(docs), "near-fingerprints"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

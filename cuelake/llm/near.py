@@ -184,12 +184,23 @@ def links(rows: DataFrame, hashes: DataFrame, similarity: float = SIMILARITY) ->
     return rows.select("t", "k", "x", "y", "own", "s", "hashes").mapInArrow(lean(run), "a long, b long")
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _links_of(rows: DataFrame, also: DataFrame) -> DataFrame:
+    """Links a, b from the first set to each other set of the components in ``also``; rows has doc_id, h, s."""
+    found = also.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "component_id").filter("component_id IS NOT NULL").distinct()
+    of_set = (rows.join(found, rows["doc_id"].eqNullSafe(found["d"]) & (rows["h"] == found["g"])).select("s", "component_id").distinct())
+    of_set = written(of_set, "near-also")
+    first = of_set.groupBy("component_id").agg(F.min("s").alias("a"), F.max("s").alias("z")).filter("a < z").select("component_id", "a")
+    return of_set.join(first, "component_id").filter("s != a").select("a", F.col("s").alias("b"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text",
+             also: DataFrame | None = None) -> DataFrame:
     """The documents that are the first (smallest doc_id) of their component of near texts; all their columns.
 
     Texts link when their shingle sets have the Jaccard similarity or more; texts without a word
     are one. Rows of the first doc_id in a component all stay, as one document, however often it
-    occurs; so do all rows of a component in which no row has a doc_id.
+    occurs; so do all rows of a component in which no row has a doc_id. ``also`` (doc_id, h, component_id of every row, as
+    ``simhash.near_duplicates`` gives them) links texts besides: components are those of both kinds of links.
     """
     rows = written(sets(docs, words, id_col, text_col), "near-sets")
     any_row = F.min(F.struct("doc_id", "h", "n", "keys"))
@@ -200,7 +211,10 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS
     keyed = _keyed(docs, id_col, text_col)
     again = keyed.join(one, keyed["doc_id"].eqNullSafe(one["one_id"]) & (keyed["h"] == one["one_hash"]), "left_semi")
     hashes = written(whole_sets(again, words).dropDuplicates(["s"]), "near-whole")
-    joined = components(links(met, hashes, similarity), "a", "b", "near-links")
+    pairs = links(met, hashes, similarity)
+    if also is not None:
+        pairs = pairs.unionByName(_links_of(rows, also))
+    joined = components(pairs, "a", "b", "near-links")
     named = first.join(joined.withColumnRenamed("node", "s"), "s", "left").select("s", "least", F.coalesce("component", "s").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_set = named.join(smallest, "component").select("s", "component_id").filter(F.col("component_id").isNotNull())
