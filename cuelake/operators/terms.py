@@ -14,6 +14,8 @@ ANCHOR = 3
 PIECE = 64
 SLICE_TERMS = 100_000
 SLICE_LETTERS = 8_000_000
+# Up to this many terms are looked for one by one: a search for a term costs far less than a row a place of the text.
+FEW_TERMS = 1_000
 
 
 def glossary_entries(raw: DataFrame) -> DataFrame:
@@ -38,8 +40,8 @@ def _rank_kind() -> Column:
     return F.when(F.col("kind") == "name", 0).when(F.col("kind") == "honorific", 1).when(F.col("kind") == "term", 2).otherwise(3)
 
 
-def _dictionary(glossary: DataFrame, slice_terms: int) -> tuple[list[DataFrame], int, list[int]]:
-    """Slices of the glossary that are small enough to be broadcast, its longest term and the lengths of its anchors.
+def _dictionary(glossary: DataFrame, slice_terms: int) -> tuple[list[DataFrame], int, list[int], int]:
+    """Slices of the glossary that are small enough to be broadcast, its longest term, the lengths of its anchors, its terms.
 
     Terms and letters are counted first; terms are dealt into slices by hash, so each slice holds about
     ``slice_terms`` terms or ``SLICE_LETTERS`` letters at most, however large the glossary is.
@@ -50,24 +52,25 @@ def _dictionary(glossary: DataFrame, slice_terms: int) -> tuple[list[DataFrame],
                                       F.left("source", F.lit(ANCHOR)).alias("_a"), n.alias("_n"))
     count, letters, longest, anchors = g.agg(F.count(F.lit(1)), F.sum("_n"), F.max("_n"), F.collect_set(F.least("_n", F.lit(ANCHOR)))).first()
     if not count:
-        return [], 0, []
+        return [], 0, [], 0
     slices = max(-(-count // slice_terms), -(-letters // SLICE_LETTERS))
     parts = [g.filter(F.pmod(F.xxhash64("source"), F.lit(slices)) == i) for i in range(slices)]
-    return parts, longest, sorted(anchors)
+    return parts, longest, sorted(anchors), count
 
 
 def glossary_match(cues: DataFrame, glossary: DataFrame, keys, text: str = "text", max_terms: int | None = 6,
-                   slice_terms: int = SLICE_TERMS) -> DataFrame:
+                   slice_terms: int = SLICE_TERMS, few_terms: int = FEW_TERMS) -> DataFrame:
     """Terms whose source occurs in the cue, best first, at most ``max_terms`` per cue.
 
-    A text is cut into pieces that overlap by the longest term, so a term lies whole in one of them. Each place
-    of a piece looks up its first letters in a broadcast slice of the glossary and the term is compared right there:
-    no text is exploded into a shuffle, only hits leave the scan. A glossary of more than one slice reads the
+    Each of up to ``few_terms`` broadcast terms is searched for in a text. For a larger glossary a text
+    is cut into pieces that overlap by the longest term, so a term lies whole in one of them, and each place
+    of a piece looks up its first letters in a broadcast slice of the glossary and the term is compared right there.
+    Either way no text is exploded into a shuffle, only hits leave the scan. A glossary of more than one slice reads the
     texts once per slice. Equal ranks go by the place where an entry was first seen. A null or empty text has no
     terms, nor has an empty glossary.
     """
     keys = list(keys)
-    parts, longest, anchors = _dictionary(glossary, slice_terms)
+    parts, longest, anchors, count = _dictionary(glossary, slice_terms)
     step = max(PIECE, longest)
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{1,{step + max(longest, 1) - 1}}})).{{1,{step}}}"), F.lit(1))
     rows = cues.select(*keys, "idx", F.explode(pieces).alias("_p"))
@@ -80,6 +83,9 @@ def glossary_match(cues: DataFrame, glossary: DataFrame, keys, text: str = "text
     entry = ["kind", "scope", "source", "target", "required", "_first"]
 
     def found(part: DataFrame) -> DataFrame:
+        if count <= few_terms:
+            hit = cues.select(*keys, "idx", F.col(text).alias("_t")).join(F.broadcast(part), F.contains("_t", "source"))
+            return hit.select(*keys, "idx", *entry)
         hit = rows.join(F.broadcast(part), "_a").filter(F.substr("_p", "_i", "_n") == F.col("source"))
         return hit.select(*keys, "idx", *entry)
 
@@ -98,8 +104,9 @@ def term_in_text(target: Column, text: Column) -> Column:
     """Whole-word search for plain ASCII targets, containment for all others."""
     t, x = F.lower(target), F.lower(text)
     whole = F.concat(F.lit(r"(?U)\b\Q"), t, F.lit(r"\E\b"))
-    return F.when((t == "") | (x == ""), F.lit(False)).when(
-        t.rlike(r"^[a-z0-9][a-z0-9 '\-]*$"), F.rlike(x, whole)).otherwise(x.contains(t))
+    # A pattern is made for a row; where the target is not contained there is none to make.
+    return F.when((t == "") | (x == "") | ~x.contains(t), F.lit(False)).when(
+        t.rlike(r"^[a-z0-9][a-z0-9 '\-]*$"), F.rlike(x, whole)).otherwise(F.lit(True))
 
 
 def term_drift(cues: DataFrame, glossary: DataFrame, keys, source: str = "source_text", final: str = "text") -> DataFrame:

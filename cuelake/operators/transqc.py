@@ -40,9 +40,9 @@ def translation_findings(cues: DataFrame, keys, glossary: DataFrame | None = Non
     r = fixed(no, F.greatest(nb, F.lit(1)), 2)
     fail_lo, warn_lo = no * 100 <= nb * 25, no * 100 <= nb * 45
     fail_hi, warn_hi = no * 100 >= nb * 280, no * 100 >= nb * 180
-    register = F.lower(F.concat_ws("\n", src, lit))
-    strong = tx.contains_any(register, STRONG_SOURCE) | tx.contains_any(register, STRONG_TARGET)
-    soft = strong & (no > 0) & ~tx.contains_any(out, STRONG_TARGET) & tx.contains_any(out, SOFT_TARGET)
+    strong = tx.contains_any(F.concat_ws("\n", src, lit), STRONG_SOURCE + STRONG_TARGET)
+    # Few texts hold a soft marker, so the other lists are seldom looked through.
+    soft = (no > 0) & tx.contains_any(out, SOFT_TARGET) & ~tx.contains_any(out, STRONG_TARGET) & strong
     miss = F.size("_miss")
     named = F.array_join(F.slice("_miss", 1, 3), ", ")
     msg = lambda a, z: F.concat(F.lit(a), r, F.lit(z))
