@@ -34,7 +34,8 @@ def split_long(cues: DataFrame, keys, limits: TimingLimits = TimingLimits()) ->
     long = (dur > L.max_ms) | (F.length("text") > L.split_chars)
     pieces = F.when(long, split_by_punctuation(F.col("text"), L.split_chars, L.marks)).otherwise(F.array("text"))
     c = c.withColumn("_d", dur).withColumn("_p", pieces).withColumn("_n", F.size("_p"))
-    c = c.select(*keys, "idx", "start_ms", "_d", "_n", "text", F.posexplode("_p").alias("part", "_t"))
+    # A cue always has a piece; the plain explode would first ask so by cutting the text once more.
+    c = c.select(*keys, "idx", "start_ms", "_d", "_n", "text", F.posexplode_outer("_p").alias("part", "_t"))
     start = F.col("start_ms") + F.floor(F.col("part") * F.col("_d") / F.col("_n")).cast("bigint")
     length = F.least(F.floor(F.col("_d") / F.col("_n")).cast("bigint"), F.lit(L.max_ms))
     return c.select(*keys, "idx", F.col("part").cast("bigint").alias("part"), start.alias("start_ms"),
@@ -263,7 +264,9 @@ def repair_overlaps(cues: DataFrame, keys, ties=("idx",), limits: TimingLimits =
 
 def prepare_cues(cues: DataFrame, keys, limits: TimingLimits = TimingLimits()) -> DataFrame:
     """All timing rules, then drop what is still too short."""
-    fixed = repair_overlaps(split_long(cues, keys, limits), keys, ("idx", "part"), limits)
+    # The repair reads the pieces three times; cutting a text costs more than reading it again.
+    pieces = made_once(split_long(cues, keys, limits), "split-cues")
+    fixed = repair_overlaps(pieces, keys, ("idx", "part"), limits)
     return fixed.filter(F.col("end_ms") - F.col("start_ms") >= limits.min_ms)
 
 

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as tx
-from cuelake.operators import qc, terms
+from cuelake.operators import qc, terms, timing
 from cuelake.operators.metrics import matched_chars, seq_ratio
 
 
@@ -73,3 +73,14 @@ def test_similarity_queries_have_their_texts(spark, tmp_path):
     found = q_qc.similarities(spark, str(tmp_path))
     assert {"media", "cand", "ref_text", "cand_text", "similarity"} <= set(found.columns)
     assert all(0 <= r.similarity <= 1 for r in found.collect()) and found.count() > 0
+
+
+def test_cues_are_cut_once(spark):
+    long = "First sentence goes here. " * 8
+    cues = spark.createDataFrame([(1, 0, 0, 9000, long), (1, 1, 8500, 8600, "x"), (1, 2, 9000, 9100, " "), (1, 3, 9200, 30000, "." * 90)],
+                                 "k int, idx bigint, start_ms bigint, end_ms bigint, text string")
+    cut = timing.split_long(cues, ["k"])
+    assert plan(cut).count("aggregate(") == 1
+    out = timing.prepare_cues(cues, ["k"])
+    assert "aggregate(" not in plan(out)
+    assert {r.idx for r in out.collect()} == {0, 1, 3} and "".join(r.text for r in out.orderBy("idx", "part").collect() if r.idx == 3) == "." * 90
