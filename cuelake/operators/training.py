@@ -27,24 +27,25 @@ def similarity_band(matches: DataFrame, low: float, high: float) -> DataFrame:
     return matches.filter((F.col("similarity") >= low) & (F.col("similarity") < high))
 
 
-def training_pairs(matches: DataFrame, log: DataFrame, keys, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """Matches in the band with their source text; a match without one is dropped."""
+def training_pairs(matches: DataFrame, log: DataFrame, keys, low: float = 0.0, high: float = 1.0, also=()) -> DataFrame:
+    """Matches in the band with their source text; a match without one is dropped (J8). ``also``: columns of the matches that go along."""
     keys = list(keys)
     m = similarity_band(matches, low, high)
     return m.join(log, [*keys, "index"]).select(
-        *keys, "index", "similarity", "japanese_text", F.col("generated_text").alias("generated_translation"),
+        *keys, *also, "index", "similarity", "japanese_text", F.col("generated_text").alias("generated_translation"),
         F.col("reference_text").alias("reference_translation"), "start_time", "end_time", "duration")
 
 
-def write_training_pairs(pairs: DataFrame, out: str, fmt: str = "jsonl") -> None:
-    """jsonl, csv or a three-section text (K2)."""
+def write_training_pairs(pairs: DataFrame, out: str, fmt: str = "jsonl", compression: str | None = None) -> None:
+    """jsonl, csv or a three-section text (K2), as plain files or with a codec such as ``gzip``."""
+    writer = lambda df: df.write.mode("overwrite").options(**({"compression": compression} if compression else {}))
     if fmt == "jsonl":
-        pairs.write.mode("overwrite").json(out)
+        writer(pairs).json(out)
     elif fmt == "csv":
-        pairs.write.mode("overwrite").option("header", "true").option("escape", '"').csv(out)
+        writer(pairs).option("header", "true").option("escape", '"').csv(out)
     elif fmt == "txt":
-        pairs.select(F.format_string("Japanese: %s\nGenerated: %s\nReference: %s\n", "japanese_text", "generated_translation",
-                                     "reference_translation").alias("value")).write.mode("overwrite").text(out)
+        writer(pairs.select(F.format_string("Japanese: %s\nGenerated: %s\nReference: %s\n", "japanese_text", "generated_translation",
+                                            "reference_translation").alias("value"))).text(out)
     else:
         raise ValueError(f"unknown format {fmt}")
 

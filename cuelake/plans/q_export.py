@@ -8,7 +8,7 @@ from cuelake.functions import timecode as tc
 from cuelake.operators import lifecycle as lc
 from cuelake.operators import timing, training
 from cuelake.plans import views as v
-from cuelake.plans.q_align import Q_TOL, tolerant
+from cuelake.plans.q_align import Q_TOL, tolerant_texts
 from cuelake.operators import align as al
 from cuelake.plans.registry import REG
 
@@ -107,13 +107,10 @@ def read_segment_log(spark, d):
   SELECT m.media, m.cand, m.index, m.similarity, x.japanese_text, {v.sql_strip('m.g')} AS generated_translation, {v.sql_strip('m.t')} AS reference_translation
   FROM m JOIN x_log x USING (media, index) WHERE similarity >= 0.3 AND similarity < 0.9""")
 def training_pairs(spark, d):
-    m, gen, ref = tolerant(spark, d)
-    t = al.with_texts(m.filter("right_idx IS NOT NULL"), gen, ref, K)
+    t = tolerant_texts(spark, d)
     matches = t.select(*K, (F.col("idx") + 1).alias("index"), ((F.col("media") * 7 + F.col("idx") * 13) % 100 / 100.0).alias("similarity"),
                        F.col("ref_text").alias("generated_text"), F.col("cand_text").alias("reference_text"))
-    return training.training_pairs(matches, training.parse_segment_log(logs(spark, d)), ["media"], 0.3, 0.9).join(
-        matches.select("media", "cand", "index", F.col("generated_text").alias("generated_translation"), F.col("reference_text").alias("reference_translation")),
-        ["media", "index", "generated_translation", "reference_translation"]).select(
+    return training.training_pairs(matches, training.parse_segment_log(logs(spark, d)), ["media"], 0.3, 0.9, also=["cand"]).select(
         *K, "index", "similarity", "japanese_text", "generated_translation", "reference_translation").distinct()
 
 
