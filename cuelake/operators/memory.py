@@ -39,8 +39,40 @@ def tm_similarity(query: Column, memory: Column) -> Column:
     return _bound(F.struct(strip(query).alias("q"), strip(memory).alias("m")), score)
 
 
+# Scores, characters and posting entries that are in hand at once.
+SCORES, LETTERS, POSTINGS = 2_000_000, 1_000_000, 4_000_000
+
+
+def _gram_codes(texts: list):
+    """(row, gram) of each text's distinct grams in order, a gram as one integer; see :func:`bigrams`."""
+    import numpy as np
+
+    c = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    # A letter's gram is it and the next one; a text of one letter is its gram, with a number that is no letter.
+    inside = np.append(row[1:] == row[:-1], False) if len(row) else np.zeros(0, dtype=bool)
+    follows = np.where(inside, np.append(c[1:], 0), (1 << 21) - 1) if len(row) else c
+    keep = inside | (sizes[row] == 1)
+    key = np.sort(row[keep] << 42 | c[keep] << 21 | follows[keep])
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    return key >> 42, key & ((1 << 42) - 1)
+
+
+def _query_batches(texts: list, width: int):
+    """(start, end) of runs of queries with a bounded number of scores and letters."""
+    start = letters = 0
+    for i, t in enumerate(texts):
+        if i > start and ((i - start + 1) * width > SCORES or letters + len(t) > LETTERS):
+            yield start, i
+            start, letters = i, 0
+        letters += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _lookup_block(k: int):
-    """Top-k of each query within one block of the memory, through a gram index."""
+    """Top-k of each query within one block of the memory, through a gram index; many queries are scored together."""
 
     def run(key, queries, memory):
         import numpy as np
@@ -51,39 +83,73 @@ def _lookup_block(k: int):
         # entries in insertion order, so equal scores keep it
         order = np.argsort(ids, kind="stable")
         texts, ids = [texts[i] for i in order], ids[order]
+        n = len(texts)
+        names = ["qid", "ord", "score", "exact"]
+        asked, qids = queries["query_text"].tolist(), queries["qid"].to_numpy()
+        if not n or not asked:
+            return pd.DataFrame({"qid": [], "ord": [], "score": [], "exact": []})
+        entry, code = _gram_codes(texts)
+        sizes = np.bincount(entry, minlength=n)
+        by_gram = np.argsort(code, kind="stable")
+        index, first, held = np.unique(code[by_gram], return_index=True, return_counts=True)
+        entry = entry[by_gram]
+        # A block of few grams and entries is a matrix of zeros and ones, the sums are exact; else shared grams are counted by posting lists.
+        table = None
+        if len(index) * n <= POSTINGS:
+            table = np.zeros((len(index), n), dtype=np.float32)
+            table[np.repeat(np.arange(len(index)), held), entry] = 1
+        lengths = np.array([len(t) for t in texts])
+        short = np.flatnonzero(lengths == 1)
+        known = set(texts)
+
+        def by_table(table, row, at, rows):
+            has = np.zeros((rows, len(index)), dtype=np.float32)
+            has[row, at] = 1
+            return has @ table
+
+        def by_lists(row, at, rows):
+            shared = np.zeros(rows * n, dtype=np.int64)
+            # Posting lists of a bounded number of entries are laid out at a time.
+            total = np.cumsum(held[at])
+            cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1], POSTINGS), side="right")) if len(total) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(at)]):
+                size = held[at[lo:hi]]
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[at[lo:hi]], size)
+                shared += np.bincount(np.repeat(row[lo:hi] * n, size) + entry[place], minlength=len(shared))
+            return shared.reshape(rows, n)
 
-        def grams(t):
-            return {t} if len(t) <= 2 else {t[i:i + 2] for i in range(len(t) - 1)}
-
-        index: dict[str, list[int]] = {}
-        sizes = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            g = grams(t)
-            sizes[i] = len(g)
-            for x in g:
-                index.setdefault(x, []).append(i)
-        index = {g: np.asarray(p, dtype=np.int64) for g, p in index.items()}
-        short = [i for i, t in enumerate(texts) if len(t) == 1]
         out = []
-        for qid, q in zip(queries["qid"], queries["query_text"]):
-            g = grams(q)
-            hits = [index[x] for x in g if x in index]
-            shared = np.bincount(np.concatenate(hits), minlength=len(texts)) if hits else np.zeros(len(texts))
-            score = shared / (len(g) + sizes - shared)
+        for start, end in _query_batches(asked, n if table is None else max(table.shape)):
+            qs = asked[start:end]
+            row, code = _gram_codes(qs)
+            count = np.bincount(row, minlength=len(qs))
+            at = np.minimum(np.searchsorted(index, code), len(index) - 1)
+            hit = index[at] == code
+            row, at = row[hit], at[hit]
+            shared = by_table(table, row, at, len(qs)) if table is not None else by_lists(row, at, len(qs))
+            score = shared.astype(np.float64) / (count[:, None] + sizes - shared)
             # containment implies shared bigrams, but for texts of one character
-            maybe = range(len(texts)) if len(q) == 1 else [
-                *np.flatnonzero(shared >= np.minimum(sizes, len(g))).tolist(), *short]
-            for i in maybe:
-                t = texts[i]
+            maybe = shared >= np.minimum(sizes, count[:, None])
+            maybe[:, short] = True
+            maybe[[i for i, q in enumerate(qs) if len(q) == 1]] = True
+            for i, j in zip(*(x.tolist() for x in np.nonzero(maybe))):
+                q, t = qs[i], texts[j]
                 if t == q:
-                    score[i] = 1.0
+                    score[i, j] = 1.0
                 elif t in q or q in t:
-                    score[i] = min(len(t), len(q)) / max(len(t), len(q))
-            pos = np.flatnonzero(score > 0)
-            exact = np.fromiter((texts[i] != q for i in pos), dtype=bool, count=len(pos))
-            best = pos[np.lexsort((pos, exact, -score[pos]))[:k]]
-            out += [(qid, int(ids[i]), float(score[i]), texts[i] == q) for i in best]
-        return pd.DataFrame(out, columns=["qid", "ord", "score", "exact"])
+                    score[i, j] = min(len(t), len(q)) / max(len(t), len(q))
+            # Only entries that score no less than the k-th can be among the k best; most share some gram with the query.
+            good = score > 0
+            if n > k:
+                good &= score >= np.partition(score, n - k, axis=1)[:, n - k, None]
+            row, pos = np.nonzero(good)
+            other = np.array([qs[i] not in known or texts[j] != qs[i] for i, j in zip(row.tolist(), pos.tolist())], dtype=bool)
+            value = score[row, pos]
+            best = np.lexsort((pos, other, -value, row))
+            sorted_rows = row[best]
+            best = best[np.arange(len(best)) - np.searchsorted(sorted_rows, sorted_rows) < k]
+            out.append(pd.DataFrame({"qid": qids[start + row[best]], "ord": ids[pos[best]], "score": value[best], "exact": ~other[best]}))
+        return pd.concat(out, ignore_index=True)[names]
 
     return run
 

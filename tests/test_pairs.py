@@ -69,3 +69,30 @@ def test_pair_files_may_be_compressed(spark, tmp_path):
     assert glob.glob(f"{tmp_path}/j/*.json.gz") and not glob.glob(f"{tmp_path}/plain/*.gz")
     for x in ("j", "plain"):
         assert sorted(map(tuple, spark.read.schema(cols).json(f"{tmp_path}/{x}").collect())) == sorted(rows)
+
+
+def test_lookup_scores_many_queries_together(monkeypatch):
+    import pandas as pd
+
+    from cuelake.operators import memory as tm
+
+    texts = ["a", "ab", "abab", "bcab d", "先輩 ab", "ab", "é", "zz top", "abc" * 40]
+    asked = sorted({*texts, "b", "d", "cab", "zz", "no gram", "top ab", "x"})
+    m = pd.DataFrame({"ord": [5, 3, 9, 1, 7, 2, 8, 6, 4], "source_text": texts})
+    q = pd.DataFrame({"qid": asked, "query_text": asked})
+    grams = lambda t: {t} if len(t) <= 2 else {t[i:i + 2] for i in range(len(t) - 1)}
+
+    def score(a, b):
+        if a in b or b in a:
+            return min(len(a), len(b)) / max(len(a), len(b))
+        return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    want = []
+    for a in asked:
+        rows = sorted((-score(a, t), t != a, o) for o, t in zip(m["ord"], texts) if score(a, t) > 0)
+        want += [(a, o, -s, not other) for s, other, o in rows[:3]]
+    for scores, letters, postings in ((2_000_000, 1_000_000, 4_000_000), (1, 1, 1), (40, 10, 7)):
+        monkeypatch.setattr(tm, "SCORES", scores)
+        monkeypatch.setattr(tm, "LETTERS", letters)
+        monkeypatch.setattr(tm, "POSTINGS", postings)
+        got = tm._lookup_block(3)(None, q, m)
+        assert [tuple(r) for r in got.itertuples(index=False)] == want
