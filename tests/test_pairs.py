@@ -96,3 +96,14 @@ def test_lookup_scores_many_queries_together(monkeypatch):
         monkeypatch.setattr(tm, "POSTINGS", postings)
         got = tm._lookup_block(3)(None, q, m)
         assert [tuple(r) for r in got.itertuples(index=False)] == want
+
+
+def test_word_edits_step_through_what_differs(monkeypatch):
+    from cuelake.operators import metrics
+
+    seen = []
+    whole = metrics._one_block
+    monkeypatch.setattr(metrics, "_one_block", lambda r, h: seen.append((len(r), len(h))) or whole(r, h))
+    assert metrics.word_edits(list("abXcdef"), list("abYZcdef")) == 2 and seen == [(2, 1)]
+    assert metrics.word_edits(list("aXbYc"), list("abc")) == metrics.word_edits(list("abc"), list("aXbYc")) == 2
+    assert [metrics.word_edits(list(a), list(b)) for a, b in (("", "ab"), ("ab", "ab"), ("aab", "ab"), ("kitten", "sitting"))] == [2, 0, 1, 3]
