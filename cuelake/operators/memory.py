@@ -87,7 +87,7 @@ def _lookup_block(k: int):
         names = ["qid", "ord", "score", "exact"]
         asked, qids = queries["query_text"].tolist(), queries["qid"].to_numpy()
         if not n or not asked:
-            return pd.DataFrame({"qid": [], "ord": [], "score": [], "exact": []})
+            return pd.DataFrame([], columns=names)
         entry, code = _gram_codes(texts)
         sizes = np.bincount(entry, minlength=n)
         by_gram = np.argsort(code, kind="stable")
