@@ -98,20 +98,38 @@ def _limits(cosines: list[list[float]]) -> list[float]:
     return [last := last if x is None else x for x in own]
 
 
-def fit(samples: list[tuple[str, np.ndarray]], shorter: Iterable[tuple[str, np.ndarray]] = (), k: int = CENTROIDS, rounds: int = 8) -> Centroids:
-    """Centroids of (language, counts) rows; the same rows in any order give the same model.
+def _dense(at: np.ndarray, c: np.ndarray) -> np.ndarray:
+    out = np.zeros(DIM, np.int64)
+    out[at] = c
+    return out
+
+
+def _order(at: np.ndarray, c: np.ndarray) -> bytes:
+    """Sorts counts like the bytes of the dense array, which is many times as large."""
+    key = np.empty(len(at), [("at", ">u2"), ("c", "<u4")])
+    key["at"], key["c"] = DIM - at.astype(np.int64), c
+    return key.tobytes()
+
+
+def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], shorter: Iterable[tuple[str, np.ndarray, np.ndarray]] = (), k: int = CENTROIDS,
+        rounds: int = 8) -> Centroids:
+    """Centroids of (language, n-grams, their counts) rows; the same rows in any order give the same model.
 
     ``shorter`` are rows of the same kind from beginnings of the texts; they tell the limits only.
+    Rows are dense for one language at a time, as vectors of single precision.
     """
-    samples = sorted(samples, key=lambda x: (x[0], x[1].tobytes()))
+    samples = sorted(samples, key=lambda x: (x[0], _order(x[1], x[2])))
     languages = sorted({s[0] for s in samples})
     df = np.zeros(DIM)
-    for _, c in samples:
-        df += c > 0
+    for _, at, _ in samples:
+        df[at] += 1
     idf = np.log((1 + len(samples)) / (1 + df)) + 1
     rows, owner, seen = [], [], {}
     for n, lang in enumerate(languages):
-        x = np.stack([_unit(c, idf) for name, c in samples if name == lang])
+        own = [s[1:] for s in samples if s[0] == lang]
+        x = np.empty((len(own), DIM), np.float32)
+        for i, s in enumerate(own):
+            x[i] = _unit(_dense(*s), idf)
         start = [0]  # far from each other, from the mean outwards
         start[0] = int(np.argmax(x @ x.mean(axis=0)))
         while len(start) < min(k, len(x)):
@@ -122,14 +140,15 @@ def fit(samples: list[tuple[str, np.ndarray]], shorter: Iterable[tuple[str, np.n
             c = np.stack([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
         seen[lang] = [[] for _ in range(CLASSES)]
-        for (_, own), cos in zip((r for r in samples if r[0] == lang), (x @ c.T).max(axis=1).tolist()):
-            seen[lang][length_class(own)].append(cos)
+        for (_, count), cos in zip(own, (x @ c.T).max(axis=1).tolist()):
+            seen[lang][length_class(count)].append(cos)
         rows.append(c)
         owner += [n] * len(c)
+        del x
     matrix = np.concatenate(rows).astype(np.float32) if rows else np.zeros((0, DIM), np.float32)
     owner = np.array(owner, int)
-    for lang, c in shorter:
-        seen[lang][length_class(c)].append(float((matrix[owner == languages.index(lang)] @ _unit(c, idf)).max()))
+    for lang, at, c in shorter:
+        seen[lang][length_class(c)].append(float((matrix[owner == languages.index(lang)] @ _unit(_dense(at, c), idf)).max()))
     return Centroids(languages, idf, matrix, owner, np.array([_limits(seen[x]) for x in languages]).reshape(-1, CLASSES))
 
 
@@ -170,12 +189,10 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     # Bounded: sample * languages, and the beginnings of a text are about twice as long as it at most, together.
     got = rows.mapInArrow(lean(run), "l string, whole boolean, at binary, c binary").collect()
 
-    def dense(r) -> tuple[str, np.ndarray]:
-        c = np.zeros(DIM, np.int64)
-        c[np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.c, np.uint32)
-        return r.l, c
+    def sparse(r) -> tuple[str, np.ndarray, np.ndarray]:
+        return r.l, np.frombuffer(r.at, np.uint16), np.frombuffer(r.c, np.uint32)
 
-    return fit([dense(r) for r in got if r.whole], (dense(r) for r in got if not r.whole))
+    return fit([sparse(r) for r in got if r.whole], (sparse(r) for r in got if not r.whole))
 
 
 def classify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
