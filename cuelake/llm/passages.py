@@ -22,6 +22,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,55 +41,81 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[\"'”’)\]]*\s*|[^.!?\n]+")
 
 
-def units(text: str, unit_words: int = UNIT_WORDS) -> list[tuple[int, int, int, str]]:
-    """(start, end, words, normalised): a unit ends with a sentence once it has enough words, or with its line."""
-    out, start, held, end = [], 0, [], 0
-    for m in SENTENCE.finditer(text):
-        s = m.group()
-        held += s.split()
-        end = m.end()
+def unit_columns(text: str, unit_words: int = UNIT_WORDS) -> tuple[list[int], list[int], list[int], list[str]]:
+    """Starts, ends, words and normalised texts of units. Sentences follow each other without a gap, so a unit begins where the last one ended."""
+    ends, words, normal, held, end = [], [], [], [], 0
+    for s in SENTENCE.findall(text):
+        end += len(s)
+        held = held + s.split() if held else s.split()
         if held and (len(held) >= unit_words or "\n" in s):
-            out.append((start, end, len(held), " ".join(held).lower()))
-            start, held = end, []
+            ends.append(end)
+            words.append(len(held))
+            normal.append(" ".join(held).lower())
+            held = []
     if held:
-        out.append((start, end, len(held), " ".join(held).lower()))
-    return out
+        ends.append(end)
+        words.append(len(held))
+        normal.append(" ".join(held).lower())
+    return [0, *ends[:-1]] if ends else [], ends, words, normal
+
+
+def units(text: str, unit_words: int = UNIT_WORDS) -> list[tuple[int, int, int, str]]:
+    """(start, end, words, normalised): a unit ends with a sentence once it has enough words, or with its line."""
+    return list(zip(*unit_columns(text, unit_words)))
 
 
 def _spaces() -> np.ndarray:
     return np.fromiter((chr(i).isspace() for i in range(0x110000)), bool, 0x110000)
 
 
-def chunks(text: str) -> list[tuple[int, int, int, str]]:
-    """(start, end, words, normalised with the words behind): runs of words between cuts that content decides."""
+def _sliding(of: np.ufunc, h: np.ndarray) -> np.ndarray:
+    """The minimum or maximum of each ``REACH`` values in a row, of windows that double."""
+    size = 1
+    while 2 * size <= REACH:
+        h = of(h[:-size], h[size:])
+        size *= 2
+    return of(h[:len(h) - REACH + size], h[REACH - size:]) if size < REACH else h
+
+
+def chunk_columns(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Starts, ends, words and normalised texts of chunks."""
     word = text.lower().split()
     n = len(word) - CONTEXT + 1
     if n < REACH:
-        return []
-    code = np.fromiter((xxhash.xxh64_intdigest(w) for w in word), np.uint64, len(word))
+        none = np.zeros(0, np.int64)
+        return none, none, none, []
+    code = np.frombuffer(b"".join(map(xxhash.xxh64_digest, word)), ">u8").astype(np.uint64)
     h = np.zeros(n, np.uint64)
     for k in range(CONTEXT):
         h = (h ^ code[k:k + n]) * MULTIPLIER
         h ^= h >> np.uint64(29)
-    least = h[:n - REACH + 1].copy()
-    for k in range(1, REACH):
-        np.minimum(least, h[k:n - REACH + 1 + k], out=least)
+    least = _sliding(np.minimum, h)
     # A window's least hash is no larger than any in it, so only the largest of the windows of a place can be its own.
-    pad = np.concatenate([np.zeros(REACH - 1, np.uint64), least, np.zeros(REACH - 1, np.uint64)])
-    most = pad[:n].copy()
-    for k in range(1, REACH):
-        np.maximum(most, pad[k:n + k], out=most)
+    pad = np.zeros(len(least) + 2 * (REACH - 1), np.uint64)
+    pad[REACH - 1:n] = least
+    most = _sliding(np.maximum, pad)
     cuts = np.nonzero(most == h)[0]
-    value, kept = h[cuts].tolist(), []
-    for c, v in zip(cuts.tolist(), value):
+    value = h[cuts]
+    if (value[1:] == value[:-1]).any():
         # In a run of the same words a cut each REACH words is enough.
-        if not kept or v != kept[-1][1] or c - kept[-1][0] >= REACH:
-            kept.append((c, v))
-    space = worker_state("spaces", _spaces)[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    at = np.nonzero(~space & np.r_[True, space[:-1]])[0]
-    at = at[[c for c, _ in kept]].tolist()
-    kept = [c for c, _ in kept]
-    return [(i, j, b - a, " ".join(word[a:b + MORE])) for i, j, a, b in zip(at, at[1:], kept, kept[1:]) if b + MORE <= len(word)]
+        kept = []
+        for c, v in zip(cuts.tolist(), value.tolist()):
+            if not kept or v != kept[-1][1] or c - kept[-1][0] >= REACH:
+                kept.append((c, v))
+        cuts = np.array([c for c, _ in kept])
+    gap = worker_state("spaces", _spaces)[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    first = ~gap
+    first[1:] &= gap[:-1]
+    # A chunk without all the words behind it is left out; only the last ones can be.
+    cuts = cuts[:np.searchsorted(cuts, len(word) - MORE, side="right")]
+    at, place = np.nonzero(first)[0][cuts], cuts.tolist()
+    return at[:-1], at[1:], np.diff(cuts), [" ".join(word[a:b + MORE]) for a, b in zip(place, place[1:])]
+
+
+def chunks(text: str) -> list[tuple[int, int, int, str]]:
+    """(start, end, words, normalised with the words behind): runs of words between cuts that content decides."""
+    start, end, words, normal = chunk_columns(text)
+    return list(zip(start.tolist(), end.tolist(), words.tolist(), normal))
 
 
 def unit_table(docs: DataFrame, unit_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -97,24 +125,28 @@ def unit_table(docs: DataFrame, unit_words: int, id_col: str, text_col: str) ->
                        ("words", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
         for b in batches:
-            size, raw, spans = [], [], []
-            for t in b.column(2):
-                text = t.as_py()
-                for way, u in enumerate((units(text, unit_words), chunks(text))):
-                    size.append(len(u))
-                    raw += [digest(x[3], seed=way) for x in u]
-                    spans += [x[:3] for x in u]
-            size = np.array(size, np.int64)
-            h = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-            at = np.array(spans, np.int32).reshape(-1, 3)
-            row = np.repeat(np.arange(len(size)), size)
-            unit = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            take = pa.array(row // 2, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array((row % 2).astype(np.int8)), pa.array(unit.astype(np.int32)), *(pa.array(np.ascontiguousarray(at[:, k])) for k in range(3)),
-                 pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], schema=types)
+            if not b.num_rows:
+                continue
+            texts = [t.as_py() for t in b.column(2)]
+            for way, cut in enumerate((lambda t: unit_columns(t, unit_words), chunk_columns)):
+                digest = partial(xxhash.xxh3_128_digest, seed=way)
+                size, raw, spans = [], [], ([], [], [])
+                for t in texts:
+                    *columns, normal = cut(t)
+                    size.append(len(normal))
+                    raw += map(digest, normal)
+                    for held, c in zip(spans, columns):
+                        held.append(c)
+                size = np.array(size, np.int64)
+                h = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+                row = np.repeat(np.arange(len(size)), size)
+                unit = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                take = pa.array(row, pa.int64())
+                at = [np.fromiter(chain.from_iterable(c), np.int32, len(row)) if way == 0 else np.concatenate(c).astype(np.int32) for c in spans]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(np.full(len(row), way, np.int8)), pa.array(unit.astype(np.int32)), *map(pa.array, at),
+                     pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], schema=types)
 
     text = nonnull_text(text_col)
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t"))
