@@ -65,3 +65,10 @@ def test_merged_titles_are_written_once_and_compressed(spark, tmp_path):
     assert sorted(p.name for p in out.iterdir()) == ["t0", "t1", "t2", "t3", "t4"]
     files = list(out.glob("t*/pairs/part-*"))
     assert files and all(f.name.endswith(".json.gz") for f in files)
+
+
+def test_driver_keeps_no_copy_of_listings(spark):
+    """Each batch of a stream lists its paths; a cache of listings would hold them all."""
+    tune(spark)
+    cache = spark._jvm.org.apache.spark.sql.execution.datasources.FileStatusCache.getOrCreate(spark._jsparkSession)
+    assert cache.getClass().getSimpleName().startswith("NoopCache")
