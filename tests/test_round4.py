@@ -72,3 +72,10 @@ def test_driver_keeps_no_copy_of_listings(spark):
     tune(spark)
     cache = spark._jvm.org.apache.spark.sql.execution.datasources.FileStatusCache.getOrCreate(spark._jsparkSession)
     assert cache.getClass().getSimpleName().startswith("NoopCache")
+
+
+def test_inbox_is_listed_without_the_places_of_blocks(spark, tmp_path):
+    tune(spark)
+    files = flows.watch_inbox(spark, _inbox(tmp_path / "in", 3))
+    assert files.isStreaming and spark.conf.get("spark.sql.sources.ignoreDataLocality") == "true"
+    assert tune(spark).conf.get("spark.sql.sources.ignoreDataLocality") == "false"
